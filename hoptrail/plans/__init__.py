@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops"]
+MODULES = ["scalars", "hops", "repair"]
 
 
 def load() -> None:
