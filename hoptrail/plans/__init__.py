@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair"]
+MODULES = ["scalars", "hops", "repair", "infer"]
 
 
 def load() -> None:
