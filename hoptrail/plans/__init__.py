@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair", "infer"]
+MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff"]
 
 
 def load() -> None:

@@ -145,7 +145,26 @@ def routers_observed(spark, sf) -> DataFrame:
     )
 
 
+def graph_links(spark, sf, which: str = "all") -> DataFrame:
+    """Sparse graph over supplier addresses: each links to one to three addresses after it."""
+    li = table(spark, sf, "lineitem")
+    step = F.col("l_partkey") % 3
+    if which == "observed":
+        li = li.where(F.col("l_suppkey") % 5 != 0)
+    if which == "truth":
+        li = li.where((F.col("l_suppkey") + step) % 7 != 0)
+    return li.select(
+        (F.col("l_suppkey") + ROUTER_BASE).alias("ip1"), (F.col("l_suppkey") + 1 + step + ROUTER_BASE).alias("ip2"),
+        (1 + (F.col("l_suppkey") * 7 + step) % 4).cast("int").alias("link_type"),
+    ).distinct()
+
+
 SQL = {}
+_LK = """(SELECT DISTINCT l_suppkey + {b} AS ip1, l_suppkey + 1 + l_partkey % 3 + {b} AS ip2,
+  CAST(1 + (l_suppkey * 7 + l_partkey % 3) % 4 AS INTEGER) AS link_type FROM lineitem {w})"""
+SQL["links"] = "lk AS " + _LK.format(b=ROUTER_BASE, w="")
+SQL["links_observed"] = "lo AS " + _LK.format(b=ROUTER_BASE, w="WHERE l_suppkey % 5 <> 0")
+SQL["links_truth"] = "lt AS " + _LK.format(b=ROUTER_BASE, w="WHERE (l_suppkey + l_partkey % 3) % 7 <> 0")
 SQL["base"] = f"""base AS (
   SELECT l_orderkey AS trace, o_custkey + {SOURCE_BASE} AS src, l_orderkey + {DEST_BASE} AS dst,
          CAST(l_linenumber AS INTEGER) AS ttl,
