@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff"]
+MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union"]
 
 
 def load() -> None:

@@ -8,7 +8,7 @@ from . import tables as T
 from .registry import query
 from .tables import ROUTER_BASE, SQL
 
-_IPS = f"""l AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_quantity > 30), r AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_discount > 0.03)"""
+_IPS = f"""l AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_quantity = 50 AND l_tax < 0.05), r AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_discount = 0.03 AND l_tax > 0.04)"""
 
 
 def _part_ips(spark, sf, cond):
@@ -17,7 +17,7 @@ def _part_ips(spark, sf, cond):
 
 @query("diff_ips", "WITH " + _IPS + " SELECT ip, '-' AS side FROM l WHERE ip NOT IN (FROM r) UNION ALL SELECT ip, '+' FROM r WHERE ip NOT IN (FROM l)")
 def _(spark, sf):
-    return D.diff_ips(_part_ips(spark, sf, "l_quantity > 30"), _part_ips(spark, sf, "l_discount > 0.03"))
+    return D.diff_ips(_part_ips(spark, sf, "l_quantity = 50 AND l_tax < 0.05"), _part_ips(spark, sf, "l_discount = 0.03 AND l_tax > 0.04"))
 
 
 def _pairs(spark, sf, cond):

@@ -159,6 +159,25 @@ def graph_links(spark, sf, which: str = "all") -> DataFrame:
     ).distinct()
 
 
+def model_facts(spark, sf) -> DataFrame:
+    """Solved facts of many models, one model per trace: links, aliases, refuted aliases, tags and types."""
+    b = _base(spark, sf)
+    li = b.withColumn("key", F.col("tr_resp") - ROUTER_BASE).withColumn("step", F.col("part") % 3)
+    pair = F.col("tr_resp") + 1 + F.col("step")
+    n, q = F.col("ttl"), F.col("qty")
+    tag = F.element_at(F.array(*[F.lit(x) for x in ("rrend", "mpls", "lazy", "source")]), q % 4 + 1)
+    src = F.element_at(F.array(*[F.lit(x) for x in ("name", "mercatorsource", "ally")]), q % 3 + 1)
+    pred = (
+        F.when(n <= 3, "link").when((n == 4) & ((F.col("key") + F.col("step")) % 6 == 0), "alias")
+        .when(n == 4, "badAlias").when(n == 5, "-alias").when(n == 6, "other").otherwise("type"))
+    a3 = (
+        F.when(n <= 3, (1 + (F.col("key") * 7 + F.col("step") + q % 2) % 4).cast("string")).when(n <= 5, src)
+        .when(n == 6, tag).otherwise(F.when(q % 2 == 0, "a").otherwise("n")))
+    return li.select(
+        F.concat(F.lit("clique-"), (F.col("src") - SOURCE_BASE).cast("string"), F.lit("-"), F.col("trace").cast("string")).alias("model"),
+        pred.alias("pred"), F.col("tr_resp").alias("a1"), F.when(n <= 5, pair).alias("a2"), a3.alias("a3"))
+
+
 SQL = {}
 _LK = """(SELECT DISTINCT l_suppkey + {b} AS ip1, l_suppkey + 1 + l_partkey % 3 + {b} AS ip2,
   CAST(1 + (l_suppkey * 7 + l_partkey % 3) % 4 AS INTEGER) AS link_type FROM lineitem {w})"""
@@ -209,3 +228,8 @@ def sql_ip(expr: str) -> str:
     """SQL text that prints an integer address as a dotted quad."""
     o = lambda s: f"CAST((({expr}) >> {s}) & 255 AS VARCHAR)"
     return f"({o(24)} || '.' || {o(16)} || '.' || {o(8)} || '.' || {o(0)})"
+SQL["facts"] = SQL["base"] + f""", mf AS (SELECT 'clique-' || CAST(src - {SOURCE_BASE} AS VARCHAR) || '-' || CAST(trace AS VARCHAR) AS model,
+  CASE WHEN ttl <= 3 THEN 'link' WHEN ttl = 4 AND (tr_resp - {ROUTER_BASE} + part % 3) % 6 = 0 THEN 'alias' WHEN ttl = 4 THEN 'badAlias' WHEN ttl = 5 THEN '-alias' WHEN ttl = 6 THEN 'other' ELSE 'type' END AS pred,
+  tr_resp AS a1, CASE WHEN ttl <= 5 THEN tr_resp + 1 + part % 3 END AS a2,
+  CASE WHEN ttl <= 3 THEN CAST(1 + ((tr_resp - {ROUTER_BASE}) * 7 + part % 3 + qty % 2) % 4 AS VARCHAR) WHEN ttl <= 5 THEN ['name', 'mercatorsource', 'ally'][qty % 3 + 1]
+    WHEN ttl = 6 THEN ['rrend', 'mpls', 'lazy', 'source'][qty % 4 + 1] WHEN qty % 2 = 0 THEN 'a' ELSE 'n' END AS a3 FROM base)"""
