@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union"]
+MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay"]
 
 
 def load() -> None:

@@ -88,7 +88,7 @@ def ipid_samples(spark, sf) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(
         (F.col("user_id") + ROUTER_BASE).alias("ip"),
-        (F.unix_micros("ts") / 1e6).alias("t"),
+        ((F.unix_micros("ts") - 1704067200000000) / 1e6).alias("t"),
         F.pmod(F.col("event_id") * 40, F.lit(65536)).alias("id"),
     )
 
@@ -102,6 +102,18 @@ def rtt_samples(spark, sf) -> DataFrame:
     )
 
 
+def stamps(spark, sf) -> DataFrame:
+    """Probes with one to four router clock stamps, in milliseconds since midnight."""
+    from ..functions.probe import router_clock_ms
+
+    e = table(spark, sf, "events")
+    ms = router_clock_ms("ts")
+    n = F.col("event_id") % 4 + 1
+    arr = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: (ms + 5 * i + F.floor(F.col("value") * i) % 17).cast("bigint"))
+    recv = F.timestamp_micros(F.unix_micros("ts") + 40000 + F.floor(F.col("value") * 1000).cast("bigint"))
+    return e.select(F.col("user_id").alias("conn"), F.col("event_id").alias("probe"), F.col("ts").alias("sent"), recv.alias("recv"), arr.alias("stamps"))
+
+
 def ttl_distance(spark, sf) -> DataFrame:
     """Reply TTLs per vantage and address."""
     p = _base(spark, sf)
@@ -205,9 +217,12 @@ rrp AS (
 SQL["probes"] = SQL["rr"] + """, probes AS (
   SELECT src, dst, ttl, resp, rr FROM rrp UNION ALL SELECT src, dst, ttl, resp, NULL FROM trp)"""
 SQL["ipid"] = f"""ipid AS (
-  SELECT user_id + {ROUTER_BASE} AS ip, epoch_us(ts) / 1e6 AS t, (event_id * 40) % 65536 AS id FROM events)"""
+  SELECT user_id + {ROUTER_BASE} AS ip, (epoch_us(ts) - 1704067200000000) / 1e6 AS t, (event_id * 40) % 65536 AS id FROM events)"""
 SQL["rtt"] = """rtts AS (
   SELECT user_id AS conn, ts, event_id AS seq, CAST(floor(value * 1000) AS BIGINT) AS rtt, event_type FROM events)"""
+SQL["stamps"] = """st0 AS (SELECT user_id AS conn, event_id AS probe, epoch_us(ts) AS s, epoch_us(ts) + 40000 + CAST(floor(value * 1000) AS BIGINT) AS r, value, event_id % 4 + 1 AS n FROM events),
+ st AS (SELECT *, (s % 86400000000) // 1000 + CASE WHEN s % 1000 > 500 THEN 1 ELSE 0 END AS sms, (r % 86400000000) // 1000 + CASE WHEN r % 1000 > 500 THEN 1 ELSE 0 END AS rms FROM st0),
+ stamp AS (SELECT conn, probe, s, sms, rms, n, CAST(i AS BIGINT) AS i, sms + 5 * i + CAST(floor(value * i) AS BIGINT) % 17 AS v FROM st, range(1, 5) x(i) WHERE i <= n)"""
 SQL["ttl"] = SQL["base"] + f""", ttld AS (
   SELECT 'v' || CAST((src - {SOURCE_BASE}) % 25 AS VARCHAR) AS vantage, tr_resp AS ip,
     CASE WHEN qty % 3 = 0 THEN -1 ELSE qty + 192 END AS udp, CASE WHEN qty % 7 = 0 THEN 'TCP' ELSE '-' END AS udpr,
