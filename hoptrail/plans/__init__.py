@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay"]
+MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay", "validate", "routing"]
 
 
 def load() -> None:

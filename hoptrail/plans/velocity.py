@@ -94,10 +94,15 @@ def _(spark, sf):
     return _r(V.velocity_distance_overlap(_pairs(spark, sf), V.unwrapped(s), V.ipid_line_fit(s)), "d", d=2)
 
 
-@query("resolve_velocity_aliases", _vd("ts") + " SELECT ip1, ip2, round(d, 2) AS d, n, CASE WHEN d < 9000 THEN 'ALIAS!' ELSE 'NOT_ALIAS.' END AS verdict FROM r JOIN okf a ON a.ip = ip1 AND a.ok JOIN okf b ON b.ip = ip2 AND b.ok".replace("SELECT ip1, ip2, round(d, 2) AS d, n,", "SELECT ip1, ip2, round(d, 2) AS d, r.n,"))
+_STEADY = "(100 + CAST(floor(2000 + (epoch_us(ts) - 1704067200000000) / 1e6 * (0.01 + 0.01 * ((user_id % 9) // 2))) AS BIGINT)) % 65536 AS id"
+
+
+@query("resolve_velocity_aliases", (_vd("ts") + " SELECT ip1, ip2, round(d, 1) AS d, r.n, CASE WHEN d < 100 THEN 'ALIAS!' ELSE 'NOT_ALIAS.' END AS verdict FROM r JOIN okf a ON a.ip = ip1 AND a.ok JOIN okf b ON b.ip = ip2 AND b.ok").replace("(event_id * 40) % 65536 AS id", _STEADY))
 def _(spark, sf):
-    s = T.ipid_samples(spark, sf).withColumn("kind", F.lit("Tcp"))
-    return _r(V.resolve_velocity_aliases(_pairs(spark, sf), s, threshold=9000.0), "d", d=2)
+    k = F.col("ip") - T.ROUTER_BASE
+    steady = F.floor(2000 + F.col("t") * (0.01 + 0.01 * F.floor(k % 9 / 2)))
+    s = T.ipid_samples(spark, sf).withColumn("id", F.pmod(100 + steady, F.lit(65536))).withColumn("kind", F.lit("Tcp"))
+    return _r(V.resolve_velocity_aliases(_pairs(spark, sf), s), "d", d=1)
 
 
 _T = "WITH " + SQL["ttl"] + """, lv AS (SELECT vantage, ip, arg_max(CASE WHEN udp > 0 AND udpr = '-' THEN udp WHEN icmp > 0 AND icmpr = '-' THEN icmp WHEN tcp > 0 AND tcpr = '-' THEN tcp ELSE -1 END, (ts, trace, part)) AS d0 FROM ttld
