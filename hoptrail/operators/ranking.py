@@ -103,13 +103,22 @@ def one_per_prefix(df: DataFrame, ip: str, bits: int = 24) -> DataFrame:
     return df.groupBy(net.alias("net")).agg(F.min(ip).alias(ip))
 
 
-def n_combinations(items: DataFrame, col: str, n: int) -> DataFrame:
-    """All n-element combinations of the listed items, each in ascending order.
+def n_combinations(items: DataFrame, col: str, n: int, by: list[str] | None = None) -> DataFrame:
+    """All n-element combinations of the listed items (of each group ``by``), each in ascending order.
 
-    The result has C(m, n) rows by definition; the list is one a person chooses from, such as input files.
+    Items are ranked; a combination is a rising sequence of ranks, so each further element is generated from the rank
+    before it and then looked up by rank.
     """
-    out = items.select(F.col(col).alias("i1"))
+    by = by or []
+    d = items.select(*by, col).distinct()
+    if by:
+        w = W.partitionBy(*by).orderBy(col)
+        last = W.partitionBy(*by)
+        ranked = d.withColumn("rank", F.row_number().over(w) - 1).withColumn("total", F.count(F.lit(1)).over(last))
+    else:
+        ranked = global_rank(d, [col])
+    out = ranked.select(*by, F.col(col).alias("i1"), F.col("rank").alias("r"), "total")
     for k in range(2, n + 1):
-        nxt = items.select(F.col(col).alias(f"i{k}"))
-        out = out.join(nxt, F.col(f"i{k}") > F.col(f"i{k - 1}"))
-    return out
+        nxt = ranked.select(*by, F.col(col).alias(f"i{k}"), F.col("rank").alias("r"))
+        out = out.where("r + 1 < total").withColumn("r", F.explode(F.sequence(F.col("r") + 1, F.col("total") - 1))).join(nxt, [*by, "r"])
+    return out.drop("r", "total")

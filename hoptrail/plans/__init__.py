@@ -2,7 +2,10 @@
 
 import importlib
 
-MODULES = ["scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay", "validate", "routing"]
+MODULES = [
+    "scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay", "validate", "routing", "sources",
+    "sinks", "stream",
+]
 
 
 def load() -> None:

@@ -160,6 +160,6 @@ def _(spark, sf):
     return K.one_per_prefix(T.table(spark, sf, "part").select((F.col("p_partkey") * 3 + ROUTER_BASE).alias("ip")), "ip")
 
 
-@query("n_combinations", "SELECT a.n_nationkey AS i1, b.n_nationkey AS i2, c.n_nationkey AS i3 FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey JOIN nation c ON b.n_nationkey < c.n_nationkey")
+@query("n_combinations", "WITH d AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem) SELECT a.k AS l_orderkey, a.n AS i1, b.n AS i2, c.n AS i3 FROM d a JOIN d b ON a.k = b.k AND a.n < b.n JOIN d c ON b.k = c.k AND b.n < c.n")
 def _(spark, sf):
-    return K.n_combinations(T.table(spark, sf, "nation"), "n_nationkey", 3)
+    return K.n_combinations(T.table(spark, sf, "lineitem"), "l_linenumber", 3, ["l_orderkey"])

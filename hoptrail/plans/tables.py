@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.probe import router_clock_ms
+
 ROUTER_BASE = 167772160    # 10.0.0.0
 SOURCE_BASE = 2886729728   # 172.16.0.0
 DEST_BASE = 3232235520     # 192.168.0.0
@@ -104,9 +106,10 @@ def rtt_samples(spark, sf) -> DataFrame:
 
 def stamps(spark, sf) -> DataFrame:
     """Probes with one to four router clock stamps, in milliseconds since midnight."""
-    from ..functions.probe import router_clock_ms
+    return stamps_of(table(spark, sf, "events"))
 
-    e = table(spark, sf, "events")
+
+def stamps_of(e: DataFrame) -> DataFrame:
     ms = router_clock_ms("ts")
     n = F.col("event_id") % 4 + 1
     arr = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: (ms + 5 * i + F.floor(F.col("value") * i) % 17).cast("bigint"))
