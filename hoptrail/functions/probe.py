@@ -111,10 +111,9 @@ def reply_kind(probe, answer, icmp_type=None, icmp_code=None, rst=None) -> Colum
 def split_reply(token):
     """`ttl[:KIND]` -> struct(ttl, kind); kind is `-` when the expected answer came, ttl null for a bare `-`."""
     token = _c(token)
-    ttl = F.regexp_extract(token, r"^(-?\d+)", 1)
-    kind = F.regexp_extract(token, r"^-?\d*:([^:]+)", 1)
+    kind = F.split_part(token, F.lit(":"), F.lit(2))
     return F.struct(
-        F.when(ttl != "", ttl.cast("int")).alias("ttl"), F.when(kind != "", kind).otherwise("-").alias("kind")
+        F.split_part(token, F.lit(":"), F.lit(1)).try_cast("int").alias("ttl"), F.when(kind != "", kind).otherwise("-").alias("kind")
     )
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Default weights; violations are compared by level, the highest level first.
 WEIGHTS = {
     "alias_link": 1, "type_c": 1, "type_h": 1, "offbyone_alias": 1, "offbyone_link": 1, "bad_alias_merc": 1,
@@ -22,7 +24,7 @@ SWEPT = ["type_n", "type_h", "bad_alias_merc", "bad_alias_name", "bad_alias", "o
 
 def violations(facts: DataFrame) -> DataFrame:
     """(model, level, rule, n): violations per rule family of each candidate model."""
-    f = facts.distinct()
+    f = cut_lineage(facts.distinct())     # every rule reads the facts again; they are computed once
     p = lambda name: f.where(F.col("pred") == name)
     pairs = lambda name, x, y, *more: p(name).select("model", F.col("a1").alias(x), F.col("a2").alias(y), *more)
     kind = F.col("a3").alias("k")

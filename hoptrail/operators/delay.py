@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.probe import router_clock_ms
@@ -18,87 +19,64 @@ def smooth(rtt: int, mdev: int, x: int, start: str) -> tuple[int, int]:
     return rtt, mdev + ((abs(err) - mdev) >> 2)
 
 
-def _fold(values, rtt: int, mdev: int, start: str) -> tuple[int, int]:
-    for x in values:
-        rtt, mdev = smooth(rtt, mdev, x, start)
-    return rtt, mdev
+def _fold_runs(runs: DataFrame, order: list[str], start: str) -> DataFrame:
+    """Folds each (conn, run) from every state between `low` and `high` at once; (0, 0) where they are null.
 
-
-def _fold_unknown(values, low: int, high: int, start: str):
-    """Outcome of a run whose start is only known to lie in [low, high]: the state if every start leads to it.
-
-    A step never changes the order of two estimates, so if the lowest and the highest start meet, all do; from there
-    on the same holds for the deviation, which lies in [0, high - low].
+    A step never changes the order of two estimates, so if the lowest and the highest start meet, all do; from there on
+    the same holds for the deviation, which lies in [0, high - low]. The end is null where they do not meet. A run is
+    one partition of the sort, so its array is bounded whatever the connection's length.
     """
-    a, b, i = low, high, 0
-    while i < len(values) and a != b:
-        a, b, i = smooth(a, 0, values[i], start)[0], smooth(b, 0, values[i], start)[0], i + 1
-    if a != b:
-        return None
-    (ra, ma), (_, mb) = _fold(values[i:], a, 0, start), _fold(values[i:], b, high - low, start)
-    return (ra, ma) if ma == mb else None
+    g = runs.groupBy("conn", "_run").agg(
+        F.array_sort(F.collect_list(F.struct(*order, "rtt"))).alias("v"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.first("m_lo").alias("m_lo"), F.first("m_hi").alias("m_hi"))
 
+    def step(acc, e):
+        x = e["rtt"]
+        move = lambda r: F.when(r == 0, x).otherwise(r + F.shiftright(x - r, 3)) if start == "first" else r + F.shiftright(x - r, 3)
+        turn = lambda m: F.when(acc["a"] == acc["b"], m + F.shiftright(F.abs(x - acc["a"]) - m, 2)).otherwise(m)
+        return F.struct(move(acc["a"]).alias("a"), move(acc["b"]).alias("b"), turn(acc["p"]).alias("p"), turn(acc["q"]).alias("q"))
 
-_ENDS = "conn bigint, _run int, n bigint, end_rtt bigint, end_mdev bigint"
+    init = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("m_lo").alias("p"), F.col("m_hi").alias("q"))
+    met = lambda s: (s["a"] == s["b"]) & (s["p"] == s["q"])
+    d = g.select("conn", "_run", F.size("v").cast("bigint").alias("n"), F.aggregate("v", init, step).alias("s"))
+    return d.select("conn", "_run", "n", F.when(met(F.col("s")), F.col("s.a")).alias("end_rtt"), F.when(met(F.col("s")), F.col("s.p")).alias("end_mdev"))
 
 
 def rtt_states(samples: DataFrame, order: list[str], start: str = "zero"):
-    """Sorted runs of `samples(conn, rtt, ...)` and the state each run starts with, exact for any run length.
+    """Sorted runs of `samples(conn, rtt, ...)` and the state each run ends with, exact for any length of a connection.
 
     Runs that start a connection begin at (0, 0). For a run in the middle of a long connection the fold is tried from
     all possible states at once; where they do not meet, it is repeated once the run before it is known.
     """
     runs = S.in_runs(samples, ["conn"], order)
-    span = runs.groupBy("conn").agg(F.min("_run").alias("first_run"), F.least(F.min("rtt"), F.lit(0)).alias("low"),
-                                    F.greatest(F.max("rtt"), F.lit(0)).alias("high"), F.min("rtt").alias("least"))
-    runs = runs.join(span, "conn")
-    order_cols = list(order)
-
-    def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols)
-        v = [int(x) for x in pdf["rtt"]]
-        r = pdf.iloc[0]
-        if r["_run"] == r["first_run"]:
-            end = _fold(v, 0, 0, start)
-        elif start == "first" and r["least"] <= 0:
-            end = None          # a restart at 0 breaks the order of estimates
-        else:
-            low = int(r["least"]) if start == "first" else int(r["low"])
-            end = _fold_unknown(v, low, int(r["high"]), start)
-        return pd.DataFrame([{"conn": r["conn"], "_run": r["_run"], "n": len(v), "end_rtt": end and end[0], "end_mdev": end and end[1]}])
-
-    cols = ["conn", "_run", "rtt", "first_run", "low", "high", "least", *order_cols]
-    ends = cut_lineage(runs.select(*dict.fromkeys(cols)).groupBy("conn", "_run").applyInPandas(first_pass, _ENDS))
+    zero = F.lit(0).cast("bigint")
+    span = runs.groupBy("conn").agg(F.min("_run").alias("first_run"), F.min("rtt").alias("least"), F.greatest(F.max("rtt"), zero).alias("most"))
+    head = F.col("_run") == F.col("first_run")
+    if start == "first":
+        # a sample of 0 restarts the estimate, which breaks the order of starts: then no end is claimed here
+        low, high = F.when(F.col("least") > 0, F.col("least")), F.when(F.col("least") > 0, F.col("most"))
+    else:
+        low, high = F.least("least", zero), F.col("most")
+    r = runs.join(span, "conn").select(
+        "conn", "_run", "rtt", *order, F.when(head, zero).otherwise(low).alias("lo"), F.when(head, zero).otherwise(high).alias("hi"),
+        zero.alias("m_lo"), F.when(head, zero).otherwise(high - low).alias("m_hi"))
+    ends = cut_lineage(_fold_runs(r, order, start))
     while not ends.where("end_rtt IS NULL").isEmpty():
-        ends = _settle(runs, ends, order_cols, start)
+        ready = _with_start(ends).where("end_rtt IS NULL AND rtt0 IS NOT NULL").select(
+            "conn", "_run", F.col("rtt0").alias("lo"), F.col("rtt0").alias("hi"), F.col("mdev0").alias("m_lo"), F.col("mdev0").alias("m_hi"))
+        done = _fold_runs(runs.select("conn", "_run", "rtt", *order).join(ready, ["conn", "_run"]), order, start)
+        rest = ends.join(ready.select("conn", "_run"), ["conn", "_run"], "left_anti")
+        ends = cut_lineage(rest.unionByName(done))
     return runs, ends
 
 
 def _with_start(ends: DataFrame) -> DataFrame:
-    from pyspark.sql import Window as W
-
     w = W.partitionBy("conn").orderBy("_run")
     first = F.row_number().over(w) == 1
     return ends.select("*", F.when(first, 0).otherwise(F.lag("end_rtt").over(w)).alias("rtt0"),
                        F.when(first, 0).otherwise(F.lag("end_mdev").over(w)).alias("mdev0"))
 
 
-def _settle(runs, ends, order_cols, start):
-    """Folds the open runs whose predecessor is known by now."""
-    ready = _with_start(ends).where("end_rtt IS NULL AND rtt0 IS NOT NULL").select("conn", "_run", "rtt0", "mdev0")
-
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols)
-        r = pdf.iloc[0]
-        a, m = _fold([int(x) for x in pdf["rtt"]], int(r["rtt0"]), int(r["mdev0"]), start)
-        return pd.DataFrame([{"conn": r["conn"], "_run": r["_run"], "n": len(pdf), "end_rtt": a, "end_mdev": m}])
-
-    rows = runs.select(*dict.fromkeys(["conn", "_run", "rtt", *order_cols])).join(ready, ["conn", "_run"])
-    done = rows.groupBy("conn", "_run").applyInPandas(again, _ENDS)
-    rest = ends.join(ready.select("conn", "_run"), ["conn", "_run"], "left_anti")
-    return cut_lineage(rest.select("conn", "_run", "n", "end_rtt", "end_mdev").unionByName(done))
-
-
 def rtt_ewma(samples: DataFrame, order: list[str], start: str = "zero") -> DataFrame:
     """(conn, srtt, mdev, n): smoothed round trip and deviation after the last sample, in arrival order.
 

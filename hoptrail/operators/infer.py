@@ -176,6 +176,7 @@ def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = Non
     A round handles only traces the round before changed, and knowledge moves at most one hop per round, so the
     greatest TTL bounds the number of rounds.
     """
+    rr = cut_lineage(rr.select(*TRACE, "ttl", "resp", "rr"))
     bad = cut_lineage(rejected_traces(rr, tr, path_pairs(rr), flaps))
     rr = rr.join(bad, TRACE, "left_anti")
     pairs = cut_lineage(path_pairs(rr).where("same"))

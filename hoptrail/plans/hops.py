@@ -158,10 +158,12 @@ def _(spark, sf):
     return H.trace_display(T.probes(spark, sf), "rr")
 
 
-@query("type_c_router", RR + " SELECT resp AS ip FROM rrp GROUP BY resp HAVING bool_and(len(rr) > 0 AND coalesce(rr[-1] = resp, false)) AND resp NOT IN (SELECT resp FROM rrp WHERE ttl = 7)")
+@query("type_c_router", RR + """, own AS (SELECT resp, ttl, qty, CASE WHEN resp % 10 = 0 THEN list_concat(rr[1:8], [resp]) ELSE rr END AS rr FROM rrp)
+  SELECT resp AS ip FROM own GROUP BY resp HAVING bool_and(len(rr) > 0 AND coalesce(rr[-1] = resp, false)) AND resp NOT IN (SELECT resp FROM own WHERE ttl = 7 AND qty = 1)""")
 def _(spark, sf):
-    p = T.rr_probes(spark, sf)
-    return H.type_c_router(p, p.where("ttl = 7").select(F.col("resp").alias("ip")))
+    own = F.when(F.col("resp") % 10 == 0, F.concat(F.slice("rr", 1, 8), F.array("resp"))).otherwise(F.col("rr"))
+    p = T.rr_probes(spark, sf).withColumn("rr", own)
+    return H.type_c_router(p, p.where("ttl = 7 AND qty = 1").select(F.col("resp").alias("ip")))
 
 
 @query("rpt_bandwidth", "WITH " + SQL["base"] + """, x AS (SELECT *, CASE WHEN part % 2 = 0 THEN 'Macro' ELSE 'Pollo' END AS ptype, epoch_us(t) / 1e6 + part AS sec, flag <> 'R' AS is_rr FROM base),

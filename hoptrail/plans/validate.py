@@ -97,17 +97,17 @@ def _(spark, sf):
     return V.defringe_graph(T.routers_observed(spark, sf), T.graph_links(spark, sf, "observed"))[0].select("router", "ip")
 
 
-_RT = _B + ", ti AS (SELECT ip FROM truth WHERE ip % 5 < 2)"
+_RT = _B + ", ti AS (SELECT ip FROM truth WHERE ip % 5 < 3)"
 
 
 @query("restrict_to_truth", _RT + " SELECT router, ip FROM observed WHERE router IN (SELECT router FROM observed WHERE ip IN (FROM ti))")
 def _(spark, sf):
-    return V.restrict_to_truth(T.routers_observed(spark, sf), T.graph_links(spark, sf, "observed"), T.routers_true(spark, sf).where("ip % 5 < 2"))[0]
+    return V.restrict_to_truth(T.routers_observed(spark, sf), T.graph_links(spark, sf, "observed"), T.routers_true(spark, sf).where("ip % 5 < 3"))[0]
 
 
 @query("restrict_to_truth_links", _RT + " SELECT ip1, ip2, link_type FROM lo WHERE ip1 IN (FROM ti) AND ip2 IN (FROM ti)")
 def _(spark, sf):
-    return V.restrict_to_truth(T.routers_observed(spark, sf), T.graph_links(spark, sf, "observed"), T.routers_true(spark, sf).where("ip % 5 < 2"))[1].select("ip1", "ip2", "link_type")
+    return V.restrict_to_truth(T.routers_observed(spark, sf), T.graph_links(spark, sf, "observed"), T.routers_true(spark, sf).where("ip % 5 < 3"))[1].select("ip1", "ip2", "link_type")
 
 
 @query("duplicate_interfaces", "SELECT l_suppkey AS ip, count(DISTINCT l_linenumber) AS n_routers, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem WHERE l_quantity = 7 GROUP BY 1 HAVING count(DISTINCT l_linenumber) > 1")
