@@ -177,9 +177,10 @@ def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = Non
     greatest TTL bounds the number of rounds.
     """
     rr = cut_lineage(rr.select(*TRACE, "ttl", "resp", "rr"))
-    bad = cut_lineage(rejected_traces(rr, tr, path_pairs(rr), flaps))
+    pairs = cut_lineage(path_pairs(rr))
+    bad = cut_lineage(rejected_traces(rr, tr, pairs, flaps))
     rr = rr.join(bad, TRACE, "left_anti")
-    pairs = cut_lineage(path_pairs(rr).where("same"))
+    pairs = cut_lineage(pairs.where("same").join(bad, TRACE, "left_anti"))
     state = start_state(rr, pairs).select(*CONSTRAINT).unionByName(rule_double_zero(pairs))
     state = cut_lineage(rule_intersection(state))
     settled = []

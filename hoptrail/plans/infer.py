@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import infer as I
+from ..session import cut_lineage
 from . import tables as T
 from .registry import query
 from .tables import ROUTER_BASE, SQL
@@ -30,8 +31,8 @@ _M = ["src", "dst", "resp", "mask"]
 
 
 def _state(spark, sf):
-    rr = _rr(spark, sf)
-    p = I.path_pairs(rr)
+    rr = cut_lineage(_rr(spark, sf))     # probes and pairs are read several times each
+    p = cut_lineage(I.path_pairs(rr))
     return p, I.start_state(rr, p)
 
 

@@ -116,7 +116,15 @@ def _(spark, sf):
   h AS (SELECT *, sum(b) OVER (PARTITION BY conn ORDER BY ts) AS s FROM g) SELECT conn, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 7200000000 AS "end", count(*) AS n FROM h GROUP BY conn, s""")
 def _(spark, sf):
     e = T.table(spark, sf, "events").select(F.col("user_id").alias("conn"), "ts")
-    return V.idle_sessions(e, "2 hours").withColumn("start", F.unix_micros("start")).withColumn("end", F.unix_micros("end"))
+    return V.idle_sessions(e, 7_200_000_000).withColumn("start", F.unix_micros("start")).withColumn("end", F.unix_micros("end"))
+
+
+@query("stream_idle_sessions", """WITH g AS (SELECT user_id AS conn, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  h AS (SELECT *, sum(b) OVER (PARTITION BY conn ORDER BY ts) AS s FROM g), z AS (SELECT conn, min(ts) AS a, max(ts) + INTERVAL 2 HOUR AS e, count(*) AS n FROM h GROUP BY conn, s)
+  SELECT conn, epoch_us(a) AS start, epoch_us(e) AS "end", n FROM z WHERE epoch_ms(e) <= (SELECT epoch_ms(max(ts) - INTERVAL 1 MINUTE) FROM events)""")
+def _(spark, sf):
+    e = _stream(spark, sf, "events").select(F.col("user_id").alias("conn"), "ts")
+    return _run(spark, V.stream_idle_sessions(e, "2 hours")).withColumn("start", F.unix_micros("start")).withColumn("end", F.unix_micros("end"))
 
 
 _PEER = "(SELECT max(ts) FROM events)"

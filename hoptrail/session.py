@@ -8,13 +8,28 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Runtime settings the operators count on. A join whose result is grouped by its own keys would keep a hot key in one
+# task unless skew handling may add a shuffle.
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Sets the runtime settings on a session the caller made; sizes and partition numbers stay the caller's."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("hoptrail")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("HOPTRAIL_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -22,7 +37,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

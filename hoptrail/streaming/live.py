@@ -187,9 +187,22 @@ def stream_classify_responses(events: DataFrame, timeout_us: int, watermark: str
 
 # -- sessions and peers ----------------------------------------------------------------------------------------------
 
-def idle_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """(conn, start, end, n): activity of a connection between idle gaps; a batch or a stream with a watermark."""
-    return events.groupBy("conn", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
+def idle_sessions(events: DataFrame, gap_us: int) -> DataFrame:
+    """(conn, start, end, n): activity of a connection between idle gaps, over a finished table.
+
+    Gaps are found along sorted runs, so a connection with very many events is not sessionized by one task.
+    """
+    runs = S.in_runs(events.select("conn", "ts"), ["conn"], ["ts"])
+    d = S.lag_over(runs, ["conn"], ["ts"], {"ts": "before"})
+    opens = F.col("before").isNull() | (F.unix_micros("ts") - F.unix_micros("before") >= gap_us)
+    d = S.running_sum(d.withColumn("opens", opens.cast("bigint")), ["conn"], ["ts"], "opens", "session")
+    g = d.groupBy("conn", "session").agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    return g.select("conn", "start", F.timestamp_micros(F.unix_micros("last") + gap_us).alias("end"), "n")
+
+
+def stream_idle_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 minute") -> DataFrame:
+    """The same over a stream: a session comes out once the watermark has passed its end."""
+    return events.withWatermark("ts", watermark).groupBy("conn", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
         "conn", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
