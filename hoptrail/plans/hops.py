@@ -78,7 +78,7 @@ def _(spark, sf):
     return H.probe_ids(T.probes(spark, sf)).select("src", "ttl", "resp", "id")
 
 
-@query("first_probe_wins", RR + """ SELECT src, dst, ttl, it, min_by(resp, part) AS resp FROM (SELECT *, qty % 2 AS it FROM rrp) GROUP BY ALL""")
+@query("first_probe_wins", RR + """ SELECT src, dst, ttl, it, min_by(resp, (part, resp)) AS resp FROM (SELECT *, qty % 2 AS it FROM rrp) GROUP BY ALL""")
 def _(spark, sf):
     p = T.rr_probes(spark, sf).withColumn("it", F.col("qty") % 2).select("src", "dst", "ttl", "it", "resp", F.struct("part", "resp").alias("line_no"))
     return H.first_probe_wins(p).select("src", "dst", "ttl", "it", "resp")
@@ -167,8 +167,8 @@ def _(spark, sf):
 
 
 @query("rpt_bandwidth", "WITH " + SQL["base"] + """, x AS (SELECT *, CASE WHEN part % 2 = 0 THEN 'Macro' ELSE 'Pollo' END AS ptype, epoch_us(t) / 1e6 + part AS sec, flag <> 'R' AS is_rr FROM base),
-  g AS (SELECT src, dst, ttl, 0 AS it, arg_max(sec, (part, qty)) FILTER (ptype = 'Macro') AS m, arg_max(sec, (part, qty)) FILTER (ptype = 'Pollo') AS p,
-     arg_max(tr_resp, (part, qty)) FILTER (ptype = 'Macro') AS mi, arg_max(tr_resp, (part, qty)) FILTER (ptype = 'Pollo') AS pi, arg_max(is_rr, (part, qty)) AS is_rr FROM x GROUP BY ALL),
+  g AS (SELECT src, dst, ttl, 0 AS it, arg_max(sec, (part, qty, sec, tr_resp, is_rr)) FILTER (ptype = 'Macro') AS m, arg_max(sec, (part, qty, sec, tr_resp, is_rr)) FILTER (ptype = 'Pollo') AS p,
+     arg_max(tr_resp, (part, qty, sec, tr_resp, is_rr)) FILTER (ptype = 'Macro') AS mi, arg_max(tr_resp, (part, qty, sec, tr_resp, is_rr)) FILTER (ptype = 'Pollo') AS pi, arg_max(is_rr, (part, qty, sec, tr_resp, is_rr)) AS is_rr FROM x GROUP BY ALL),
   y AS (SELECT src, dst, max(ttl) AS maxttl FROM x GROUP BY ALL)
   SELECT src, dst, ttl, it, mi AS ip, p - m AS delta, 9334 + (CASE WHEN is_rr THEN 80 ELSE 40 END) * (maxttl - ttl) AS bytes,
     CASE WHEN p <> m THEN (9334 + (CASE WHEN is_rr THEN 80 ELSE 40 END) * (maxttl - ttl)) / (p - m) END AS bw, mi <> pi AS flap
@@ -177,8 +177,8 @@ def _(spark, sf):
     b = T._base(spark, sf)
     p = b.select("src", "dst", "ttl", F.lit(0).alias("it"), F.col("tr_resp").alias("resp"),
                  F.when(F.col("part") % 2 == 0, "Macro").otherwise("Pollo").alias("ptype"),
-                 (F.unix_micros("t") / 1e6 + F.col("part")).alias("t"), (F.col("flag") != "R").alias("is_rr"), F.struct("part", "qty").alias("line_no"))
-    return H.rpt_bandwidth(p)
+                 (F.unix_micros("t") / 1e6 + F.col("part")).alias("t"), (F.col("flag") != "R").alias("is_rr"), "part", "qty")
+    return H.rpt_bandwidth(p.withColumn("line_no", F.struct("part", "qty", "t", "resp", "is_rr")))
 
 
 @query("multi_address_hosts", SQL and "WITH r AS (SELECT s_suppkey // 3 AS router, CASE s_nationkey % 3 WHEN 0 THEN 'Source' WHEN 1 THEN 'Endhost' ELSE 'Router' END AS kind, " + f"s_suppkey + {ROUTER_BASE} AS ip FROM supplier) "
