@@ -26,26 +26,26 @@ def violations(facts: DataFrame) -> DataFrame:
     """(model, level, rule, n): violations per rule family of each candidate model."""
     f = cut_lineage(facts.distinct())     # every rule reads the facts again; they are computed once
     p = lambda name: f.where(F.col("pred") == name)
-    pairs = lambda name, x, y, *more: p(name).select("model", F.col("a1").alias(x), F.col("a2").alias(y), *more)
-    kind = F.col("a3").alias("k")
     count = lambda d, rule: d.groupBy("model").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
-    ob = pairs("offbyone", "x", "y")
-    al = lambda x, y, k: pairs("alias", x, y, F.col("a3").alias(k))
+    ends = lambda u, w: F.struct(F.col("a1").alias(u), F.col("a2").alias(w), F.lit(True).alias("fwd"))
+    swapped = lambda u, w: F.struct(F.col("a2").alias(u), F.col("a1").alias(w), F.lit(False).alias("fwd"))
+    # every pair fact from both of its ends
+    both = lambda name, u, w: p(name).select("model", F.explode(F.array(ends(u, w), swapped(u, w))).alias("e")).select("model", "e.*")
+    ob = p("offbyone").select("model", F.col("a1").alias("x"), F.col("a2").alias("y"))
+    al = p("alias").select("model", F.col("a1").alias("x"), F.col("a2").alias("y"))
     link1 = p("link").where("a3 = '1'").select("model", F.col("a2").alias("x"), F.col("a1").alias("y")).distinct()
+    # alias(x,z) with alias(z,y) or alias(y,z), and alias(z,x) with alias(z,y): all but alias(z,x) with alias(y,z).
+    # The off-by-one pair joins first and bounds the middle step.
+    one = ob.join(both("alias", "x", "z").withColumnRenamed("fwd", "out"), ["model", "x"])
+    two = one.join(both("alias", "y", "z"), ["model", "y", "z"]).where("out OR NOT fwd")
+    tr = p("tr").select("model", F.col("a1").alias("x"), F.col("a3").alias("id"))
+    rr = p("rr").where("a2 IN (1, 2)").select("model", F.col("a1").alias("y"), F.col("a3").alias("id"))
     out = [
-        count(al("x", "y", "k1").join(pairs("link", "x", "y", kind), ["model", "x", "y"]), "alias_link"),
-        count(al("x", "y", "k1").join(pairs("link", "y", "x", kind), ["model", "x", "y"]), "alias_link"),
-        count(al("x", "y", "k1").join(ob, ["model", "x", "y"]), "offbyone_alias"),
+        count(al.join(both("link", "x", "y"), ["model", "x", "y"]), "alias_link"),
+        count(al.join(ob, ["model", "x", "y"]), "offbyone_alias"),
+        count(two, "offbyone_alias"),
+        count(ob.join(link1, ["model", "x", "y"], "left_anti").join(tr, ["model", "x"]).join(rr, ["model", "id", "y"]), "offbyone_link"),
     ]
-    for first, second in ((("x", "z"), ("z", "y")), (("x", "z"), ("y", "z")), (("z", "x"), ("z", "y"))):
-        # the off-by-one pair bounds the middle step: it joins before the second alias does
-        one = ob.join(al(*first, "k1"), ["model", "x"])
-        out.append(count(one.join(al(*second, "k2"), ["model", "z", "y"]), "offbyone_alias"))
-    tr = p("tr").select("model", F.col("a1").alias("x"), F.col("a3").alias("id"))
-    for idx in (1, 2):
-        rr = p("rr").where(F.col("a2") == idx).select("model", F.col("a1").alias("y"), F.col("a3").alias("id"))
-        apart = ob.join(link1, ["model", "x", "y"], "left_anti").join(tr, ["model", "x"]).join(rr, ["model", "id", "y"])
-        out.append(count(apart, "offbyone_link"))
     single = f.where("pred = 'type' AND a3 IN ('c', 'h', 'n')").withColumn("rule", F.concat(F.lit("type_"), "a3"))
     bad = f.where("pred IN ('badAlias', 'badNotAlias')").withColumn(
         "rule", F.when(F.col("a3") == "mercatorsource", "bad_alias_merc").when(F.col("a3") == "name", "bad_alias_name").otherwise("bad_alias"))
