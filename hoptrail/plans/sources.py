@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ip as ipf
+from ..session import cut_lineage
 from ..sources import binary as B
 from ..sources import text as X
 from . import tables as T
@@ -54,7 +55,8 @@ def _flat(p):
 
 @query("read_trace_log", _LOG)
 def _(spark, sf):
-    return _flat(X.read_trace_log(trace_lines(T.table(spark, sf, "lineitem"))))
+    logs = cut_lineage(trace_lines(T.table(spark, sf, "lineitem")).repartition("file"))     # stands for the files on disk
+    return _flat(X.read_trace_log(logs))
 
 
 @query("parse_trace_filename", f"SELECT o_orderkey, {sql_ip(f'o_custkey + {SOURCE_BASE}')} AS src, CASE WHEN o_orderkey % 2 = 0 THEN 35343 ELSE 0 END AS sport, {sql_ip(f'o_orderkey + {T.DEST_BASE}')} AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 80 ELSE 33434 END AS dport, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS conn_id FROM orders")
