@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, packing, records
+from . import counts, exact, mixing, packing, records, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,6 +21,10 @@ def _tokenizer() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator_id=0)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -42,6 +46,12 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = warc.write_archives(warc.plan_records(_table(spark, sf_dir, "pages")))
+    read = warc.read_archives(warc.locate_records(packages))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP4_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
@@ -49,7 +59,15 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM d JOIN g USING (t)"""
 
-_ALL = [op3_best_fit_packing, op4_exact_dedup, op7_token_counts, op8_token_records]
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+g AS (SELECT t, min(page_id) AS f FROM p WHERE strlen(t) >= 100 GROUP BY t HAVING count(*) > 1)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload_digest,
+  CASE WHEN f IS NOT NULL AND page_id IS DISTINCT FROM f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
+FROM p LEFT JOIN g USING (t)"""
+
+_ALL = [op1_source_mix, op3_best_fit_packing, op4_exact_dedup, op7_token_counts, op8_token_records, op10_warc]
 
 
 def _configured(fn):
@@ -57,4 +75,4 @@ def _configured(fn):
 
 
 QUERIES = {fn.__name__: _configured(fn) for fn in _ALL}
-ORACLE = {"op4_exact_dedup": OP4_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op10_warc": OP10_SQL}
