@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, mixing, packing, records, warc
+from . import counts, exact, mixing, packing, quality, records, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator_id=0)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -67,7 +71,7 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p LEFT JOIN g USING (t)"""
 
-_ALL = [op1_source_mix, op3_best_fit_packing, op4_exact_dedup, op7_token_counts, op8_token_records, op10_warc]
+_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op7_token_counts, op8_token_records, op10_warc]
 
 
 def _configured(fn):
