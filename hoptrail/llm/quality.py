@@ -184,7 +184,7 @@ def scored(stats: DataFrame, model: Trees, threshold: float) -> DataFrame:
                 [*b.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     given = stats.select(*names, "stats")
-    out = type(given.schema)(given.schema.fields[:-1]).add("score", "double").add("predicted", "int")
+    out = type(given.schema)(given.schema.fields[:-1]).add("score", "double").add("predicted", "integer")
     return given.mapInArrow(score, out)
 
 

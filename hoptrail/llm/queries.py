@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, mixing, packing, quality, records, warc
+from . import counts, exact, jaccard, mixing, packing, quality, records, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +39,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard.similar_documents(_table(spark, sf_dir, "documents"), similarity=0.8)
+    return members
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.context_totals(counts.length_histogram(_table(spark, sf_dir, "documents"), _tokenizer()))
 
@@ -63,6 +68,20 @@ g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
 FROM d JOIN g USING (t)"""
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])
+        WHEN len(w) >= 1 THEN [w] ELSE [] END) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b, k, p.n AS na, q.n AS nb FROM i JOIN c p ON p.doc_id = a JOIN c q ON q.doc_id = b
+      WHERE k >= 0.8 * (p.n + q.n - k) - 1e-9),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.d),
+t AS (SELECT d, min(m) AS class_id FROM r GROUP BY d),
+k AS (SELECT a, count(*) AS n_links, count(*) FILTER (WHERE k = na AND k = nb) AS same FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, coalesce(same, 0) + 1 AS n_copies
+FROM documents JOIN t ON d = doc_id LEFT JOIN k ON k.a = doc_id"""
+
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
 g AS (SELECT t, min(page_id) AS f FROM p WHERE strlen(t) >= 100 GROUP BY t HAVING count(*) > 1)
@@ -71,7 +90,7 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p LEFT JOIN g USING (t)"""
 
-_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op7_token_counts, op8_token_records, op10_warc]
+_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard, op7_token_counts, op8_token_records, op10_warc]
 
 
 def _configured(fn):
@@ -79,4 +98,4 @@ def _configured(fn):
 
 
 QUERIES = {fn.__name__: _configured(fn) for fn in _ALL}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op10_warc": OP10_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_warc": OP10_SQL}

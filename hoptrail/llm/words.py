@@ -112,10 +112,10 @@ def shingles_of(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, times) of the distinct hashes of each text, by text and hash."""
-    if not len(doc):
-        return doc, h, np.zeros(0, np.int64)
-    order = np.lexsort((h, doc))
-    d, s = doc[order], h[order]
-    new = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (s[1:] != s[:-1])])
-    return d[new], s[new], np.diff(np.r_[new, len(d)])
+    """(text, hash, times) of the distinct hashes of each of at most 4096 texts; the hash keeps its upper 52 bits."""
+    key = doc.astype(np.uint64) << np.uint64(52) | h >> np.uint64(12)
+    key.sort()
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+    times = np.diff(np.r_[new, len(key)])
+    key = key[new]
+    return (key >> np.uint64(52)).astype(np.int64), key & np.uint64((1 << 52) - 1), times
