@@ -56,3 +56,23 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of an Arrow column; null counts as empty."""
     return [t or "" for t in column.to_pylist()]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
+    """Re-cuts batches sorted by a non-null integer column so that no group of equal keys is split."""
+    import numpy as np
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b])
+        if held is not None:
+            table = pa.concat_tables([held, table]).combine_chunks()
+        k = table.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1], side="left")) if k[0] <= k[-1] else int(np.flatnonzero(k != k[-1])[-1]) + 1
+        held = table.slice(cut)
+        if cut:
+            yield table.slice(0, cut)
+    if held is not None:
+        yield held

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, jaccard, mixing, packing, quality, records, warc
+from . import counts, exact, jaccard, mixing, neighbours, packing, quality, records, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,6 +55,10 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = warc.write_archives(warc.plan_records(_table(spark, sf_dir, "pages")))
     read = warc.read_archives(warc.locate_records(packages))
@@ -90,7 +94,7 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p LEFT JOIN g USING (t)"""
 
-_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard, op7_token_counts, op8_token_records, op10_warc]
+_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard, op7_token_counts, op8_token_records, op9_nn_descent, op10_warc]
 
 
 def _configured(fn):
