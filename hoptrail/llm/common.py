@@ -76,3 +76,10 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa
             yield table.slice(0, cut)
     if held is not None:
         yield held
+
+
+def broadcast_if(df: DataFrame, size: int, most: int = 32 << 20) -> DataFrame:
+    """Marks ``df`` for a broadcast where its measured ``size`` in bytes is within ``most``; else Spark joins by shuffle."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if size <= most else df

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, jaccard, mixing, neighbours, packing, quality, records, warc
+from . import counts, exact, jaccard, mixing, neighbours, packing, quality, records, substrings, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -39,6 +39,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeated(_table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0).cast("long"), lambda s, x: s + x)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("begins").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _ = jaccard.similar_documents(_table(spark, sf_dir, "documents"), similarity=0.8)
     return members
@@ -94,7 +101,7 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p LEFT JOIN g USING (t)"""
 
-_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op6_ngram_jaccard, op7_token_counts, op8_token_records, op9_nn_descent, op10_warc]
+_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op5_repeated_substrings, op6_ngram_jaccard, op7_token_counts, op8_token_records, op9_nn_descent, op10_warc]
 
 
 def _configured(fn):

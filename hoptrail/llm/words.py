@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that their powers have inverses
 SLICE_BYTES = 2 << 20
 SHINGLE = 5
 
@@ -34,12 +34,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base, and of its inverse modulo 2**64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+@functools.lru_cache(maxsize=2)
+def _powers(bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base, and of its inverse modulo 2**64."""
     out = []
-    for b in (BASE, inverse):
+    for b in (BASES[base], pow(BASES[base], -1, 1 << 64)):
         p = np.full(1 << bits, b, np.uint64)
         p[0] = 1
         out.append(np.cumprod(p))
@@ -59,9 +58,9 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_hash(data: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(running polynomial hash, inverse powers): the hash of bytes i to j is (run[j] - run[i]) * inverse[i]."""
-    power, inverse = _powers(max(16, int(len(data)).bit_length()))
+    power, inverse = _powers(max(21, int(len(data)).bit_length()), base)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=run[1:])
     return run, inverse
