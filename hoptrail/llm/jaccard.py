@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import slices, written
+from .common import broadcast_if, slices, written
 from .words import SLICE_BYTES, distinct, mix, shingles_of, words_of
 
 TREES, LEVELS = 32, 8
@@ -207,3 +207,10 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: f
     return members.select(
         "doc_id", F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"),
         (n - 1 + F.coalesce("_others", F.lit(0))).cast("long").alias("n_links"), n.cast("long").alias("n_copies")), links
+
+
+def without_similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without those whose class has a smaller doc_id; all columns stay. Rows without an id stay."""
+    members, _ = similar_documents(docs, similarity, doc_id=doc_id, text=text, **options)
+    gone = written(members.where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar-gone")
+    return docs.join(broadcast_if(gone, 16 * gone.count()), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

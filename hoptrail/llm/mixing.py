@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import broadcast_if, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_SHARDS = 4096
@@ -61,7 +61,7 @@ def sainte_lague(df: DataFrame, group: list[str], entity: list[str], votes: str,
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 32,
         shard_words: int = 1 << 16, seed: int = 20, doc_id: str = "doc_id", text: str = "text",
-        source: str = "source", keep: bool = False) -> DataFrame:
+        source: str = "source") -> DataFrame:
     """How many words of each document the mix takes: doc_id, size, source, source_size, target, taken.
 
     Sizes count words; a null or empty text has none. A source's documents are dealt to shards of about ``shard_words``
@@ -71,13 +71,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     and q mod n neighbouring blocks, from a seeded one on and around the end, once more. No block is taken more than
     ``most`` times. Equal inputs give equal results, however they are partitioned; rows that repeat a document stand side
     by side. A null source is a source of its own, and last. An empty table, or one without words, takes nothing.
-    ``keep`` also returns the given columns, as the struct column ``_row``.
+    ``key`` names the document: a seeded hash of its id and text.
     """
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if keep else []
-    key = F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+    key = _key(seed, doc_id, text)
     sized = written(docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), key.alias("_h"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row), "mix-sizes")
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     sources = shares(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
     total = F.sum("size").over(W.partitionBy(F.lit(0)))
     sources = sources.withColumn("_house", F.round(total / block_words).cast("long")).withColumn("_one", F.lit(0))
@@ -103,4 +102,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     once = F.greatest(F.lit(0), F.least("_to", "_hi1") - F.greatest("_from", "_lo1"))
     around = F.greatest(F.lit(0), F.least("_to", "_hi2") - F.col("_from"))
     taken = (F.col("_all") * F.col("size") + once + around).cast("long").alias("taken")
-    return d.select("doc_id", "size", "source", "source_size", "target", taken, *["_row"] * keep)
+    return d.select("doc_id", F.col("_h").alias("key"), "size", "source", "source_size", "target", taken)
+
+
+def mixed_documents(docs: DataFrame, seed: int = 20, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents as the mix takes them: each row as often as its taken words hold it, rounded; all columns stay.
+
+    Documents stay whole, so a shard's run of blocks is off by half a document at each end at most. Rows that repeat a
+    document share its number of copies evenly, rounded. A document that is not taken is left out.
+    """
+    m = mix(docs, seed=seed, doc_id=doc_id, text=text, **options).where("size > 0")
+    copies = m.groupBy(F.col("key").alias("_key")).agg(
+        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
+    copies = written(copies, "mix-copies")
+    keyed = docs.withColumn("_key", _key(seed, doc_id, text)).join(broadcast_if(copies, 24 * copies.count()), "_key")
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_nth")).drop("_nth")
+
+
+def _key(seed: int, doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit("")))

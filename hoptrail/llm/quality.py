@@ -205,3 +205,25 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id:
     may_learn = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).alias("label")).where(~held_out("doc_id"))
     model = train(stats, may_learn, label="label", rows=rows)
     return scored(stats, model, threshold).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "score", "predicted")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text",
+                   label: str = "quality", rows: int = TRAIN_ROWS) -> DataFrame:
+    """The documents that the classifier accepts, in one pass over the texts; all columns stay.
+
+    The model is fitted on the statistics of at most ``rows`` labelled documents, found by their ids.
+    """
+    may_learn = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).alias("label")).where(~held_out("_id"))
+    sample = may_learn.where("label IS NOT NULL AND _id IS NOT NULL").select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = given.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"), "left_semi")
+    model = train(document_statistics(found, "text", "doc_id"), may_learn.withColumnRenamed("_id", "doc_id"), label="label", rows=rows)
+    names = [f"_c{k}" for k in range(len(docs.columns))]  # given columns may have any names
+    at = docs.columns.index(text)
+
+    def choose(batches):
+        for b in slices(batches, SLICE_BYTES):
+            yield b.filter(pa.array(model.score(statistics(b.column(at))) >= threshold))
+
+    numbered = docs.toDF(*names)
+    return numbered.mapInArrow(choose, numbered.schema).toDF(*docs.columns)

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(TOKENIZER)
@@ -30,7 +30,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), _tokenizer(), capacity=2048, separator_id=0)
+    pieces = packing.cut_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, separator_id=0)
     digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.pack(digests, capacity=2048)
 
@@ -52,11 +52,11 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counts.context_totals(counts.length_histogram(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return counts.context_totals(counts.length_histogram(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = records.write_records(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=2)
+    index = records.write_records(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     digests = records.read_records(index).select(
         "part", "seq", "record", "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
