@@ -94,7 +94,7 @@ def shingles_of(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     wide = np.zeros(len(w.hash), np.uint64)
     for k in range(size):
-        wide[:len(w.hash) - k] += w.hash[k:] * factors[k]
+        wide[:max(0, len(w.hash) - k)] += w.hash[k:] * factors[k]
     whole = np.flatnonzero((np.arange(len(w.hash)) - w.first[w.doc]) + size <= n[w.doc])
     doc, h = w.doc[whole], mix(wide[whole])
     short = np.flatnonzero((n > 0) & (n < size))
