@@ -13,6 +13,7 @@ import struct
 import uuid
 import zipfile
 import zlib
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,6 +29,7 @@ ARCHIVE, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapac
 # Fixed values of the ZIP format: signatures, and the numbers that send a reader to the 64-bit fields.
 END, END64, LOCATOR64, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 NONE16, NONE32 = 0xFFFF, 0xFFFFFFFF
+URL_SAFE = "/:?&=#%~+,;@!$'()*-._[]"  # so an index line's key has neither spaces nor braces
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_DDL = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, "
             "payload binary")
@@ -81,7 +83,7 @@ class _Package:
         stamp = "".join(c for c in date if c.isdigit())[:14]
         facts = {"url": url, "mime": "text/html" if kind == "response" else "warc/revisit", "digest": f"sha256:{digest}",
                  "offset": str(self.at), "length": str(len(data)), "filename": "data.warc.gz"}
-        self.lines.append(f"{url} {stamp} {json.dumps(facts)}")
+        self.lines.append(f"{quote(url, safe=URL_SAFE)} {stamp} {json.dumps(facts)}")
         self.at += len(data)
 
     def close(self) -> int:
@@ -203,7 +205,7 @@ def locate_records(packages: DataFrame) -> DataFrame:
                     found = directory(source)
                     archive, _ = member_range(source, found, ARCHIVE)
                     at, length = member_range(source, found, INDEX)
-                    lines = source.read_at(length, at).decode().splitlines()
+                    lines = source.read_at(length, at).decode().split("\n")
                 facts = [json.loads(x[x.index(" {") + 1:]) for x in lines if x]
                 spots = sorted((archive + int(f["offset"]), int(f["length"])) for f in facts)
                 for k in range(0, len(spots), 8192):
