@@ -29,14 +29,14 @@ def int_to_ip(n) -> Column:
 def ip_atom(ip) -> Column:
     """`w.x.y.z` -> `ipw_x_y_z`; an atom stays as it is."""
     ip = _c(ip)
-    plain = F.when(ip.startswith("ip"), F.substring(ip, 3, 64)).otherwise(ip)
+    plain = F.when(ip.startswith("ip"), F.substr(ip, F.lit(3))).otherwise(ip)
     return F.concat(F.lit("ip"), F.translate(plain, ".", "_"))
 
 
 def atom_ip(atom) -> Column:
     """`ipw_x_y_z` -> `w.x.y.z`; a dotted address stays as it is."""
     a = _c(atom)
-    return F.translate(F.when(a.startswith("ip"), F.substring(a, 3, 64)).otherwise(a), "_", ".")
+    return F.translate(F.when(a.startswith("ip"), F.substr(a, F.lit(3))).otherwise(a), "_", ".")
 
 
 def prefix_mask(length) -> Column:

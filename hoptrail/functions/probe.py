@@ -18,7 +18,6 @@ FILTER_BITS = {"ip": 7, "tcp": 1, "udp": 2, "icmp": 4}
 TIMED_OUT, FILTERED, NOT_SENT = -1, -2, -3
 
 RR_SLOTS = 9          # a record-route option holds at most nine addresses
-MAX_TTL = 30
 COUNTER_MOD = 65536   # 16-bit identification counter
 
 

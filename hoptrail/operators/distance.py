@@ -55,7 +55,8 @@ def random_pair_distance(coords: DataFrame, k: int, max_threshold: int, seed: in
     """``k`` random address pairs (never an address with itself), listed for every threshold their vantages reach."""
     ranked = global_rank(coords.select("ip").distinct(), ["ip"])
     n = coords.select(F.count_distinct("ip")).scalar()
-    draw = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), n)
+    digest = lambda salt: F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(str(salt))), 256)
+    draw = lambda salt: F.pmod(F.conv(F.substring(digest(salt), 1, 15), 16, 10).cast("bigint"), n)
     p = coords.sparkSession.range(k).withColumn("i1", draw(1)).withColumn("i2", draw(2)).withColumn("n", n)
     p = p.withColumn("i2", F.when(F.col("i1") == F.col("i2"), F.pmod(F.col("i2") + 1, F.col("n"))).otherwise(F.col("i2")))
     for i in ("1", "2"):

@@ -81,14 +81,16 @@ def hop_chain_links(hops: DataFrame, null_ip: int = 0) -> DataFrame:
     )
 
 
-def tr_gap(tr: DataFrame, max_ttl: int = pf.MAX_TTL) -> DataFrame:
-    """Hops whose next TTL is silent, with the nearest later answered TTL."""
+def tr_gap(tr: DataFrame, max_ttl: int | None = None) -> DataFrame:
+    """Hops whose next TTL is silent, with the nearest later answered TTL (at most ``max_ttl`` where given)."""
     h = hop_set(tr)
     ttls = h.select(*TRACE, "ttl").distinct()
     w = W.partitionBy(*TRACE).orderBy("ttl")
     gaps = ttls.withColumn("next_ttl", F.lead("ttl").over(w)).where(
-        (F.col("next_ttl") > F.col("ttl") + 1) & (F.col("next_ttl") <= max_ttl)
+        F.col("next_ttl") > F.col("ttl") + 1
     )
+    if max_ttl is not None:
+        gaps = gaps.where(F.col("next_ttl") <= max_ttl)
     return h.join(gaps, [*TRACE, "ttl"]).withColumn("gap", F.col("next_ttl") - F.col("ttl"))
 
 

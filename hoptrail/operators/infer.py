@@ -170,11 +170,11 @@ def rejected_traces(rr: DataFrame, tr: DataFrame, pairs: DataFrame, flaps: DataF
     return out.distinct()
 
 
-def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = None, max_rounds: int = pf.MAX_TTL):
+def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = None):
     """(src, dst, resp, mask, hidden) of accepted traces, by repeating the rules until nothing changes.
 
-    A round handles only traces the round before changed, and knowledge moves at most one hop per round, so the
-    greatest TTL bounds the number of rounds.
+    A round handles only traces the round before changed. Masks only lose bits and ``hidden`` only turns true, so the
+    rounds end by themselves.
     """
     rr = cut_lineage(rr.select(*TRACE, "ttl", "resp", "rr"))
     pairs = cut_lineage(path_pairs(rr))
@@ -184,7 +184,7 @@ def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = Non
     state = start_state(rr, pairs).select(*CONSTRAINT).unionByName(rule_double_zero(pairs))
     state = cut_lineage(rule_intersection(state))
     settled = []
-    for _ in range(max_rounds):
+    while True:
         cons = _constrain(_with_state(pairs, state), *_plus_one_specs(), _forward_spec())
         new = rule_intersection(state.select(*CONSTRAINT).unionByName(cons))
         old = state.select(*TRACE, "resp", F.col("mask").alias("om"), F.col("hidden").alias("oh"))
@@ -294,7 +294,6 @@ def merge_router_types(marks: DataFrame) -> DataFrame:
     """Type marks of one router combined: a mark that another one wins over goes; opposite marks left over are a
     violation, which an MPLS mark excuses. `marks(router, type)` -> (router, types, violation)."""
     g = marks.groupBy("router").agg(F.array_sort(F.collect_set("type")).alias("all"))
-    loses = F.lit(False)
 
     def beaten(t):
         cond = F.lit(False)
@@ -304,7 +303,7 @@ def merge_router_types(marks: DataFrame) -> DataFrame:
 
     kept = F.filter("all", lambda t: ~beaten(t))
     g = g.withColumn("types", kept)
-    clash = loses
+    clash = F.lit(False)
     for x, ys in OPPOSITE_TYPES.items():
         for y in ys:
             clash = clash | (F.array_contains("types", x) & F.array_contains("types", y))

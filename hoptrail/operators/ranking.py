@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def _order_name(c) -> str:
-    return c
-
-
 def global_prefix_sum(df: DataFrame, order: list[str], amount: str, out: str = "cum", total: str = "total") -> DataFrame:
     """Inclusive running sum of ``amount`` in the order of ``order`` over the whole table.
 
@@ -93,7 +89,7 @@ def random_shuffle(df: DataFrame, seed: int = 0) -> DataFrame:
 
 def sample_n(df: DataFrame, n: int, key: Column | None = None, seed: int = 0) -> DataFrame:
     """``n`` rows at random. With a ``key`` the choice depends on the row only, so reruns agree."""
-    order = F.rand(seed) if key is None else F.xxhash64(key, F.lit(seed))
+    order = F.rand(seed) if key is None else F.sha2(F.concat_ws(":", key.cast("string"), F.lit(str(seed))), 256)
     return df.withColumn("_o", order).orderBy("_o").limit(n).drop("_o")
 
 

@@ -86,12 +86,12 @@ def paranoid_pairs(pairs: DataFrame, tr: DataFrame, level: int, layer2: DataFram
     return pairs.join(l2, TRACE, "left_anti").unionByName(both(pairs.join(l2, TRACE, "left_semi")))
 
 
-def gap_links(rr: DataFrame, tr: DataFrame, lazy_fixed: DataFrame | None = None, max_ttl: int = pf.MAX_TTL) -> DataFrame:
+def gap_links(rr: DataFrame, tr: DataFrame, lazy_fixed: DataFrame | None = None, max_ttl: int | None = None) -> DataFrame:
     """For a probe without a pair: the nearest later TTL with a probe whose list agrees on the common entries.
 
     Lists agree by prefix, so later probes are keyed by each of their prefixes (ten at most) and only the lowest probe
     per (prefix, TTL) is kept; a probe then meets at most a few candidates, however many probes its trace has. Where a
-    probe recorded its own address last, its last common entry may differ.
+    probe recorded its own address last, its last common entry may differ. ``max_ttl`` limits the later TTL where given.
     """
     d = rr_set(rr)
     paired = rr_probe_pairs(rr, tr).select(*TRACE, "ttl", F.col("resp1").alias("resp"), F.col("rr1").alias("rr"))
@@ -99,7 +99,8 @@ def gap_links(rr: DataFrame, tr: DataFrame, lazy_fixed: DataFrame | None = None,
         paired, RR_COLS, "left_anti"
     )
     two = d if lazy_fixed is None else d.join(lazy_fixed.select(F.col("ip").alias("resp")).distinct(), "resp", "left_anti")
-    two = two.where(F.col("ttl") <= max_ttl)
+    if max_ttl is not None:
+        two = two.where(F.col("ttl") <= max_ttl)
     cand = (
         two.select(*TRACE, F.col("ttl").alias("ttl2"), "resp", "rr", F.explode(F.sequence(F.lit(0), F.size("rr"))).alias("k"))
         .withColumn("prefix", F.slice("rr", 1, F.col("k")))
@@ -194,10 +195,10 @@ def flaky_routers(rr: DataFrame):
     return rr_set(rr).join(drop, RR_COLS, "left_anti"), tags
 
 
-def find_lazy(rr: DataFrame, tr: DataFrame) -> DataFrame:
+def find_lazy(rr: DataFrame, h: DataFrame) -> DataFrame:
     """Per trace the first lazy probe: its responder answers plain probes one TTL later, not at its own TTL, and does
-    not come up again in the record-route probes one TTL later. Its last recorded address is the demark."""
-    h = hop_set(tr)
+    not come up again in the record-route probes one TTL later. Its last recorded address is the demark.
+    ``h`` has the distinct plain hops."""
     later_tr = h.select(*TRACE, (F.col("ttl") - 1).alias("ttl"), "resp")
     later_rr = rr.select(*TRACE, (F.col("ttl") - 1).alias("ttl"), "resp").distinct()
     key = [*TRACE, "ttl", "resp"]
@@ -207,16 +208,18 @@ def find_lazy(rr: DataFrame, tr: DataFrame) -> DataFrame:
         *TRACE, F.col("f.ttl").alias("lazy_ttl"), F.element_at("f.rr", -1).alias("demark"))
 
 
-def lazy_routers(rr: DataFrame, tr: DataFrame, max_rounds: int = pf.MAX_TTL):
+def lazy_routers(rr: DataFrame, tr: DataFrame):
     """Moves record-route probes that went through a lazy demark to the next TTL, until no trace has a lazy probe.
 
     Returns (probes, tags, lazy-fixed responders, traces to be checked at paranoid level 2). Only traces in which a
-    round found something enter the next round.
+    round found something enter the next round. A round moves probes up to a TTL at which plain probes answer, so the
+    rounds end by themselves.
     """
     done, tags, fixed, traces = [], [], [], []
+    hops = cut_lineage(hop_set(tr))
     active = cut_lineage(rr_set(rr))
-    for _ in range(max_rounds):
-        found = cut_lineage(find_lazy(active, tr))
+    while True:
+        found = cut_lineage(find_lazy(active, hops))
         if found.isEmpty():
             break
         done.append(active.join(found.select(*TRACE), TRACE, "left_anti"))
@@ -224,7 +227,7 @@ def lazy_routers(rr: DataFrame, tr: DataFrame, max_rounds: int = pf.MAX_TTL):
         through = F.array_contains("rr", F.col("demark"))
         fixed.append(j.where(through).select(F.col("resp").alias("ip")))
         tags.append(found.select(F.col("demark").alias("ip"), F.lit("lazydemark").alias("tag")))
-        tags.append(hop_set(tr).join(found.select(*TRACE, F.col("lazy_ttl").alias("ttl")), [*TRACE, "ttl"], "left_semi")
+        tags.append(hops.join(found.select(*TRACE, F.col("lazy_ttl").alias("ttl")), [*TRACE, "ttl"], "left_semi")
                     .select(F.col("resp").alias("ip"), F.lit("lazy").alias("tag")))
         traces.append(found.select(*TRACE))
         active = cut_lineage(

@@ -8,7 +8,7 @@ from . import tables as T
 from .registry import query
 from .tables import ROUTER_BASE, SQL
 
-_IPS = f"""l AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_quantity = 50 AND l_tax < 0.05), r AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_discount = 0.03 AND l_tax > 0.04)"""
+_IPS = f"""l AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_partkey % 2 = 0), r AS (SELECT DISTINCT l_partkey + {ROUTER_BASE} AS ip FROM lineitem WHERE l_partkey % 2 = 1 OR l_partkey % 3 = 0)"""
 
 
 def _part_ips(spark, sf, cond):
@@ -17,7 +17,7 @@ def _part_ips(spark, sf, cond):
 
 @query("diff_ips", "WITH " + _IPS + " SELECT ip, '-' AS side FROM l WHERE ip NOT IN (FROM r) UNION ALL SELECT ip, '+' FROM r WHERE ip NOT IN (FROM l)")
 def _(spark, sf):
-    return D.diff_ips(_part_ips(spark, sf, "l_quantity = 50 AND l_tax < 0.05"), _part_ips(spark, sf, "l_discount = 0.03 AND l_tax > 0.04"))
+    return D.diff_ips(_part_ips(spark, sf, "l_partkey % 2 = 0"), _part_ips(spark, sf, "l_partkey % 2 = 1 OR l_partkey % 3 = 0"))
 
 
 def _pairs(spark, sf, cond):
@@ -29,7 +29,8 @@ def _p(cond, name):
     return f"{name} AS (SELECT DISTINCT least(l_suppkey, l_partkey) + {ROUTER_BASE} AS ip1, greatest(l_suppkey, l_partkey) + {ROUTER_BASE} AS ip2 FROM lineitem WHERE {cond})"
 
 
-_C = ["l_quantity < 4 AND l_linenumber < 5", "l_quantity < 6 AND l_linenumber > 2", "l_quantity < 9 AND l_linenumber IN (1, 4, 6)"]
+# three overlapping parts that together hold every row
+_C = ["l_partkey % 3 <> 0 OR l_partkey % 30 = 0 AND l_orderkey % 2 = 0", "l_orderkey % 2 = 0", "l_partkey % 3 <> 1 OR l_partkey % 30 = 1 AND l_orderkey % 2 = 0"]
 _L, _M, _R = (_p(c, n) for c, n in zip(_C, "lmr"))
 _LI = ", li AS (SELECT ip1 AS ip FROM l UNION SELECT ip2 FROM l), ri AS (SELECT ip1 AS ip FROM r UNION SELECT ip2 FROM r)"
 
@@ -100,11 +101,11 @@ def _(spark, sf):
     return D.graph_subset(o, G.link_ends(T.graph_links(spark, sf, "observed"), o), [(ROUTER_BASE + 32, 28)])[1].select("r1", "ip1", "r2", "ip2", "link_type")
 
 
-@query("union_facts", "SELECT l_suppkey AS a, l_linenumber AS b FROM lineitem WHERE l_quantity > 40 UNION SELECT l_partkey, l_linenumber FROM lineitem WHERE l_quantity < 5")
+@query("union_facts", "SELECT l_suppkey AS a, l_linenumber AS b FROM lineitem WHERE l_quantity > 25 UNION SELECT l_partkey, l_linenumber FROM lineitem WHERE l_quantity <= 25")
 def _(spark, sf):
     li = T.table(spark, sf, "lineitem")
-    return D.union_facts(li.where("l_quantity > 40").select(F.col("l_suppkey").alias("a"), F.col("l_linenumber").alias("b")),
-                         li.where("l_quantity < 5").select(F.col("l_partkey").alias("a"), F.col("l_linenumber").alias("b")))
+    return D.union_facts(li.where("l_quantity > 25").select(F.col("l_suppkey").alias("a"), F.col("l_linenumber").alias("b")),
+                         li.where("l_quantity <= 25").select(F.col("l_partkey").alias("a"), F.col("l_linenumber").alias("b")))
 
 
 @query("subset_compare", "WITH " + _G + f""", t1 AS (SELECT ip, 'A' AS type FROM truth WHERE ip % 9 <> 0), t2 AS (SELECT ip, CASE WHEN ip % 4 = 0 THEN 'B' ELSE 'A' END AS type FROM observed), k AS (SELECT ip FROM t1),

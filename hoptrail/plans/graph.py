@@ -96,11 +96,11 @@ _TL = ["A", "B", "N", "U", "C", "MPLS"]
 
 def _typed(spark, sf):
     t = F.element_at(F.array(*[F.lit(x) for x in _TL]), (F.col("l_suppkey") % 6 + 1).cast("int"))
-    return T.table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_partkey").alias("router")).agg(
+    return T.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("router")).agg(
         F.array_sort(F.collect_set(F.when(F.col("l_quantity") > 10, t))).alias("types"))
 
 
-_TYPED = f"tp AS (SELECT l_partkey AS router, coalesce(list_sort(list_distinct(list(CASE WHEN l_quantity > 10 THEN {_TL}[1 + l_suppkey % 6] END))), []) AS types FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
+_TYPED = f"tp AS (SELECT l_partkey AS router, coalesce(list_sort(list_distinct(list(CASE WHEN l_quantity > 10 THEN {_TL}[1 + l_suppkey % 6] END))), []) AS types FROM lineitem GROUP BY 1)"
 
 
 @query("router_type_histogram", "WITH " + _TYPED + " SELECT array_to_string(types, '_') AS type, count(*) AS n, 100.0 * count(*) / (SELECT count(*) FROM tp WHERE len(types) > 0) AS pct FROM tp GROUP BY 1")
@@ -119,24 +119,25 @@ def _(spark, sf):
 _LBL = ["source", "nat", "endhost", "hidden", "mpls", "lazy", "flaky"]
 
 
-@query("router_label", f"""WITH m AS (SELECT l_partkey AS router, {_LBL}[1 + l_suppkey % 7] AS tag, CASE l_linenumber % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'n' END AS type FROM lineitem WHERE l_linenumber < 4 AND l_quantity < 4),
+@query("router_label", f"""WITH m AS (SELECT l_partkey AS router, {_LBL}[1 + l_partkey % 7] AS tag, CASE (l_partkey // 7 + l_linenumber // 4) % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'n' END AS type FROM lineitem),
   k AS (SELECT router, CASE WHEN bool_or(tag = 'source') THEN 'S' WHEN bool_or(tag = 'nat') THEN 'N' WHEN bool_or(tag = 'endhost') THEN 'E' WHEN bool_or(tag = 'hidden') THEN 'H' ELSE 'R' END AS kind,
    string_agg(DISTINCT upper(type), '_' ORDER BY upper(type)) AS ty, string_agg(DISTINCT upper(tag), '_' ORDER BY upper(tag)) FILTER (tag IN ('mpls', 'lazy', 'flaky')) AS ot FROM m GROUP BY router)
   SELECT router, concat_ws('_', kind || CAST(router AS VARCHAR), ty, ot) AS label FROM k""")
 def _(spark, sf):
-    m = T.table(spark, sf, "lineitem").where("l_linenumber < 4 AND l_quantity < 4").select(
-        F.col("l_partkey").alias("router"), F.lit(0).alias("ip"), F.element_at(F.array(*[F.lit(x) for x in _LBL]), (F.col("l_suppkey") % 7 + 1).cast("int")).alias("tag"),
-        F.when(F.col("l_linenumber") % 3 == 0, "a").when(F.col("l_linenumber") % 3 == 1, "b").otherwise("n").alias("type"))
+    turn = (F.floor(F.col("l_partkey") / 7) + F.floor(F.col("l_linenumber") / 4)) % 3
+    m = T.table(spark, sf, "lineitem").select(
+        F.col("l_partkey").alias("router"), F.lit(0).alias("ip"), F.element_at(F.array(*[F.lit(x) for x in _LBL]), (F.col("l_partkey") % 7 + 1).cast("int")).alias("tag"),
+        F.when(turn == 0, "a").when(turn == 1, "b").otherwise("n").alias("type"))
     return G.router_label(m)
 
 
 _MERGE = SQL["truth"] + ", " + SQL["observed"] + ", " + SQL["links_observed"] + ", " + SQL["links_truth"] + """,
- sets AS (SELECT 'a' || router AS router, ip FROM truth WHERE (ip % 16) < 8 UNION ALL SELECT 'b' || router, ip FROM observed),
+ sets AS (SELECT 'a' || router AS router, ip FROM truth UNION ALL SELECT 'b' || router, ip FROM observed),
  e AS (SELECT min(ip) OVER (PARTITION BY router) AS a, ip AS b FROM sets), """ + _COMP + ", bl AS (SELECT ip1, ip2, min(link_type) AS link_type FROM (FROM lo UNION ALL FROM lt) GROUP BY ALL)"
 
 
 def _merge_in(spark, sf):
-    t = T.routers_true(spark, sf).where("ip % 16 < 8").select(F.lit("a").alias("graph"), "router", "ip")
+    t = T.routers_true(spark, sf).select(F.lit("a").alias("graph"), "router", "ip")
     o = T.routers_observed(spark, sf).select(F.lit("b").alias("graph"), "router", "ip")
     return t.unionByName(o), T.graph_links(spark, sf, "observed").unionByName(T.graph_links(spark, sf, "truth"))
 

@@ -156,15 +156,15 @@ def _verdicts(spark, sf):
         F.when(F.col("l_discount") > 0.05, "ALIAS").otherwise("NOT").alias("verdict"), F.col("l_returnflag").alias("source"))
 
 
-@query("attach_alias_evidence", RR + ", " + _VERD + ", i AS (SELECT DISTINCT resp AS ip FROM trp WHERE ttl = 1 AND qty < 5) SELECT CASE verdict WHEN 'ALIAS' THEN 'potentialAlias' ELSE 'potentialNotAlias' END AS pred, ip1, ip2, source, count(*) AS n FROM v WHERE ip1 IN (FROM i) AND ip2 IN (FROM i) GROUP BY ALL")
+@query("attach_alias_evidence", RR + ", " + _VERD + ", i AS (SELECT DISTINCT resp AS ip FROM trp) SELECT CASE verdict WHEN 'ALIAS' THEN 'potentialAlias' ELSE 'potentialNotAlias' END AS pred, ip1, ip2, source, count(*) AS n FROM v WHERE ip1 IN (FROM i) AND ip2 IN (FROM i) GROUP BY ALL")
 def _(spark, sf):
-    ips = T.tr_probes(spark, sf).where("ttl = 1 AND qty < 5").select(F.col("resp").alias("ip"))
+    ips = T.tr_probes(spark, sf).select(F.col("resp").alias("ip"))
     return R.attach_alias_evidence(_verdicts(spark, sf), ips).groupBy("pred", "ip1", "ip2", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("attach_hints", RR + f" SELECT s_suppkey + {ROUTER_BASE} AS ip, s_name AS hint FROM supplier WHERE s_suppkey + {ROUTER_BASE} IN (SELECT resp FROM trp WHERE ttl = 1 AND qty < 5)")
+@query("attach_hints", RR + f" SELECT s_suppkey + {ROUTER_BASE} AS ip, s_name AS hint FROM supplier WHERE s_suppkey + {ROUTER_BASE} IN (SELECT resp FROM trp)")
 def _(spark, sf):
-    ips = T.tr_probes(spark, sf).where("ttl = 1 AND qty < 5").select(F.col("resp").alias("ip"))
+    ips = T.tr_probes(spark, sf).select(F.col("resp").alias("ip"))
     hints = T.table(spark, sf, "supplier").select((F.col("s_suppkey") + ROUTER_BASE).alias("ip"), F.col("s_name").alias("hint"))
     return R.attach_hints(ips, hints)
 

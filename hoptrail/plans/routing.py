@@ -8,7 +8,7 @@ from . import tables as T
 from .registry import query
 from .tables import DEST_BASE, ROUTER_BASE, SOURCE_BASE, SQL
 
-_PFX = f"""pf AS (SELECT ((({ROUTER_BASE} + p_partkey * 3) >> (4 + p_partkey % 9)::INT) << (4 + p_partkey % 9)::INT) AS net, CAST(28 - p_partkey % 9 AS INTEGER) AS len, CAST(100 + p_partkey % 50 AS VARCHAR) AS asn FROM part WHERE p_size % 5 = 0),
+_PFX = f"""pf AS (SELECT ((({ROUTER_BASE} + p_partkey * 3) >> (4 + p_partkey % 9)::INT) << (4 + p_partkey % 9)::INT) AS net, CAST(28 - p_partkey % 9 AS INTEGER) AS len, CAST(100 + p_partkey % 50 AS VARCHAR) AS asn FROM part),
  pf1 AS (SELECT net, len, min(asn) AS asn FROM pf GROUP BY 1, 2), pip AS (SELECT p_partkey * 3 + 7 + {ROUTER_BASE} AS ip FROM part),
  hit AS (SELECT ip, asn, len, row_number() OVER (PARTITION BY ip ORDER BY len DESC) AS i FROM pip JOIN pf1 ON ip >> (32 - len) = net >> (32 - len))"""
 
@@ -17,7 +17,7 @@ def _prefixes(spark, sf):
     k = F.col("p_partkey")
     bits = (4 + k % 9).cast("int")
     net = F.call_function("shiftleft", F.call_function("shiftright", ROUTER_BASE + k * 3, bits), bits)
-    return T.table(spark, sf, "part").where("p_size % 5 = 0").select(
+    return T.table(spark, sf, "part").select(
         net.alias("net"), (28 - k % 9).cast("int").alias("len"), (100 + k % 50).cast("string").alias("asn"))
 
 
@@ -30,12 +30,12 @@ def _(spark, sf):
     return R.ip_to_asn(_ips(spark, sf), _prefixes(spark, sf))
 
 
-_BL = "WITH " + _PFX + ", bits AS (SELECT ip, CAST(bit_or([7, 1, 2, 4][1 + CAST(asn AS INTEGER) % 4]) AS INTEGER) AS bits FROM pip JOIN pf ON ip >> (32 - len) = net >> (32 - len) WHERE len > 23 GROUP BY ip)"
+_BL = "WITH " + _PFX + ", bits AS (SELECT ip, CAST(bit_or([7, 1, 2, 4][1 + CAST(asn AS INTEGER) % 4]) AS INTEGER) AS bits FROM pip JOIN pf ON ip >> (32 - len) = net >> (32 - len) WHERE len > 27 GROUP BY ip)"
 
 
 def _black(spark, sf):
     bits = F.element_at(F.array(*[F.lit(b) for b in (7, 1, 2, 4)]), F.col("asn").cast("int") % 4 + 1)
-    return _prefixes(spark, sf).where("len > 23").select("net", "len", bits.alias("bits"))
+    return _prefixes(spark, sf).where("len > 27").select("net", "len", bits.alias("bits"))
 
 
 @query("filter_codes", _BL + " SELECT * FROM bits")
@@ -120,11 +120,6 @@ def _(spark, sf):
     return R.trace_inventory(o.select("src", "dst"), o.where("src % 11 = 0").select("src"), files)
 
 
-@query("archive_sizes")
-def _(spark, sf):
-    return R.archive_sizes(spark, sf)
-
-
 @query("cdf", "WITH s AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders) SELECT 0.0::DOUBLE AS value, 0.0::DOUBLE AS p UNION ALL SELECT v, i / n FROM s WHERE i % (CAST(floor(0.0001 * n) AS BIGINT) + 1) = 0")
 def _(spark, sf):
     return K.cdf(T.table(spark, sf, "orders"), "o_totalprice")
@@ -150,7 +145,7 @@ def _(spark, sf):
     return K.random_shuffle(T.table(spark, sf, "part").select("p_partkey"), 7)
 
 
-@query("sample_n")
+@query("sample_n", "SELECT p_partkey FROM part ORDER BY sha256(CAST(p_partkey AS VARCHAR) || ':3') LIMIT 50")
 def _(spark, sf):
     return K.sample_n(T.table(spark, sf, "part").select("p_partkey"), 50, F.col("p_partkey"), 3)
 

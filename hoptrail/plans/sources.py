@@ -170,12 +170,12 @@ def _(spark, sf):
 
 
 def verdict_lines(spark, sf):
-    t = F.element_at(F.array(L("ALIAS! ally/ipid: 64985, 64986"), L("NOT ALIAS. quick (2): 30403"), L("UNKNOWN. no data")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    t = F.element_at(F.array(L("ALIAS! probe/x: 11, 12"), L("NOT ALIAS. timing (9): 5"), L("UNKNOWN. no data")), (F.col("l_partkey") % 3 + 1).cast("int"))
     v = F.concat(_ip(F.col("l_suppkey") + ROUTER_BASE), L(" "), _ip(F.col("l_orderkey") + T.DEST_BASE), L(" :: "), t)
     return T.table(spark, sf, "lineitem").select(L("f").alias("file"), L(0).alias("pos"), v.alias("value"))
 
 
-_VERDICTS = f"SELECT {sql_ip(f'l_suppkey + {ROUTER_BASE}')} AS ip1, {sql_ip(f'l_orderkey + {T.DEST_BASE}')} AS ip2, ['allyipid', 'quick', NULL][1 + l_partkey % 3] AS source, ['ALIAS', 'NOT', 'UNKNOWN'][1 + l_partkey % 3] AS verdict FROM lineitem"
+_VERDICTS = f"SELECT {sql_ip(f'l_suppkey + {ROUTER_BASE}')} AS ip1, {sql_ip(f'l_orderkey + {T.DEST_BASE}')} AS ip2, ['probex', 'timing', NULL][1 + l_partkey % 3] AS source, ['ALIAS', 'NOT', 'UNKNOWN'][1 + l_partkey % 3] AS verdict FROM lineitem"
 
 
 @query("read_alias_verdicts", _VERDICTS)

@@ -23,6 +23,17 @@ def _stream(spark, sf, name):
     return d
 
 
+def _in_batches(spark, sf, name, batches=4, files=4):
+    """A table's rows as a stream of several micro-batches in the order of event time, one quantile of ``ts`` each."""
+    d = T.table(spark, sf, name)
+    cuts = d.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [k / batches for k in range(1, batches)], 0.01)
+    path = f"{scratch(spark)}/{name}"
+    part = sum((F.when(F.unix_micros("ts") > c, 1).otherwise(0) for c in cuts), L(0))
+    for k in range(batches):
+        d.where(part == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def _run(spark, stream, mode="append"):
     base = scratch(spark)
     return V.run_to_table(stream, f"{base}/data", f"{base}/state", mode)
@@ -105,11 +116,13 @@ def _(spark, sf):
     return V.probe_timeouts(*_answers(T.table(spark, sf, "events")), _LIMIT).withColumn("due", F.unix_micros("due"))
 
 
-@query("stream_classify_responses", _ANS + " SELECT * FROM c")
+@query("stream_classify_responses", _ANS + """, h AS (SELECT epoch_ms(max(ts)) AS m FROM (SELECT ts FROM r UNION ALL SELECT sent_ts FROM p))
+  SELECT * FROM c UNION ALL SELECT t.conn, t.probe, NULL, 'TIMEOUT' FROM t JOIN p USING (conn, probe), h
+   WHERE (t.conn, t.probe) IN (SELECT (conn, probe) FROM r) OR epoch_ms(sent_ts) + 60001 <= m - 300000""")
 def _(spark, sf):
-    p, r = _answers(_stream(spark, sf, "events"))
+    p, r = _answers(_in_batches(spark, sf, "events"))
     ev = p.select("conn", "probe", L("probe").alias("kind"), L(None).cast("bigint").alias("id"), "ts").unionByName(r.select("conn", "probe", L("response").alias("kind"), F.col("resp_id").alias("id"), "ts"))
-    return _run(spark, V.stream_classify_responses(ev, _LIMIT)).where("status <> 'TIMEOUT'")
+    return _run(spark, V.stream_classify_responses(ev, _LIMIT, "5 minutes"))
 
 
 @query("idle_sessions", """WITH g AS (SELECT user_id AS conn, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -52,14 +52,14 @@ def _base(spark, sf):
 def tr_probes(spark, sf) -> DataFrame:
     """Plain probes: src, dst, ttl, resp, t."""
     return (
-        _base(spark, sf).where("status = 'F'")
+        _base(spark, sf).where("status = 'F' OR flag = 'R'")
         .select("trace", "src", "dst", "ttl", F.col("tr_resp").alias("resp"), "t", "qty")
     )
 
 
 def recorded_hops(spark, sf) -> DataFrame:
     """(trace, hops): array of (ttl, key, ip) a record option could hold, nine per TTL at most."""
-    li = table(spark, sf, "lineitem").where(F.col("l_partkey") % 4 != 0)
+    li = table(spark, sf, "lineitem").where((F.col("l_orderkey") + F.col("l_partkey")) % 4 != 0)
     hops = li.select(
         F.col("l_orderkey").alias("trace"), F.col("l_linenumber").cast("int").alias("ttl"), F.col("l_partkey").alias("part")
     ).distinct()
@@ -207,9 +207,9 @@ SQL["base"] = f"""base AS (
          CAST(l_quantity AS INTEGER) AS qty, l_shipdate AS t
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 SQL["tr"] = SQL["base"] + """, trp AS (
-  SELECT trace, src, dst, ttl, tr_resp AS resp, t, qty FROM base WHERE status = 'F')"""
+  SELECT trace, src, dst, ttl, tr_resp AS resp, t, qty FROM base WHERE status = 'F' OR flag = 'R')"""
 SQL["rr"] = SQL["tr"] + f""", hop0 AS (
-  SELECT DISTINCT l_orderkey AS trace, l_linenumber AS ttl, l_partkey AS part FROM lineitem WHERE l_partkey % 4 <> 0),
+  SELECT DISTINCT l_orderkey AS trace, l_linenumber AS ttl, l_partkey AS part FROM lineitem WHERE (l_orderkey + l_partkey) % 4 <> 0),
 hop1 AS (SELECT trace, list({{'t': ttl, 'p': part}} ORDER BY ttl, part) AS hops FROM
   (SELECT *, row_number() OVER (PARTITION BY trace, ttl ORDER BY part) AS n FROM hop0) WHERE n <= 9 GROUP BY trace),
 rrp AS (

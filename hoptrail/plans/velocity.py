@@ -63,7 +63,7 @@ def _pairs(spark, sf):
     return ip.select("ip1", (F.col("ip1") + 1).alias("ip2")).join(ip.select(F.col("ip1").alias("ip2")), "ip2", "left_semi")
 
 
-_P = _U + ", pr AS (SELECT a.ip AS ip1, a.ip + 1 AS ip2 FROM (SELECT DISTINCT ip FROM ipid) a WHERE a.ip + 1 IN (SELECT ip FROM ipid))"
+_P = _U + ", pr AS (SELECT DISTINCT a.ip AS ip1, a.ip + 1 AS ip2 FROM (SELECT DISTINCT ip FROM ipid) a WHERE a.ip + 1 IN (SELECT ip FROM ipid))"
 
 
 @query("pair_velocity", _P + " SELECT ip1, ip2, round(abs(a.slope - b.slope), 4) AS d_slope, abs(a.oi - b.oi) AS d_offset FROM pr JOIN fx a ON a.ip = ip1 JOIN fx b ON b.ip = ip2")
@@ -138,6 +138,14 @@ def _(spark, sf):
     return D.pairs_within_distance(_coords(spark, sf), 14)
 
 
-@query("random_pair_distance")
+_DRAW = "CAST('0x' || substr(sha256(CAST(id AS VARCHAR) || ':0:{}'), 1, 15) AS BIGINT) % n"
+_RANDOM = f""", rk AS (SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT ip FROM co)),
+ dr AS (SELECT id, n, {_DRAW.format(1)} AS i1, {_DRAW.format(2)} AS i2 FROM range(200) t(id), (SELECT max(n) AS n FROM rk)),
+ pr AS (SELECT DISTINCT a.ip AS ip1, b.ip AS ip2 FROM dr JOIN rk a ON a.r = i1 JOIN rk b ON b.r = CASE WHEN i1 = i2 THEN (i2 + 1) % dr.n ELSE i2 END)
+ SELECT threshold, pr.ip1, pr.ip2, coalesce(d, -1) AS d, coalesce(ds.n, 0) AS n FROM pr LEFT JOIN ds ON ds.ip1 = least(pr.ip1, pr.ip2) AND ds.ip2 = greatest(pr.ip1, pr.ip2),
+ range(0, 6) x(threshold) WHERE coalesce(ds.n, 0) >= threshold"""
+
+
+@query("random_pair_distance", _T + _RANDOM)
 def _(spark, sf):
     return D.random_pair_distance(_coords(spark, sf), 200, 5)

@@ -150,16 +150,26 @@ def probe_timeouts(probes: DataFrame, responses: DataFrame, timeout_us: int) ->
     return j.where(F.col("first_ts").isNull() | (F.unix_micros("first_ts") > due)).select(*k, F.timestamp_micros(due).alias("due"))
 
 
-def stream_classify_responses(events: DataFrame, timeout_us: int, watermark: str = "1 minute") -> DataFrame:
+def stream_classify_responses(events: DataFrame, timeout_us: int, watermark: str = "1 minute", keep_us: int = 600_000_000) -> DataFrame:
     """`events(conn bigint, probe bigint, kind probe|response, id bigint, ts timestamp)` -> a status per response, and a
-    TIMEOUT row for a probe whose time ran out by event time."""
+    TIMEOUT row for a probe whose time ran out by event time.
+
+    A probe stays known for ``keep_us`` after its timeout, so that late answers are OLD and further ones DUPLICATE; an
+    answer after that is UNSENT. A key with answers only keeps no state. Rows behind the watermark are dropped by Spark,
+    so the watermark has to cover the disorder of the input.
+    """
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         sent, answered, expired = state.get if state.exists else (None, False, False)
         out = []
         if state.hasTimedOut:
-            if sent is not None and not answered and not expired:
+            due = sent + timeout_us
+            if not answered and not expired:
                 out.append((key[0], key[1], None, "TIMEOUT"))
-            state.remove()
+            if state.getCurrentWatermarkMs() > (due + keep_us) // 1000:
+                state.remove()
+            else:
+                state.update((sent, answered, True))
+                state.setTimeoutTimestamp(max((due + keep_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         else:
             pdf = _sorted([c.assign(order=(c["kind"] == "response").astype(int)) for c in chunks], ["ts", "order", "id"])
             for kind, rid, ts in pdf[["kind", "id", "ts"]].itertuples(index=False):
@@ -170,13 +180,14 @@ def stream_classify_responses(events: DataFrame, timeout_us: int, watermark: str
                     out.append((key[0], key[1], rid, "UNSENT"))
                 else:
                     out.append((key[0], key[1], rid, "DUPLICATE" if answered else "OLD" if micros - sent > timeout_us else "RECV"))
-                    if not answered and micros - sent > timeout_us:
+                    if not answered and not expired and micros - sent > timeout_us:
                         expired = True
                         out.append((key[0], key[1], None, "TIMEOUT"))
                     answered = True
-            state.update((sent, answered, expired))
             if sent is not None:
-                state.setTimeoutTimestamp(max((sent + timeout_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+                state.update((sent, answered, expired))
+                wait = timeout_us + (keep_us if expired else 0)
+                state.setTimeoutTimestamp(max((sent + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         d = pd.DataFrame(out, columns=["conn", "probe", "resp_id", "status"])
         yield d.astype({"resp_id": "Int64"})
 
