@@ -22,9 +22,10 @@ LEVELS = {"alias_link": 10, "type_c": 7}
 SWEPT = ["type_n", "type_h", "bad_alias_merc", "bad_alias_name", "bad_alias", "offbyone_alias", "offbyone_link"]
 
 
-def violations(facts: DataFrame) -> DataFrame:
-    """(model, level, rule, n): violations per rule family of each candidate model."""
-    f = cut_lineage(facts.distinct())     # every rule reads the facts again; they are computed once
+def violations(facts: DataFrame, stored: bool = False) -> DataFrame:
+    """(model, level, rule, n): violations per rule family of each candidate model. Every rule reads the facts again, so
+    they are computed once, unless ``stored`` says that they are distinct and cheap to read."""
+    f = facts if stored else cut_lineage(facts.distinct())
     p = lambda name: f.where(F.col("pred") == name)
     count = lambda d, rule: d.groupBy("model").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit(rule))
     ends = lambda u, w: F.struct(F.col("a1").alias(u), F.col("a2").alias(w), F.lit(True).alias("fwd"))
@@ -60,7 +61,9 @@ def violations(facts: DataFrame) -> DataFrame:
 def model_cost(facts: DataFrame, weights: dict | None = None, found: DataFrame | None = None) -> DataFrame:
     """(model, l10, l7, l5): weighted violations per level; models without one cost 0."""
     w = {**WEIGHTS, **(weights or {})}
-    v = violations(facts) if found is None else found
+    if found is None:
+        facts = cut_lineage(facts.distinct())
+    v = violations(facts, stored=True) if found is None else found
     weight = F.lit(0)
     for rule, x in w.items():
         weight = F.when(F.col("rule") == rule, x).otherwise(weight)

@@ -39,18 +39,44 @@ def path_pairs(rr: DataFrame) -> DataFrame:
     """Record-route probes one TTL apart in a trace, with the length difference of their lists and whether the lists
     agree (`same`). `off` tells that the later responder is next to its last recorded address and not to the one
     before; `plus_b` that a +1 step makes it B rather than A behind a hidden router."""
+    one, two = _neighbours(rr)
+    return _described(one.join(two, [*TRACE, "ttl"]))
+
+
+def _neighbours(rr: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct probes twice: as the earlier of a pair, and as the later one under the earlier TTL."""
     d = rr.select(*TRACE, "ttl", "resp", "rr").distinct()
     one = d.select(*TRACE, "ttl", F.col("resp").alias("resp1"), F.col("rr").alias("rr1"))
-    two = d.select(*TRACE, (F.col("ttl") - 1).alias("ttl"), F.col("resp").alias("resp2"), F.col("rr").alias("rr2"))
+    return one, d.select(*TRACE, (F.col("ttl") - 1).alias("ttl"), F.col("resp").alias("resp2"), F.col("rr").alias("rr2"))
+
+
+def _described(pairs: DataFrame) -> DataFrame:
     near = F.coalesce(ipf.off_by_one_loose("resp2", _entry("rr2", -1)), F.lit(False))
     near2 = F.coalesce(ipf.off_by_one_loose("resp2", _entry("rr2", -2)), F.lit(False))
-    return one.join(two, [*TRACE, "ttl"]).select(
+    return pairs.select(
         *TRACE, "ttl", "resp1", "resp2", "rr1", "rr2",
         (F.size("rr2") - F.size("rr1")).alias("delta"), pf.same_path("rr2", "rr1").alias("same"),
         (near & ~near2).alias("off"), (~near | near2).alias("plus_b"),
     )
 
 
+def settled_pairs(rr: DataFrame) -> DataFrame:
+    """Those of ``path_pairs`` whose lists agree or whose responder is the same, without pairing all probes of a TTL.
+
+    Lists agree when the shorter is a prefix of the longer, so the shorter meets the prefixes of the longer (ten at most)
+    by equality; probes of one responder meet by responder.
+    """
+    one, two = _neighbours(rr)
+    prefixes = lambda d, c, less: d.withColumn("key", F.explode(F.transform(
+        F.sequence(F.lit(0), F.size(c) - less), lambda k: F.slice(c, F.lit(1), k))))
+    key = [*TRACE, "ttl", "key"]
+    later = one.withColumn("key", F.col("rr1")).join(prefixes(two, "rr2", 0), key)
+    shorter = two.withColumn("key", F.col("rr2")).join(prefixes(one.where(F.size("rr1") > 0), "rr1", 1), key)
+    pair = [*TRACE, "ttl", "resp1", "rr1", "resp2", "rr2"]
+    unmoved = one.join(two, [*TRACE, "ttl"]).where("resp1 = resp2").where(~pf.same_path("rr2", "rr1"))
+    return _described(later.select(*pair).unionByName(shorter.select(*pair)).unionByName(unmoved.select(*pair)))
+
+
 def same_path(rr: DataFrame) -> DataFrame:
     """First address that differs between the lists of neighbouring probes, per trace: it gets the tag Flapping."""
     p = path_pairs(rr).withColumn("ip", pf.first_disagreement("rr2", "rr1")).where("ip IS NOT NULL")
@@ -177,7 +203,7 @@ def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = Non
     rounds end by themselves.
     """
     rr = cut_lineage(rr.select(*TRACE, "ttl", "resp", "rr"))
-    pairs = cut_lineage(path_pairs(rr))
+    pairs = cut_lineage(settled_pairs(rr))
     bad = cut_lineage(rejected_traces(rr, tr, pairs, flaps))
     rr = rr.join(bad, TRACE, "left_anti")
     pairs = cut_lineage(pairs.where("same").join(bad, TRACE, "left_anti"))

@@ -132,14 +132,17 @@ def _(spark, sf):
 def _candidates(spark, sf):
     """Candidate models, one per trace: aliases, links, types, overridden evidence, off-by-one pairs and probes."""
     f = T.model_facts(spark, sf)
-    pair = f.where("pred IN ('link', 'alias', 'badAlias')").select("model", "a1", "a2")
-    ob = pair.where("abs(a1 - a2) = 1").select("model", F.explode(F.array(F.struct(F.col("a1").alias("x"), F.col("a2").alias("y")), F.struct(F.col("a2").alias("x"), F.col("a1").alias("y")))).alias("e")).select(
-        "model", F.lit("offbyone").alias("pred"), F.col("e.x").alias("a1"), F.col("e.y").alias("a2"), F.lit("").alias("a3"))
-    al = pair.select("model", F.lit("alias").alias("pred"), "a1", "a2", F.lit("rule").alias("a3"))
-    tr = pair.select("model", F.lit("tr").alias("pred"), "a1", F.lit(None).cast("bigint").alias("a2"), F.col("a1").cast("string").alias("a3"))
-    rr = pair.select("model", F.lit("rr").alias("pred"), F.col("a2").alias("a1"), (1 + F.col("a2") % 2).alias("a2"), F.col("a1").cast("string").alias("a3"))
-    rest = f.where("pred IN ('link', 'type', 'badAlias')")
-    return rest.unionByName(al).unionByName(ob).unionByName(tr).unionByName(rr)
+    a1, a2, none = F.col("a1"), F.col("a2"), F.lit(None).cast("bigint")
+    fact = lambda pred, x, y, z: F.struct(F.lit(pred).alias("pred"), x.alias("a1"), y.alias("a2"), z.alias("a3"))
+    is_pair = F.col("pred").isin("link", "alias", "badAlias")
+    near = is_pair & (F.abs(a1 - a2) == 1)
+    made = F.array(
+        F.when(F.col("pred").isin("link", "type", "badAlias"), F.struct("pred", "a1", "a2", "a3")),
+        F.when(is_pair, fact("alias", a1, a2, F.lit("rule"))),
+        F.when(near, fact("offbyone", a1, a2, F.lit(""))), F.when(near, fact("offbyone", a2, a1, F.lit(""))),
+        F.when(is_pair, fact("tr", a1, none, a1.cast("string"))),
+        F.when(is_pair, fact("rr", a2, 1 + a2 % 2, a1.cast("string"))))
+    return f.select("model", F.explode(F.filter(made, lambda x: x.isNotNull())).alias("e")).select("model", "e.*")
 
 
 _V = "WITH " + SQL["facts"] + """, pair AS (SELECT model, a1, a2 FROM mf WHERE pred IN ('link', 'alias', 'badAlias')),

@@ -118,3 +118,12 @@ def test_best_of_linked_classes_is_symmetric(spark):
     a = spark.createDataFrame([(1, 2, "x"), (3, 2, "y"), (9, 9, "z")], "ip1 bigint, ip2 bigint, source string")
     t = {(r.ip1, r.ip2): (r.derived, r.sources) for r in G.transitive_aliases(a).collect()}
     assert t == {(1, 2): (False, ["x"]), (2, 3): (False, ["y"]), (1, 3): (True, ["x", "y"])}
+
+
+def test_settled_pairs_are_those_of_all_pairs(spark, sf):
+    rr = PI._rr(spark, sf)
+    cols = ["src", "dst", "ttl", "resp1", "rr1", "resp2", "rr2", "delta", "same", "off", "plus_b"]
+    want = I.path_pairs(rr).where("same OR resp1 = resp2").select(cols)
+    got = I.settled_pairs(rr).select(cols)
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).isEmpty()
