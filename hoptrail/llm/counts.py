@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of
+from .common import slices, texts_of, written
 from .tokens import encoder
 
-BUCKET = 1024
+BUCKET = 64
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): how many documents encode to each length. A null or empty text has length 0.
+    """(n_tokens, n_docs): how many documents encode to each length, written. A null or empty text has length 0.
 
     Each task counts its own lengths, so a length that many documents share is one row per slice before the shuffle.
     """
@@ -28,7 +28,7 @@ def length_histogram(docs: DataFrame, tokenizer_path: str, text: str = "text") -
                                              names=["n_tokens", "n_docs"])
 
     lengths = docs.select(F.col(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")
-    return lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return written(lengths.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "lengths")
 
 
 def context_totals(histogram: DataFrame) -> DataFrame:
