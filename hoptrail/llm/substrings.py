@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, slices, whole_groups, written
+from .common import broadcast_if, discard, slices, whole_groups, written
 from .words import buffers, mix, prefix_hash
 
 WINDOW, KMER = 128, 16
 SLICE = 1 << 20
 CLASS_ROWS = 2048     # spans of one core that a task settles by itself
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
-_COVER_DDL = "rid long, t1 long, t2 long, at long, range int, core long, s1 long, s2 long"
+_COVER_DDL = "rid long, t1 long, t2 long, spot long, core long, s1 long, s2 long"
 
 
 def _name(run: np.ndarray, inverse: np.ndarray, start: np.ndarray, end: np.ndarray, salt) -> np.ndarray:
@@ -63,7 +63,8 @@ def _sampled(data: np.ndarray, bounds: np.ndarray, length: int):
 
 
 def _cover(keyed: DataFrame, length: int) -> DataFrame:
-    """One row per sampled position: text (rid, t1, t2), place in it, distances of its windows, names of core and span."""
+    """One row per sampled position: text (rid, t1, t2), spot (place in it and the least and largest distance of its
+    windows, in one number), names of core and span."""
     core_bytes = length - WINDOW + 1
 
     def cover(batches):
@@ -76,10 +77,10 @@ def _cover(keyed: DataFrame, length: int) -> DataFrame:
             run, inverse = prefix_hash(data)
             run2, inverse2 = prefix_hash(data, 1)
             yield pa.RecordBatch.from_arrays([
-                *[b.column(k).take(pa.array(text)) for k in range(3)], pa.array(at - bounds[text]), pa.array(span.astype(np.int32)),
+                *[b.column(k).take(pa.array(text)) for k in range(3)], pa.array((at - bounds[text]) << 16 | span),
                 pa.array(_name(run, inverse, at, at + core_bytes, 0)), pa.array(_name(run, inverse, first, last + length, span)),
                 pa.array(_name(run2, inverse2, first, last + length, span)),
-            ], names=["rid", "t1", "t2", "at", "range", "core", "s1", "s2"])
+            ], names=["rid", "t1", "t2", "spot", "core", "s1", "s2"])
 
     return keyed.select("rid", "t1", "t2", "text").mapInArrow(cover, _COVER_DDL)
 
@@ -97,20 +98,25 @@ def _window_names(spans, core: np.ndarray, low: np.ndarray, high: np.ndarray, le
 
 
 def _spans_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Fetches the bytes of wanted spans (t1, t2, wants: at, range, core): t1, t2, at, range, core, span."""
+    """Fetches the bytes of wanted spans (t1, t2, wants: spots): t1, t2, at, range, core, span."""
+    core_bytes = length - WINDOW + 1
+
     def fetch(batches):
         for b in slices(batches, SLICE, rows=512):
             rows = []
             for text, t1, t2, wants in zip(*[c.to_pylist() for c in b.columns]):
                 raw = text.encode()
-                for w in wants:
-                    low, high = w["range"] >> 8, w["range"] & 255
-                    rows.append((t1, t2, w["at"], w["range"], w["core"], raw[w["at"] - high:w["at"] - low + length]))
+                for spot in wants:
+                    at, low, high = spot >> 16, spot >> 8 & 255, spot & 255
+                    rows.append((t1, t2, at, spot & 65535, raw[at - high:at - low + length]))
             for k in range(0, len(rows), 8192):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k:k + 8192]), kinds)], names=names)
+                t1, t2, at, both, span = (pa.array(c, t) for c, t in zip(zip(*rows[k:k + 8192]), kinds))
+                data, bounds = buffers(span)
+                begin = bounds[:-1] + (both.to_numpy() & 255)
+                core = _name(*prefix_hash(data), begin, begin + core_bytes, 0)
+                yield pa.RecordBatch.from_arrays([t1, t2, at, both, pa.array(core), span], names=["t1", "t2", "at", "range", "core", "span"])
 
-    names = ["t1", "t2", "at", "range", "core", "span"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     j = docs.join(wanted, ["t1", "t2"]).select("text", "t1", "t2", "wants")
     return j.mapInArrow(fetch, "t1 long, t2 long, at long, range int, core long, span binary")
 
@@ -182,18 +188,21 @@ def repeated_runs(keyed: DataFrame, length: int) -> DataFrame:
     """(t1, t2, begins, ends): bytes covered by repeated windows, for the texts (rid, t1, t2, text) that have some."""
     cover = written(_cover(keyed, length), "cover")
     cores = written(cover.groupBy("core").count().where("count > 1").select("core"), "repeated-cores")
-    some = written(cover.join(cores, "core").select("rid", "at", "range", "core", "s1", "s2"), "repeated-cover")
-    span = ["core", "range", "s1", "s2"]
-    names = written(some.groupBy(*span).agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min(F.struct("rid", "at"))["at"].alias("at")), "span-names")
+    some = written(cover.join(cores, "core").select(
+        "rid", "spot", F.col("spot").bitwiseAND(65535).alias("range"), "core", "s1", "s2"), "repeated-cover")
     texts = written(cover.select("rid", "t1", "t2").distinct(), "cover-texts")
-    again = some.join(names.where("n > 1").select(*span), span).select(
-        "rid", (F.col("at") - F.col("range").bitwiseAND(255)).alias("begin"),
-        (F.col("at") - F.shiftright("range", 8) + length).alias("end"))
+    discard(cover)
+    span = ["core", "range", "s1", "s2"]
+    first = F.min(F.struct("rid", "spot"))
+    names = some.groupBy(*span).agg(F.count(F.lit(1)).alias("n"), first.alias("f")).select(*span, "n", "f.rid", "f.spot")
+    names = written(names, "span-names")
+    at, low, high = F.shiftright("spot", 16), F.shiftright("range", 8), F.col("range").bitwiseAND(255)
+    again = some.join(names.where("n > 1").select(*span), span).select("rid", (at - high).alias("begin"), (at - low + length).alias("end"))
     again = again.join(texts, "rid").select("t1", "t2", "begin", "end")
     classes = written(names.groupBy("core").agg(F.count(F.lit(1)).alias("spans")).where("spans > 1"), "open-cores")
     open_ = names.join(classes, "core").join(texts, "rid")
-    wanted = written(open_.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "range", "core")).alias("wants")), "open-spans")
-    size = wanted.agg(F.coalesce(F.sum(64 + 48 * F.size("wants")), F.lit(0))).first()[0]
+    wanted = written(open_.groupBy("t1", "t2").agg(F.collect_list("spot").alias("wants")), "open-spans")
+    size = wanted.agg(F.coalesce(F.sum(64 + 8 * F.size("wants")), F.lit(0))).first()[0]
     docs = keyed.select("t1", "t2", "text")
     spans = _spans_of(docs, broadcast_if(wanted, size), length).dropDuplicates(["core", "range", "span"])
     spans = written(spans.join(classes, "core"), "span-bytes")
