@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import broadcast_if, slices, written
+from .common import broadcast_if, slices, whole_groups, written
 from .words import SLICE_BYTES, distinct, mix, shingles_of, words_of
 
 TREES, LEVELS = 32, 8
-SKETCH = 128  # minima that a bucket row carries, four bits each
+SKETCH = 128          # minima that a bucket row carries, four bits each
+BLOCK = 256           # sets of a cluster that stand in one block
+BLOCK_SHINGLES = 1 << 19
+COLUMNS = 4096
 _K = np.arange(1, TREES * LEVELS + 1, dtype=np.uint64)
 _XOR, _TIMES = mix(_K).astype(np.uint32), mix(_K + np.uint64(1 << 20)).astype(np.uint32) | np.uint32(1)
 
@@ -87,12 +90,28 @@ def _bucket_rows(reps: DataFrame, depth: int) -> DataFrame:
     return reps.select("id", "n", "sig").mapInArrow(spread, "bucket long, deeper long, id long, n long, sketch binary")
 
 
-def _pairs_in_buckets(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a < b) that share a bucket and may be similar: sizes allow it, and sketches agree often enough.
-
-    Rows of a bucket come sorted by their deeper labels, so partners with the longest common path stand next to each
-    other and wider ones follow as the distance grows. Of two sets of the similarity asked for, SKETCH labels disagree
-    by more than six standard deviations of chance below what is expected with a probability under 1e-8.
+def _joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Merges the classes of i and j: afterwards all rows of a class have its least label."""
+    while len(i):
+        low = np.minimum(labels[i], labels[j])
+        np.minimum.at(labels, labels[i], low)
+        np.minimum.at(labels, labels[j], low)
+        while True:
+            up = labels[labels]
+            if (up == labels).all():
+                break
+            labels[:] = up
+        apart = labels[i] != labels[j]
+        i, j = i[apart], j[apart]
+
+
+def _clusters(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a < b) that connect the sets of a bucket which may be similar: sizes allow it, sketches agree often enough.
+
+    Rows of a bucket come sorted by their deeper labels, so those with the longest common path stand next to each other
+    and join first; wider distances compare only what is not joined yet. So a bucket of many like sets takes few
+    comparisons, and gives no more edges than it has rows. Of two sets of the similarity asked for, SKETCH labels agree
+    less often than required with a probability under 1e-8 (six standard deviations).
     """
     expected = similarity + (1 - similarity) / 16
     enough = SKETCH * expected - 6 * (SKETCH * expected * (1 - expected)) ** 0.5
@@ -100,89 +119,120 @@ def _pairs_in_buckets(rows: DataFrame, similarity: float) -> DataFrame:
     def same(x: np.ndarray) -> np.ndarray:
         return ((x & 15) == 0).sum(axis=1) + ((x >> 4) == 0).sum(axis=1)
 
-    def pairs(batches):
-        held = None
-        for b in slices(batches, rows=65_536, most=16 << 20):
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3)]
-            now.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, SKETCH // 2))
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            cut = int(np.searchsorted(now[0], now[0][-1], side="left"))
-            held = [x[cut:] for x in now]
-            if cut:
-                yield from found([x[:cut] for x in now])
-        if held is not None:
-            yield from found(held)
-
-    def found(group):
-        bucket, ids, n, sketch = group
-        pairs_a, pairs_b, at, k = [], [], np.arange(len(bucket)), 0
-        while len(at):
-            k += 1
-            at = at[at + k < len(bucket)]
-            at = at[bucket[at] == bucket[at + k]]
-            for lo in range(0, len(at), 32_768):
-                i = at[lo:lo + 32_768]
-                j = i + k
-                fits = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j])
-                i, j = i[fits], j[fits]
-                close = same(sketch[i] ^ sketch[j]) >= enough
-                pairs_a.append(np.minimum(ids[i[close]], ids[j[close]]))
-                pairs_b.append(np.maximum(ids[i[close]], ids[j[close]]))
-        if pairs_a:
-            both = np.unique(np.stack([np.concatenate(pairs_a), np.concatenate(pairs_b)], axis=1), axis=0)
-            both = both[both[:, 0] != both[:, 1]]
-            for lo in range(0, len(both), 65_536):
-                part = both[lo:lo + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+    def edges(batches):
+        for t in whole_groups(slices(batches, rows=65_536, most=16 << 20)):
+            bucket, ids, n = (t.column(k).to_numpy() for k in (0, 2, 3))
+            sketch = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(ids), SKETCH // 2)
+            labels, at, k = np.arange(len(ids)), np.arange(len(ids)), 0
+            while len(at):
+                k += 1
+                at = at[at + k < len(ids)]
+                at = at[bucket[at] == bucket[at + k]]
+                for lo in range(0, len(at), 32_768):
+                    i = at[lo:lo + 32_768]
+                    i = i[(labels[i] != labels[i + k]) & (np.minimum(n[i], n[i + k]) >= similarity * np.maximum(n[i], n[i + k]))]
+                    i = i[same(sketch[i] ^ sketch[i + k]) >= enough]
+                    _joined(labels, i, i + k)
+            a, b = ids[labels], ids
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     sorted_rows = rows.repartition("bucket").sortWithinPartitions("bucket", "deeper")
-    return sorted_rows.mapInArrow(pairs, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs whose whole texts are similar; the texts are those that the pair's sets came from."""
-    def verify(batches):
-        for b in slices(batches, SLICE_BYTES, rows=2048):
-            sides = []
-            for text, k1, k2 in ((2, 4, 5), (3, 6, 7)):
-                doc, h, _ = distinct(*shingles_of(words_of(b.column(text))))
-                n, x, y = _sets(doc, h, b.num_rows)
-                right = (x == b.column(k1).to_numpy()) & (y == b.column(k2).to_numpy())
-                sides.append((doc, h, n, right))
-            key = lambda s: s[0].astype(np.uint64) << np.uint64(52) | s[1]
-            common = np.intersect1d(key(sides[0]), key(sides[1]), assume_unique=True)
-            both = np.bincount((common >> np.uint64(52)).astype(np.int64), minlength=b.num_rows)
-            either = sides[0][2] + sides[1][2] - both
-            ok = sides[0][3] & sides[1][3] & (both >= similarity * either - 1e-9) & (either > 0)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(both[ok] / np.maximum(either[ok], 1))],
-                names=["a", "b", "jaccard"])
+    return sorted_rows.mapInArrow(edges, "a long, b long").distinct()
+
+
+def _common(doc: np.ndarray, h: np.ndarray, m: int) -> np.ndarray:
+    """(m, m) sizes of the common part of each two of m sets; hashes of one set only are left out first."""
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    doc, column = doc[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    out = np.zeros((m, m), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[doc[a:b], column[a:b] - lo] = 1
+        out += x @ x.T
+    return out
 
-    text = docs.select("doc_id", "text")
-    names = lambda x: reps.select(F.col("id").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"))
-    p = pairs.join(names("a"), "a").join(names("b"), "b")
-    p = p.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    p = p.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    p = p.select("a", "b", "ta", "tb", "a1", "a2", "b1", "b2")
-    return p.mapInArrow(verify, "a long, b long, jaccard double").dropDuplicates(["a", "b"])
 
+def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """(id, root, others) from the whole texts: for each set, per block pair, how many documents are similar to it, and
+    the least id of those it is linked with there.
+
+    A cluster of candidates is dealt to blocks of about ``BLOCK`` sets (fewer if they are long); each two blocks of it
+    meet in one group, which compares all of its sets, but gives one row per set and not one per pair.
+    """
+    size = members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"))
+    dealt = members.join(written(size.where("m > 1").drop("m"), "cluster-sizes"), "cluster").withColumn(
+        "block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = written(dealt.drop("n"), "cluster-blocks")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(
+        broadcast_if(dealt, 96 * dealt.count()), F.col("doc_id") == F.col("id"))
+    met = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn(
+        "group", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
+
+    def count(batches):
+        for t in whole_groups(slices(batches, SLICE_BYTES)):
+            group = t.column(0).to_numpy()
+            edges = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+            got = []
+            for lo, hi in zip(edges, edges[1:]):
+                got += compared(t.slice(lo, hi - lo).combine_chunks())
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["id", "root", "others"])
+
+    def compared(t):
+        sets = []
+        for lo in range(0, t.num_rows, 2048):
+            part = t.slice(lo, 2048)
+            doc, h, _ = distinct(*shingles_of(words_of(part.column(1).combine_chunks())))
+            sets.append((doc + lo, h, *_sets(doc, h, part.num_rows)))
+        doc, h, n, k1, k2 = (np.concatenate(x) for x in zip(*sets))
+        # a row with another text under the same id is not the set that was found; a repeated row is not another set
+        right = np.flatnonzero((k1 == t.column(4).to_numpy()) & (k2 == t.column(5).to_numpy()))
+        ids = t.column(2).to_numpy()
+        right = right[np.unique(ids[right], return_index=True)[1]]
+        if len(right) < 2:
+            return []
+        place = np.full(len(n), -1)
+        place[right] = np.arange(len(right))
+        kept = place[doc] >= 0
+        ids, n, block, copies = ids[right], n[right], t.column(6).to_numpy()[right], t.column(3).to_numpy()[right]
+        both = _common(place[doc[kept]], h[kept], len(right))
+        linked = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
+        linked &= ~np.eye(len(n), dtype=bool)
+        if block.min() != block.max():
+            linked &= block[:, None] != block[None, :]
+        labels = np.arange(len(ids))
+        i, j = np.nonzero(np.triu(linked))
+        _joined(labels, i, j)  # ids ascend, so the least label is the least id
+        others = linked @ copies
+        some = np.flatnonzero(linked.any(axis=1))
+        return list(zip(ids[some].tolist(), ids[labels[some]].tolist(), others[some].tolist()))
+
+    rows = met.select("group", "text", "id", "n_copies", "k1", "k2", "block")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(count, "id long, root long, others long")
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: float = 0.9999,
-                      doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links) of the documents whose sets of five-word shingles have a Jaccard similarity of ``similarity``.
 
-    members has one row per document: doc_id, class_id (the smallest id that links lead to), n_links (similar
-    documents, copies included), n_copies (documents with the same set, itself included). links has the pairs (a, b,
-    jaccard) of different sets, each named by its smallest doc_id.
+def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: float = 0.9999,
+                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents whose sets of five-word shingles have a Jaccard similarity of ``similarity``: one row per document with
+    doc_id, class_id (the smallest id that links lead to), n_links (similar documents, copies included) and n_copies
+    (documents with the same set, itself included).
 
     Words are split at ASCII white space and compare as they are. A text of one to four words has one shingle; without
     words it has none, is similar to nothing and makes a class of its own. Copies fold into one row before anything is
     compared. A row without an id joins the class of its copies (null where these have none), and finds no other links.
-    Rows that share an id count as one document in links, one row each in members. Empty table: no rows.
+    Rows that share an id count as one document in links, one row each in the result. Empty table: no rows.
 
     Each set has a path of minima in each of ``TREES`` tries; sets meet where they share a prefix of the depth that
-    ``depth_for`` gives. Sketches drop most accidental meetings in the task; what is left is verified on whole texts.
+    ``depth_for`` gives. Sketches drop most accidental meetings; what is left makes clusters, in which whole texts decide
+    every pair. Pairs are counted where they are compared and never listed.
     """
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = written(_described(given), "shingle-sets")
@@ -192,25 +242,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: f
     reps = some.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(
         copies.where("n_copies > 1").select("n", "k1", "k2", F.col("id").alias("_least")), ["n", "k1", "k2"], "left")
     reps = reps.where("_least IS NULL OR id = _least").select("id", "n", "sig")
-    depth = depth_for(similarity, target_recall)
-    candidates = written(_pairs_in_buckets(_bucket_rows(reps, depth), similarity), "candidate-pairs")
-    named = copies.where("id IS NOT NULL").select("id", "k1", "k2", "n_copies")
-    links = written(_verified(candidates, given, named, similarity), "similar-pairs")
-    roots = connected_components(links, a="a", b="b").select(F.col("ip").alias("id"), "root")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = named.groupBy(F.col("id").alias("b")).agg(F.sum("n_copies").alias("_n"))
-    linked = both.join(others, "b").groupBy(F.col("a").alias("id")).agg(F.sum("_n").alias("_others"))
-    facts = copies.join(roots, "id", "left").join(linked, "id", "left").where("n_copies > 1 OR root IS NOT NULL").select(
-        "n", "k1", "k2", F.coalesce("root", "id").alias("_class"), "n_copies", F.coalesce("_others", F.lit(0)).alias("_others"))
-    members = described.select("doc_id", "n", "k1", "k2").join(written(facts, "set-classes"), ["n", "k1", "k2"], "left")
+    edges = written(_clusters(_bucket_rows(reps, depth_for(similarity, target_recall)), similarity), "candidate-edges")
+    clusters = connected_components(edges, a="a", b="b").select(F.col("ip").alias("id"), F.col("root").alias("cluster"))
+    members = copies.where("id IS NOT NULL").join(clusters, "id")
+    counted = written(_counted(members, given, similarity), "similar-sets")
+    roots = connected_components(counted, a="id", b="root").select(F.col("ip").alias("id"), F.col("root").alias("_class"))
+    others = counted.groupBy("id").agg(F.sum("others").alias("_others"))
+    facts = copies.join(roots, "id", "left").join(others, "id", "left").where("n_copies > 1 OR _class IS NOT NULL").select(
+        "n", "k1", "k2", F.coalesce("_class", "id").alias("_class"), "n_copies", F.coalesce("_others", F.lit(0)).alias("_others"))
+    found = described.select("doc_id", "n", "k1", "k2").join(written(facts, "set-classes"), ["n", "k1", "k2"], "left")
     n = F.coalesce("n_copies", F.lit(1))
-    return members.select(
+    return found.select(
         "doc_id", F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"),
-        (n - 1 + F.coalesce("_others", F.lit(0))).cast("long").alias("n_links"), n.cast("long").alias("n_copies")), links
+        (n - 1 + F.coalesce("_others", F.lit(0))).cast("long").alias("n_links"), n.cast("long").alias("n_copies"))
 
 
 def without_similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents without those whose class has a smaller doc_id; all columns stay. Rows without an id stay."""
-    members, _ = similar_documents(docs, similarity, doc_id=doc_id, text=text, **options)
+    members = similar_documents(docs, similarity, doc_id=doc_id, text=text, **options)
     gone = written(members.where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar-gone")
     return docs.join(broadcast_if(gone, 16 * gone.count()), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

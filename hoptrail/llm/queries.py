@@ -47,8 +47,7 @@ def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _ = jaccard.similar_documents(_table(spark, sf_dir, "documents"), similarity=0.8)
-    return members
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), similarity=0.8)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
