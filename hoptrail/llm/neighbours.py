@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, whole_groups, written
 
-BLOCK = 256           # vectors compared with each other in a start block
+BLOCK = 1024          # vectors compared with each other in a start block
 SAMPLE = 4096         # vectors that the start's cuts are fitted on
 PIVOTS = 256          # of these, entry points for queries
 GRAPH_DDL = "node long, others array<long>, sims array<float>"
@@ -174,8 +174,9 @@ def _both_ways(graph: DataFrame, most: int) -> DataFrame:
         F.slice(F.collect_set("others"), 1, 2 * most).alias("adjacent"))
 
 
-def _local_joins(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """Graph rows from comparing, at each node, its neighbours (both ways) with each other: neighbours of neighbours."""
+def _local_joins(graph: DataFrame, nodes: DataFrame, k: int, best_of: int) -> DataFrame:
+    """Graph rows from comparing, at each node, its neighbours (both ways) with each other: neighbours of
+    neighbours. Each of them is told the ``best_of`` nearest of the others."""
     sent = _both_ways(graph, k).join(nodes.select("node", "half"), "node").select(
         F.explode(F.array_append("adjacent", F.col("node"))).alias("at"), "node", "half")
 
@@ -185,8 +186,8 @@ def _local_joins(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             x = _halves(t.column(2))
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             size = np.diff(np.r_[first, len(at)])
-            for lo in range(0, len(first), 256):
-                f, n = first[lo:lo + 256], size[lo:lo + 256]
+            for lo in range(0, len(first), 128):
+                f, n = first[lo:lo + 128], size[lo:lo + 128]
                 width = int(n.max())
                 if width < 2:
                     continue
@@ -197,19 +198,19 @@ def _local_joins(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 s = np.matmul(v, v.transpose(0, 2, 1))
                 s[~np.broadcast_to(real[:, None, :], s.shape)] = -np.inf
                 s[:, np.arange(width), np.arange(width)] = -np.inf
-                m = min(k, width - 1)
+                m = min(best_of, width - 1)
                 best = np.argpartition(-s, m - 1, axis=2)[:, :, :m]
                 sim = np.take_along_axis(s, best, axis=2)
                 ids = node[slot]
                 other = np.take_along_axis(np.broadcast_to(ids[:, None, :], s.shape), best, axis=2)
                 ok = np.isfinite(sim) & real[:, :, None]
                 mine = np.broadcast_to(ids[:, :, None], sim.shape)
-                yield _rows(*_top(mine[ok], other[ok], sim[ok], k))
+                yield _rows(*_top(mine[ok], other[ok], sim[ok], 2 * k))
 
     return sent.repartition("at").sortWithinPartitions("at").mapInArrow(join, GRAPH_DDL)
 
 
-def build(nodes: DataFrame, k: int = 12, trees: int = 8, rounds: int = 3, seed: int = 9) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def build(nodes: DataFrame, k: int = 20, trees: int = 16, rounds: int = 2, seed: int = 9) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(graph, pivot ids, pivot vectors). The graph has a row per distinct vector that has another to compare with.
 
     NN-descent: the start gives every vector some near ones; each round compares, at every node, its neighbours with each
@@ -223,12 +224,12 @@ def build(nodes: DataFrame, k: int = 12, trees: int = 8, rounds: int = 3, seed:
         return nodes.sparkSession.createDataFrame([], GRAPH_DDL), pivots, sample[:len(pivots)]
     graph = written(_merged(_start(nodes, sample, count, trees, k, seed), k), "graph")
     for _ in range(rounds):
-        graph = written(_merged(graph.unionByName(_local_joins(graph, nodes, k)), k), "graph")
+        graph = written(_merged(graph.unionByName(_local_joins(graph, nodes, k, (k + 1) // 2)), k), "graph")
     return graph, pivots, sample[:len(pivots)]
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pivots: tuple[np.ndarray, np.ndarray], k: int = 12,
-           beam: int = 48, step: int = 12) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pivots: tuple[np.ndarray, np.ndarray], k: int = 20,
+           beam: int = 144, step: int = 36) -> DataFrame:
     """(query, node): for each query (query, half, start) the nodes its greedy walk found nearest.
 
     A query starts at the pivots nearest to it, and at the node ``start`` where it has one. In each round it looks at the
@@ -259,13 +260,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pivots: tuple
                  pa.array([[]] * len(x), pa.list_(pa.int64()))], names=["query", "half", "found", "sims", "seen"])
 
     def looked(batches):
-        for b in slices(batches, rows=512):
-            x = _halves(b.column(1))
-            for i, (query, near, halves) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                y = np.frombuffer(b"".join(halves), np.float16).reshape(len(near), -1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query]), pa.array([near], pa.list_(pa.int64())), pa.array([(y @ x[i]).tolist()], pa.list_(pa.float32()))],
-                    names=["query", "near", "near_sims"])
+        for b in slices(batches):
+            sims = (_halves(b.column(1)) * _halves(b.column(3))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sims)], names=["query", "near", "near_sims"])
 
     state = written(queries.select("query", "half", "start").mapInArrow(begin, state_ddl), "search")
     while True:
@@ -275,9 +272,10 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, pivots: tuple
         if next_.isEmpty():
             break
         asks = next_.select("query", "half", F.explode("go").alias("node"))
-        got = asks.join(links, "node").select("query", "half", "near", "halves").mapInArrow(
-            looked, "query long, near array<long>, near_sims array<float>")
-        got = got.groupBy("query").agg(F.flatten(F.collect_list(F.arrays_zip("near", "near_sims"))).alias("new"))
+        each = F.explode(F.arrays_zip("near", "halves")).alias("e")
+        got = asks.join(links, "node").select("query", "half", each).select("query", "half", "e.near", "e.halves").mapInArrow(
+            looked, "query long, near long, near_sims float")
+        got = got.groupBy("query").agg(F.collect_list(F.struct("near", "near_sims")).alias("new"))
         moved = state.join(next_.select("query", "go"), "query", "left").join(got, "query", "left")
         pairs = F.concat(F.transform(F.arrays_zip("found", "sims"), lambda e: F.struct((-e["sims"]).alias("d"), e["found"].alias("n"))),
                          F.transform(F.coalesce("new", F.array().cast("array<struct<near:bigint,near_sims:float>>")),
