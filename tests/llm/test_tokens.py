@@ -72,7 +72,7 @@ def test_counts_of_nothing(none, tokenizer_path):
     assert counts.at_limit(totals, 5).first().truncated_tokens == 0
 
 
-def test_records_round_trip(hard, hard_rows, tokenizer_path, ids_of, monkeypatch):
+def test_records_round_trip(hard, hard_rows, tokenizer_path, ids_of):
     index = records.write_records(hard, tokenizer_path, end_id=2)
     read = records.read_records(index).withColumn("n_tokens", F.floor(F.octet_length("ids") / 4))
     rows = records.with_starts(read).orderBy("part", "seq", "record").collect()
@@ -95,7 +95,7 @@ def test_shuffled_reads_of_some_records(hard, tokenizer_path):
     assert records.read_records(some).count() == some.count()
 
 
-def test_small_files(hard, hard_rows, tokenizer_path, monkeypatch):
+def test_null_ids_and_wide_tokens(hard, hard_rows, tokenizer_path):
     index = records.write_records(hard.limit(0).unionByName(hard), tokenizer_path, end_id=2)
     assert index.count() == len(hard_rows)
     data = records.frame(records.payload_of(None, np.array([1, 70000], np.uint32)))
