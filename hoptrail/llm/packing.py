@@ -129,11 +129,12 @@ def _places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> dict[s
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
     """Adds sequence_id and offset to pieces of 1 to ``capacity`` ids; all columns of ``pieces`` stay.
 
-    The pieces are written once with their number among the pieces of equal length in their task. Counts per length
+    The pieces are written, and again with their number among the pieces of equal length in their task (in two steps, so
+    that a task that tokenizes does not keep a second Python worker). Counts per length
     (``capacity`` numbers at most) come to the driver for the plan, and its runs (at most a few per length) go to the
     tasks; the pieces themselves get their rank from one join on (task, length). An empty table gives no rows.
     """
-    spark, names = pieces.sparkSession, pieces.columns
+    names = pieces.columns
 
     def numbered(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -152,7 +153,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
 
     table = pieces.schema.jsonValue()
     ddl = type(pieces.schema).fromJson(table).add("_task", "long").add("_local", "long")
-    stored = written(pieces.mapInArrow(numbered, ddl), "pieces")
+    stored = written(written(pieces, "pieces").mapInArrow(numbered, ddl), "numbered-pieces")
     per_task = written(stored.groupBy("_task", length).agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_task.groupBy(length).agg(F.sum("_n").alias("n")).collect():

@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 700_000  # per Python worker, about 150 MB
+CACHE_ENTRIES = 500_000  # per Python worker, about 110 MB
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that their powers have inverses
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 
@@ -60,7 +60,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_hash(data: np.ndarray, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(running polynomial hash, inverse powers): the hash of bytes i to j is (run[j] - run[i]) * inverse[i]."""
-    power, inverse = _powers(max(21, int(len(data)).bit_length()), base)
+    power, inverse = _powers(max(20, int(len(data)).bit_length()), base)
     run = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=run[1:])
     return run, inverse
