@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -48,7 +48,10 @@ def file_system(uri: str):
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that a slice holds few rows and about ``most`` bytes (one row at least)."""
+    """Cuts record batches so that a slice holds few rows and about ``most`` bytes (one row at least).
+
+    At the end a task's worker gives back what Arrow keeps for reuse, as workers outlive tasks.
+    """
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -59,6 +62,7 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int
                 size = part.nbytes
             yield part
             at += part.num_rows
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hoptrail.llm import exact, jaccard, substrings
@@ -40,8 +41,9 @@ def test_hash_collisions_do_not_join_texts(spark, monkeypatch):
 
     def colliding(batches, with_text):
         for b in real(batches, with_text):
-            at = b.schema.get_field_index("h1")
-            yield b.set_column(at, "h1", b.column(0)).set_column(at, "h1", b.column(at).cast("int64").filter(b.column(at).is_null()) if False else __import__("pyarrow").array([0] * b.num_rows))
+            for name in ("h1", "h2"):
+                b = b.set_column(b.schema.get_field_index(name), name, pa.array([0] * b.num_rows))
+            yield b
 
     monkeypatch.setattr(exact, "_hashed", colliding)
     assert {(r.doc_id, r.keep_id) for r in exact.exact_duplicates(d).collect()} == {(1, 3), (2, 2), (3, 3)}
@@ -161,8 +163,6 @@ def test_recall_of_the_forest():
 
 
 def test_shingles_are_those_of_the_words():
-    import pyarrow as pa
-
     texts = ["", None, "a", "a b c d", "a b c d e", "a b c d e f a b c d e", "\ta\x0bb\n c  d\re\x0c", "é x y"]
     w = words_of(pa.array(texts))
     doc, h, _ = distinct(*shingles_of(w))
