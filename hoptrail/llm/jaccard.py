@@ -239,8 +239,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: f
     some = described.where("n > 0")
     copies = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
     copies = written(copies, "set-copies")
+    least = copies.where("n_copies > 1").select("n", "k1", "k2", F.col("id").alias("_least"))
     reps = some.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(
-        copies.where("n_copies > 1").select("n", "k1", "k2", F.col("id").alias("_least")), ["n", "k1", "k2"], "left")
+        broadcast_if(least, 40 * least.count()), ["n", "k1", "k2"], "left")
     reps = reps.where("_least IS NULL OR id = _least").select("id", "n", "sig")
     edges = written(_clusters(_bucket_rows(reps, depth_for(similarity, target_recall)), similarity), "candidate-edges")
     clusters = connected_components(edges, a="a", b="b").select(F.col("ip").alias("id"), F.col("root").alias("cluster"))
