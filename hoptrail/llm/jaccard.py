@@ -206,7 +206,7 @@ def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
         both = _common(place[doc[kept]], h[kept], len(right))
         linked = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
         linked &= ~np.eye(len(n), dtype=bool)
-        if block.min() != block.max():
+        if t.column(6)[0].as_py() != t.column(7)[0].as_py():  # a group of two blocks, even if one of them holds no set
             linked &= block[:, None] != block[None, :]
         labels = np.arange(len(ids))
         i, j = np.nonzero(np.triu(linked))
@@ -215,7 +215,7 @@ def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
         some = np.flatnonzero(linked.any(axis=1))
         return list(zip(ids[some].tolist(), ids[labels[some]].tolist(), others[some].tolist()))
 
-    rows = met.select("group", "text", "id", "n_copies", "k1", "k2", "block")
+    rows = met.select("group", "text", "id", "n_copies", "k1", "k2", "block", "other")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(count, "id long, root long, others long")
 
 

@@ -137,6 +137,18 @@ def test_similar_documents(hard, hard_rows, block, monkeypatch):
     assert max(n for _, _, n, _ in want) > 20
 
 
+def test_few_long_sets_in_several_blocks(spark, monkeypatch):
+    """Pairs and triples whose shingles make more blocks than there are sets, so that blocks stay empty."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 50)
+    rows = []
+    for k in range(12):
+        base = [f"c{k}w{j}" for j in range(100)]
+        rows += [(10 * k + j, " ".join(base + [f"end{j}"])) for j in range(2 + k % 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(d).collect()}
+    assert got == {i: (i // 10 * 10, 1 + i // 10 % 2) for i, _ in rows}
+
+
 def test_rows_without_id(spark):
     t = "one two three four five six"
     d = spark.createDataFrame([(4, t), (None, t), (None, "other words"), (None, None)], "doc_id long, text string")
