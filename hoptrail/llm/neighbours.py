@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, whole_groups, written
+from .common import broadcast_if, slices, whole_groups, written
 
 BLOCK = 1024          # vectors compared with each other in a start block
 SAMPLE = 4096         # vectors that the start's cuts are fitted on
 PIVOTS = 256          # of these, entry points for queries
+WIDTH = 256           # nodes that are compared with each other around one node
+PAIRS = 1 << 22       # comparisons held at once
 GRAPH_DDL = "node long, others array<long>, sims array<float>"
 _GRAPH = pa.schema([("node", pa.int64()), ("others", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
 
@@ -176,9 +178,17 @@ def _both_ways(graph: DataFrame, most: int) -> DataFrame:
 
 def _local_joins(graph: DataFrame, nodes: DataFrame, k: int, best_of: int) -> DataFrame:
     """Graph rows from comparing, at each node, its neighbours (both ways) with each other: neighbours of
-    neighbours. Each of them is told the ``best_of`` nearest of the others."""
-    sent = _both_ways(graph, k).join(nodes.select("node", "half"), "node").select(
-        F.explode(F.array_append("adjacent", F.col("node"))).alias("at"), "node", "half")
+    neighbours. Each of them is told the ``best_of`` nearest of the others.
+
+    A node sends itself to few others, but very many may send themselves to one hub. These are dealt by a hash to groups
+    of about ``WIDTH``, each compared within itself, so that none is left out and no group grows with the table.
+    """
+    around = written(_both_ways(graph, k), "graph-around")
+    reach = around.select("node", F.explode(F.array_append("adjacent", F.col("node"))).alias("at"))
+    hubs = written(reach.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / WIDTH).cast("int").alias("parts")).where("parts > 1"), "graph-hubs")
+    dealt = reach.join(broadcast_if(hubs, 16 * hubs.count()), "at", "left").select("node", F.xxhash64(
+        "at", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))).alias("at"))
+    sent = dealt.join(nodes.select("node", "half"), "node").select("at", "node", "half")
 
     def join(batches):
         for t in whole_groups(batches):
@@ -186,8 +196,13 @@ def _local_joins(graph: DataFrame, nodes: DataFrame, k: int, best_of: int) -> Da
             x = _halves(t.column(2))
             first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             size = np.diff(np.r_[first, len(at)])
-            for lo in range(0, len(first), 128):
-                f, n = first[lo:lo + 128], size[lo:lo + 128]
+            lo = 0
+            while lo < len(first):
+                most = 128
+                while most > 1 and most * int(size[lo:lo + most].max()) ** 2 > PAIRS:
+                    most //= 2
+                f, n = first[lo:lo + most], size[lo:lo + most]
+                lo += most
                 width = int(n.max())
                 if width < 2:
                     continue

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoptrail.llm import neighbours, warc
-from hoptrail.llm.common import file_system
+from hoptrail.llm.common import file_system, written
 
 
 def brute(rows, queries, k=5):
@@ -66,6 +66,32 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4]
 
 
+def nodes_of(spark, x):
+    rows = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(np.float32(x))], "vec_id long, embedding array<float>")
+    return written(neighbours.distinct_vectors(neighbours.usable(rows.repartition(4)), 6, False), "nodes")
+
+
+def test_hub_is_dealt_to_groups(spark, monkeypatch):
+    """A centre with thousands of noisy variants, all of them nearer to it than to each other."""
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=24)
+    x = np.r_[[centre], centre + 0.3 * rng.normal(size=(3000, 24))]
+    nodes = nodes_of(spark, x)
+    graph = spark.createDataFrame([(i, [0], [0.9]) for i in range(1, len(x))], neighbours.GRAPH_DDL)
+    whole = neighbours.whole_groups
+
+    def bounded(batches):
+        for t in whole(batches):
+            assert np.unique(t.column(0).to_numpy(), return_counts=True)[1].max() <= 512, "a whole hub in one group"
+            yield t
+
+    monkeypatch.setattr(neighbours, "whole_groups", bounded)
+    told = defaultdict(set)
+    for r in neighbours._local_joins(graph, nodes, 20, 10).collect():
+        told[r.node] |= {*r.others} - {0}
+    assert all(len(told[i]) >= 9 for i in range(1, len(x)))  # all meet others at the hub, none is left out
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 4])
 def test_few_vectors(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "vec_id long, embedding array<double>")
