@@ -225,11 +225,19 @@ def _local_joins(graph: DataFrame, nodes: DataFrame, k: int, best_of: int) -> Da
     return sent.repartition("at").sortWithinPartitions("at").mapInArrow(join, GRAPH_DDL)
 
 
-def build(nodes: DataFrame, k: int = 20, trees: int = 16, rounds: int = 2, seed: int = 9) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+def _changed(new: DataFrame, old: DataFrame) -> float:
+    """Share of the entries of ``new`` that ``old`` does not have."""
+    both = new.join(old.select("node", F.col("others").alias("_had")), "node", "left")
+    fresh = F.size(F.array_except("others", F.coalesce("_had", F.array().cast("array<bigint>"))))
+    return both.agg(F.sum(fresh) / F.sum(F.size("others"))).first()[0] or 0.0
+
+
+def build(nodes: DataFrame, k: int = 20, trees: int = 16, delta: float = 0.001, seed: int = 9) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(graph, pivot ids, pivot vectors). The graph has a row per distinct vector that has another to compare with.
 
     NN-descent: the start gives every vector some near ones; each round compares, at every node, its neighbours with each
-    other and keeps each vector's ``k`` best. ``SAMPLE`` vectors (smallest hashes) fit the start and give the pivots.
+    other and keeps each vector's ``k`` best, until a round changes less than a share ``delta`` of all entries. Entries only
+    give way to nearer ones, so this ends. ``SAMPLE`` vectors (smallest hashes) fit the start and give the pivots.
     """
     taken = nodes.select("node", "half").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()
     count = nodes.count()
@@ -238,8 +246,11 @@ def build(nodes: DataFrame, k: int = 20, trees: int = 16, rounds: int = 2, seed:
     if count < 2:
         return nodes.sparkSession.createDataFrame([], GRAPH_DDL), pivots, sample[:len(pivots)]
     graph = written(_merged(_start(nodes, sample, count, trees, k, seed), k), "graph")
-    for _ in range(rounds):
-        graph = written(_merged(graph.unionByName(_local_joins(graph, nodes, k, (k + 1) // 2)), k), "graph")
+    while True:
+        before = graph
+        graph = written(_merged(before.unionByName(_local_joins(before, nodes, k, (k + 1) // 2)), k), "graph")
+        if _changed(graph, before) < delta:
+            break
     return graph, pivots, sample[:len(pivots)]
 
 

@@ -71,6 +71,22 @@ def nodes_of(spark, x):
     return written(neighbours.distinct_vectors(neighbours.usable(rows.repartition(4)), 6, False), "nodes")
 
 
+def test_rounds_go_on_until_lists_settle(spark, monkeypatch):
+    """A start of few pairs (small blocks, two trees), so that the rounds must find the neighbours."""
+    monkeypatch.setattr(neighbours, "BLOCK", 24)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 12))
+    graph = neighbours.build(nodes_of(spark, x), k=20, trees=2)[0]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -np.inf)
+    want = np.argsort(-s, axis=1)[:, :20]
+    got = {r.node: set(r.others) for r in graph.collect()}
+    share = sum(len(got[i] & set(want[i].tolist())) for i in range(len(x))) / want.size
+    print("recall of the graph", share)
+    assert share >= 0.97
+
+
 def test_hub_is_dealt_to_groups(spark, monkeypatch):
     """A centre with thousands of noisy variants, all of them nearer to it than to each other."""
     rng = np.random.default_rng(6)
