@@ -62,7 +62,8 @@ def sainte_lague(df: DataFrame, group: list[str], entity: list[str], votes: str,
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block_words: int = 32,
         shard_words: int = 1 << 16, seed: int = 20, doc_id: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
-    """How many words of each document the mix takes: doc_id, size, source, source_size, target, taken.
+    """How many words of each document the mix takes: doc_id, size, source, source_size, target, taken, and how often the
+    document counts as a whole (copies): by its middle word where a shard's run is less than half of it, else rounded.
 
     Sizes count words; a null or empty text has none. A source's documents are dealt to shards of about ``shard_words``
     words by a seeded hash (at most ``MAX_SHARDS`` a source, so shards of a huge source grow) and stand in a seeded order
@@ -94,29 +95,41 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "place", "_shard"), F.col("_n"))
     edge = lambda j: F.expr(f"({j}) * _words div _n")
     shards = shards.withColumn("_first", first).select(
-        "place", "_shard", "_all", edge("_first").alias("_lo1"), edge("least(_first + _more, _n)").alias("_hi1"),
+        "place", "_shard", "_all", (2 * F.col("_more") < F.col("_n")).alias("_short"), edge("_first").alias("_lo1"), edge("least(_first + _more, _n)").alias("_hi1"),
         edge("greatest(_first + _more - _n, 0)").alias("_hi2"))
     order = W.partitionBy("place", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     d = placed.withColumn("_to", F.sum("size").over(order)).withColumn("_from", F.col("_to") - F.col("size"))
     d = d.join(written(shards, "mix-shards"), ["place", "_shard"])
     once = F.greatest(F.lit(0), F.least("_to", "_hi1") - F.greatest("_from", "_lo1"))
     around = F.greatest(F.lit(0), F.least("_to", "_hi2") - F.col("_from"))
-    taken = (F.col("_all") * F.col("size") + once + around).cast("long").alias("taken")
-    return d.select("doc_id", F.col("_h").alias("key"), "size", "source", "source_size", "target", taken)
+    taken = (F.col("_all") * F.col("size") + once + around).cast("long")
+    twice = F.col("_from") + F.col("_to")
+    inside = lambda lo, hi: ((twice >= 2 * F.col(lo)) & (twice < 2 * F.col(hi))).cast("long")
+    middle = F.col("_all") + inside("_lo1", "_hi1") + (twice < 2 * F.col("_hi2")).cast("long")
+    copies = F.when(F.col("_short"), middle).otherwise(F.round(taken / F.col("size"))).cast("long")
+    return d.select("doc_id", F.col("_h").alias("key"), "size", "source", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 20, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents as the mix takes them: each row as often as its taken words hold it, rounded; all columns stay.
+    """The documents as the mix takes them: each row as often as ``mix`` counts it as a whole; all columns stay.
 
-    Documents stay whole, so a shard's run of blocks is off by half a document at each end at most. Rows that repeat a
-    document share its number of copies evenly, rounded. A document that is not taken is left out.
+    Documents stay whole. A run starts at each block of its shard equally likely. Where it is less than half of the shard, a
+    document is taken with its middle word, so over the seeds one of any length gets quota / blocks copies on average; for
+    documents of up to two runs this is the same as rounding. Longer runs round: there a document of more than twice the
+    words that the run leaves out is always taken. Rows that repeat a document share its copies evenly, by a seeded order
+    where these do not divide. A document that is not taken is left out.
     """
     m = mix(docs, seed=seed, doc_id=doc_id, text=text, **options).where("size > 0")
-    copies = m.groupBy(F.col("key").alias("_key")).agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_copies")).where("_copies > 0")
-    copies = written(copies, "mix-copies")
-    keyed = docs.withColumn("_key", _key(seed, doc_id, text)).join(broadcast_if(copies, 24 * copies.count()), "_key")
-    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "_copies")).alias("_nth")).drop("_nth")
+    copies = m.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
+    copies = written(copies.select("_key", F.expr("_n div _rows").alias("_each"), (F.col("_n") % F.col("_rows")).alias("_over")), "mix-copies")
+    keyed = docs.withColumn("_key", _key(seed, doc_id, text)).join(broadcast_if(copies, 32 * copies.count()), "_key")
+    if not copies.where("_over > 0").isEmpty():  # at most the documents at the ends of runs
+        row = F.xxhash64(F.lit(seed + 3), *[F.col(f"`{c}`") for c in docs.columns])
+        nth = F.row_number().over(W.partitionBy("_key").orderBy(row))
+        odd = keyed.where("_over > 0").withColumn("_each", F.col("_each") + (nth <= F.col("_over")).cast("long"))
+        keyed = keyed.where("_over = 0").unionByName(odd)
+    return keyed.where("_each > 0").select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "_each")).alias("_nth")).drop("_nth")
 
 
 def _key(seed: int, doc_id: str, text: str) -> Column:

@@ -64,6 +64,35 @@ def test_mix_reruns_agree(many_sources):
     assert rows(df) == rows(df.repartition(3, "text")) == rows(df.orderBy(F.rand(4)))
 
 
+def test_long_documents_are_mixed_as_often_as_short_ones(spark):
+    """A tenth of a source is wanted; half of its words stand in documents longer than a run of blocks."""
+    rng = random.Random(2)
+    rows = [(k, " ".join(["w"] * (3000 if k < 60 else 30)), "b") for k in range(60 + 6000)]
+    rows += [(10_000 + k, " ".join(["v"] * rng.randint(1, 300)), "a") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    options = {"weights": (19, 1), "shard_words": 4000}
+    target = mixing.mix(df, **options).where("source = 'b'").first().target
+    assert 0.05 < target / 360_000 < 0.2
+    long = words = 0
+    for seed in range(20, 24):
+        got = mixing.mixed_documents(df.select("doc_id", "text", "source"), seed=seed, **options).where("source = 'b'").collect()
+        words += sum(len(r.text) // 2 + 1 for r in got)
+        long += sum(r.doc_id < 60 for r in got)
+    share = target / 360_000
+    assert abs(long - 240 * share) <= 4 * (240 * share) ** 0.5
+    assert 0.5 < words / (4 * target) < 1.5
+
+
+def test_repeated_rows_share_copies_evenly(spark):
+    """Rows of one document fill most of a source of which a tenth is wanted."""
+    rows = [(7, " ".join(["w"] * 20), "b")] * 400 + [(k, " ".join(["v"] * 100), "a") for k in range(100, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    options = {"weights": (19, 1), "shard_words": 4000}
+    target = mixing.mix(df, **options).where("source = 'b'").first().target
+    got = mixing.mixed_documents(df, **options).where("source = 'b'").count()
+    assert 0 < target < 8000 * 0.4 and abs(got * 20 - target) <= 64
+
+
 def test_mix_of_hard_rows(hard, hard_rows):
     got = mixing.mix(hard).collect()
     assert len(got) == len(hard_rows)
