@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -62,10 +63,10 @@ def _described(docs: DataFrame) -> DataFrame:
             n, k1, k2 = _sets(doc, h, b.num_rows)
             sig = signatures(b.num_rows, doc, h)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sig], pa.binary())],
-                names=["doc_id", "n", "k1", "k2", "sig"])
+                [b.column(0), b.column(2), pa.array(n), pa.array(k1), pa.array(k2), pa.array([s.tobytes() for s in sig], pa.binary())],
+                names=["doc_id", "key", "n", "k1", "k2", "sig"])
 
-    return docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, sig binary")
+    return docs.mapInArrow(describe, "doc_id long, key long, n long, k1 long, k2 long, sig binary")
 
 
 def _bucket_rows(reps: DataFrame, depth: int) -> DataFrame:
@@ -171,8 +172,7 @@ def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
     dealt = members.join(written(size.where("m > 1").drop("m"), "cluster-sizes"), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     dealt = written(dealt.drop("n"), "cluster-blocks")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text").join(
-        broadcast_if(dealt, 96 * dealt.count()), F.col("doc_id") == F.col("id"))
+    texts = docs.select("key", "text").join(broadcast_if(dealt, 96 * dealt.count()), F.col("key") == F.col("id"))
     met = texts.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumn(
         "group", F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
 
@@ -193,7 +193,7 @@ def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
             doc, h, _ = distinct(*shingles_of(words_of(part.column(1).combine_chunks())))
             sets.append((doc + lo, h, *_sets(doc, h, part.num_rows)))
         doc, h, n, k1, k2 = (np.concatenate(x) for x in zip(*sets))
-        # a row with another text under the same id is not the set that was found; a repeated row is not another set
+        # a row with another text under the same key is not the set that was found; a repeated row is not another set
         right = np.flatnonzero((k1 == t.column(4).to_numpy()) & (k2 == t.column(5).to_numpy()))
         ids = t.column(2).to_numpy()
         right = right[np.unique(ids[right], return_index=True)[1]]
@@ -219,6 +219,37 @@ def _counted(members: DataFrame, docs: DataFrame, similarity: float) -> DataFram
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(count, "id long, root long, others long")
 
 
+def _row_key(doc_id: str, text: str):
+    """Names a row by its id and text, so that rows without an id or with another row's id can be told apart."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
+def _classified(docs: DataFrame, similarity: float, target_recall: float, doc_id: str, text: str) -> DataFrame:
+    """doc_id, key, n, n_copies, _others and _first (the class's first row: isnull, doc_id, key) of each row. Sets that are
+    similar to nothing and have no copies show nulls in the last three. Sets go by the least ``key`` of their rows."""
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), _row_key(doc_id, text).alias("key"))
+    described = written(_described(given), "shingle-sets")
+    some = described.where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("_first")
+    copies = some.groupBy("n", "k1", "k2").agg(F.min("key").alias("id"), first, F.count(F.lit(1)).alias("n_copies"))
+    copies = written(copies, "set-copies")
+    least = copies.where("n_copies > 1").select("n", "k1", "k2", F.col("id").alias("_least"))
+    reps = some.withColumnRenamed("key", "id").join(broadcast_if(least, 40 * least.count()), ["n", "k1", "k2"], "left")
+    reps = reps.where("_least IS NULL OR id = _least").select("id", "n", "sig")
+    edges = written(_clusters(_bucket_rows(reps, depth_for(similarity, target_recall)), similarity), "candidate-edges")
+    clusters = connected_components(edges, a="a", b="b").select(F.col("ip").alias("id"), F.col("root").alias("cluster"))
+    members = copies.join(clusters, "id").select("id", "n", "k1", "k2", "n_copies", "cluster")
+    counted = written(_counted(members, given, similarity), "similar-sets")
+    roots = connected_components(counted, a="id", b="root").select(F.col("ip").alias("id"), F.col("root").alias("_root"))
+    roots = written(roots.join(copies.select("id", "_first"), "id"), "set-roots")
+    firsts = written(roots.groupBy("_root").agg(F.min("_first").alias("_class")), "class-firsts")
+    classes = roots.select("id", "_root").join(broadcast_if(firsts, 40 * firsts.count()), "_root").select("id", "_class")
+    others = counted.groupBy("id").agg(F.sum("others").alias("_others"))
+    facts = copies.join(classes, "id", "left").join(others, "id", "left").where("n_copies > 1 OR _class IS NOT NULL").select(
+        "n", "k1", "k2", F.coalesce("_class", "_first").alias("_first"), "n_copies", F.coalesce("_others", F.lit(0)).alias("_others"))
+    return described.select("doc_id", "key", "n", "k1", "k2").join(written(facts, "set-classes"), ["n", "k1", "k2"], "left")
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: float = 0.9999,
                       doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents whose sets of five-word shingles have a Jaccard similarity of ``similarity``: one row per document with
@@ -227,39 +258,33 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: f
 
     Words are split at ASCII white space and compare as they are. A text of one to four words has one shingle; without
     words it has none, is similar to nothing and makes a class of its own. Copies fold into one row before anything is
-    compared. A row without an id joins the class of its copies (null where these have none), and finds no other links.
-    Rows that share an id count as one document in links, one row each in the result. Empty table: no rows.
+    compared. Rows count by themselves, also without an id or with an id that other rows have; a class in which no row has
+    an id shows null. Empty table: no rows.
 
     Each set has a path of minima in each of ``TREES`` tries; sets meet where they share a prefix of the depth that
     ``depth_for`` gives. Sketches drop most accidental meetings; what is left makes clusters, in which whole texts decide
     every pair. Pairs are counted where they are compared and never listed.
     """
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    described = written(_described(given), "shingle-sets")
-    some = described.where("n > 0")
-    copies = some.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
-    copies = written(copies, "set-copies")
-    least = copies.where("n_copies > 1").select("n", "k1", "k2", F.col("id").alias("_least"))
-    reps = some.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id").join(
-        broadcast_if(least, 40 * least.count()), ["n", "k1", "k2"], "left")
-    reps = reps.where("_least IS NULL OR id = _least").select("id", "n", "sig")
-    edges = written(_clusters(_bucket_rows(reps, depth_for(similarity, target_recall)), similarity), "candidate-edges")
-    clusters = connected_components(edges, a="a", b="b").select(F.col("ip").alias("id"), F.col("root").alias("cluster"))
-    members = copies.where("id IS NOT NULL").join(clusters, "id")
-    counted = written(_counted(members, given, similarity), "similar-sets")
-    roots = connected_components(counted, a="id", b="root").select(F.col("ip").alias("id"), F.col("root").alias("_class"))
-    others = counted.groupBy("id").agg(F.sum("others").alias("_others"))
-    facts = copies.join(roots, "id", "left").join(others, "id", "left").where("n_copies > 1 OR _class IS NOT NULL").select(
-        "n", "k1", "k2", F.coalesce("_class", "id").alias("_class"), "n_copies", F.coalesce("_others", F.lit(0)).alias("_others"))
-    found = described.select("doc_id", "n", "k1", "k2").join(written(facts, "set-classes"), ["n", "k1", "k2"], "left")
-    n = F.coalesce("n_copies", F.lit(1))
+    found, n = _classified(docs, similarity, target_recall, doc_id, text), F.coalesce("n_copies", F.lit(1))
     return found.select(
-        "doc_id", F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("_class")).alias("class_id"),
+        "doc_id", F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("_first.doc_id")).alias("class_id"),
         (n - 1 + F.coalesce("_others", F.lit(0))).cast("long").alias("n_links"), n.cast("long").alias("n_copies"))
 
 
-def without_similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id; all columns stay. Rows without an id stay."""
-    members = similar_documents(docs, similarity, doc_id=doc_id, text=text, **options)
-    gone = written(members.where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "similar-gone")
-    return docs.join(broadcast_if(gone, 16 * gone.count()), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+def without_similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
+                    target_recall: float = 0.9999) -> DataFrame:
+    """One row of each class, that of the smallest doc_id (of several, the one of the least hash of its text); all columns
+    stay. Rows without an id stay."""
+    found = written(_classified(docs, similarity, target_recall, doc_id, text).where("doc_id IS NOT NULL AND n_copies IS NOT NULL").select(
+        "key", (F.col("key") != F.col("_first.key")).alias("_goes")), "similar-rows")
+    gone = written(found.where("_goes").select(F.col("key").alias("_gone")).distinct(), "similar-gone")
+    key = _row_key(doc_id, text)
+    kept = docs.join(broadcast_if(gone, 16 * gone.count()), key == F.col("_gone"), "left_anti")
+    again = found.where("NOT _goes").groupBy(F.col("key").alias("_again")).count().where("count > 1").drop("count")
+    again = written(again, "similar-again")
+    if again.isEmpty():
+        return kept
+    size = 16 * again.count()  # rows that repeat the one which stays, id and text
+    once = kept.join(broadcast_if(again, size), key == F.col("_again")).withColumn("_nth", F.row_number().over(
+        W.partitionBy("_again").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))).where("_nth = 1")
+    return kept.join(broadcast_if(again, size), key == F.col("_again"), "left_anti").unionByName(once.drop("_again", "_nth"))

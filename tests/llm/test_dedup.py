@@ -157,6 +157,21 @@ def test_rows_without_id(spark):
     assert jaccard.without_similar(d).count() == 4
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = lambda k: " ".join([*base, f"end{k}"])
+    clean, other = " ".join(f"c{k}" for k in range(30)), [f"o{k}" for k in range(60)]
+    rows = [(3, near(0)), (7, near(1)), (7, clean), (8, " ".join(other)), (8, " ".join(other + ["x"])), (8, " ".join(other)),
+            (None, near(2)), (None, "alone without id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in jaccard.similar_documents(d).collect())
+    assert got == Counter({(3, 3, 2, 1): 1, (7, 3, 2, 1): 1, (7, 7, 0, 1): 1, (8, 8, 2, 2): 2, (8, 8, 2, 1): 1,
+                           (None, 3, 2, 1): 1, (None, None, 0, 1): 1})
+    kept = Counter((r.doc_id, r.text) for r in jaccard.without_similar(d).collect())
+    assert [n for (i, _), n in kept.items() if i == 8] == [1]
+    assert Counter({k: n for k, n in kept.items() if k[0] != 8}) == Counter([rows[0], rows[2], rows[6], rows[7]])
+
+
 def test_without_similar(hard, hard_rows):
     rows = jaccard.without_similar(hard.where("doc_id IS NOT NULL"))
     assert rows.columns == hard.columns
