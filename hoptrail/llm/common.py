@@ -44,7 +44,21 @@ def file_system(uri: str):
         uri = "file://" + uri[len("file:"):]
     if "://" not in uri:
         return fs.LocalFileSystem(), os.path.abspath(uri)
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(pyarrow_uri(uri))
+
+
+def pyarrow_uri(uri: str) -> str:
+    scheme, rest = uri.split("://", 1)
+    return f"{_SCHEMES.get(scheme, scheme)}://{rest}"
+
+
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs", "abfs": "abfss"}  # Hadoop's names of stores -> pyarrow's
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by their place, so that no given name can clash, and the place of each given name."""
+    names = [f"_c{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), {c: n for c, n in zip(df.columns, names)}
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, texts_of, written
+from .common import numbered, slices, texts_of, written
 from .tokens import encoder
 
 PIECE_DDL = "doc_id long, piece int, start long, length long, ids binary"
@@ -127,16 +127,20 @@ def _places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> dict[s
 
 
 def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
-    """Adds sequence_id and offset to pieces of 1 to ``capacity`` ids; all columns of ``pieces`` stay.
+    """Adds sequence_id and offset to pieces of 1 to ``capacity`` ids; all columns of ``pieces`` stay, but for given ones of
+    these two names, which are replaced.
 
     The pieces are written, and again with their number among the pieces of equal length in their task (in two steps, so
     that a task that tokenizes does not keep a second Python worker). Counts per length
     (``capacity`` numbers at most) come to the driver for the plan, and its runs (at most a few per length) go to the
     tasks; the pieces themselves get their rank from one join on (task, length). An empty table gives no rows.
     """
-    names = pieces.columns
+    pieces = pieces.drop("sequence_id", "offset")
+    given = pieces.columns
+    pieces, place = numbered(pieces)
+    names, length = pieces.columns, place[length]
 
-    def numbered(batches):
+    def counted(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             n = b.column(names.index(length)).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -153,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
 
     table = pieces.schema.jsonValue()
     ddl = type(pieces.schema).fromJson(table).add("_task", "long").add("_local", "long")
-    stored = written(written(pieces, "pieces").mapInArrow(numbered, ddl), "numbered-pieces")
+    stored = written(written(pieces, "pieces").mapInArrow(counted, ddl), "numbered-pieces")
     per_task = written(stored.groupBy("_task", length).agg(F.count(F.lit(1)).alias("_n")), "piece-counts")
     counts = np.zeros(capacity + 1, np.int64)
     for row in per_task.groupBy(length).agg(F.sum("_n").alias("n")).collect():
@@ -177,4 +181,4 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length") -> DataFrame:
                 names=[*names, "sequence_id", "offset"])
 
     out = type(pieces.schema).fromJson(table).add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(placed, out)
+    return ranked.mapInArrow(placed, out).toDF(*given, "sequence_id", "offset")

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import counts, exact, jaccard, mixing, neighbours, packing, quality, records, substrings, warc
+from . import align, counts, exact, jaccard, licenses, mixing, neighbours, packing, quality, records, spelling, substrings, warc
+from .common import written
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     digests = records.read_records(index).select(
         "part", "seq", "record", "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return records.with_starts(digests).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return records.with_starts(written(digests, "record-digests")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts_ = spelling.word_counts(_table(spark, sf_dir, "documents"), shortest=5, least=3, drop_one_in=97)
+    return spelling.variants(counts_, factor=2)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.aligned_with_strength(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 OP4_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
            FROM documents),
@@ -100,7 +115,9 @@ SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha256(t) AS payload
   CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to
 FROM p LEFT JOIN g USING (t)"""
 
-_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op5_repeated_substrings, op6_ngram_jaccard, op7_token_counts, op8_token_records, op9_nn_descent, op10_warc]
+_ALL = [op1_source_mix, op2_quality, op3_best_fit_packing, op4_exact_dedup, op5_repeated_substrings, op6_ngram_jaccard,
+        op7_token_counts, op8_token_records, op9_nn_descent, op10_warc,
+        op11_spelling_variants, op12_token_alignment, op13_license_scan]
 
 
 def _configured(fn):
@@ -108,4 +125,5 @@ def _configured(fn):
 
 
 QUERIES = {fn.__name__: _configured(fn) for fn in _ALL}
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_warc": OP10_SQL}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op10_warc": OP10_SQL,
+          "op13_license_scan": licenses.scan_sql()}

@@ -173,3 +173,43 @@ def test_plan_fills_exact_complements():
     have[[70, 10]] = 3, 9
     plan = packing.plan(have, 100)
     assert sum(t for _, t in plan) == -(-int((have * np.arange(101)).sum()) // 100)
+
+
+def test_packing_with_clashing_columns(spark):
+    names = ["length", "_task", "_local", "_rank", "_before", "_n", "sequence_id", "offset"]
+    pieces = spark.createDataFrame([(1 + k % 9, *range(7)) for k in range(50)], ", ".join(f"{n} long" for n in names))
+    out = packing.pack(pieces, capacity=10)
+    assert out.columns == names[:6] + ["sequence_id", "offset"]
+    rows = out.collect()
+    assert len(rows) == 50 and all(tuple(r)[1:6] == (0, 1, 2, 3, 4) for r in rows)
+    used = Counter()
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 10
+
+
+def test_pieces_end_before_every_kind_of_space(enc, ids_of):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [f"a{s} b{s}c {s}d e{s}{s} f" for s in spaces] + [f"é{s} \u2019 x\u200b y\u180e z" for s in spaces]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [ids_of(t) for t in texts]
+
+
+def test_blocks_and_forgetting(tokenizer_path, ids_of, monkeypatch):
+    import random
+
+    monkeypatch.setattr("hoptrail.llm.tokens.CACHE_ENTRIES", 300)
+    monkeypatch.setattr("hoptrail.llm.tokens.BLOCK_BYTES", 1000)
+    rng, fresh = random.Random(6), Encoder(tokenizer_path)
+    word = lambda: "".join(rng.choice("abcdeé<|>.\n") for _ in range(rng.choice([0, 1, 3, 8, 80, 300])))
+    for _ in range(30):
+        texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(6)] + ["x" * 3000 + " y", ""]
+        assert [np.frombuffer(x, "<u4").tolist() for x in fresh.encode(texts)] == [ids_of(t) for t in texts]
+    assert len(fresh.keys) < 2000
+
+
+def test_names_of_stores():
+    from hoptrail.llm.common import file_system, pyarrow_uri
+
+    assert [pyarrow_uri(f"{x}://bucket/folder/x") for x in ("s3a", "s3n", "s3", "hdfs")] == [
+        f"{x}://bucket/folder/x" for x in ("s3", "s3", "s3", "hdfs")]
+    assert file_system("file:/tmp/x")[1] == file_system("/tmp/x")[1] == "/tmp/x"
