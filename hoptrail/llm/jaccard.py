@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import broadcast_if, slices, whole_groups, written
+from .common import broadcast_if, numbered, slices, whole_groups, written
 from .words import SLICE_BYTES, distinct, mix, shingles_of, words_of
 
 TREES, LEVELS = 32, 8
@@ -69,26 +69,75 @@ def _described(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, key long, n long, k1 long, k2 long, sig binary")
 
 
+def _buckets(sig: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, tree) names of the prefixes of ``depth`` labels, and the other labels packed."""
+    bucket = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(sig), TREES)).copy()
+    for k in range(depth):
+        bucket = mix(bucket * np.uint64(65599) + sig[:, :, k])
+    deeper = np.zeros((len(sig), TREES), np.int64)
+    for k in range(depth, LEVELS):
+        deeper = deeper << 16 | sig[:, :, k]
+    return bucket, deeper
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), TREES, LEVELS)
+
+
+def _shared_trees(reps: DataFrame, depth: int) -> DataFrame:
+    """(id, trees): for each set that shares a bucket, a bit for each tree in which it does. Sixteen bytes per set and tree are
+    sorted by bucket; signatures stay where they are."""
+    def spread(batches):
+        for b in slices(batches, rows=2048):
+            bucket, _ = _buckets(_signatures_of(b.column(1)), depth)
+            tree = np.broadcast_to(np.arange(TREES, dtype=np.uint64), bucket.shape)
+            # the tree stands in the bucket's lowest bits
+            key = (bucket & ~np.uint64(TREES - 1) | tree).view(np.int64).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), TREES))],
+                                             names=["bucket", "id"])
+
+    def shared(batches):
+        before = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bucket, ids = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            if before is not None:  # the last row of the batch before waits for its successor
+                bucket, ids = np.r_[before[0], bucket], np.r_[before[1], ids]
+            same = np.r_[before is not None and before[2], bucket[1:] == bucket[:-1], False]
+            again = (same[:-1] | same[1:])[:-1]
+            yield found(bucket[:-1], ids[:-1], again)
+            before = bucket[-1:], ids[-1:], bool(same[len(bucket) - 1])
+        if before is not None:
+            yield found(before[0], before[1], np.array([before[2]]))
+
+    def found(bucket, ids, again):
+        bit = np.int64(1) << (bucket[again] & (TREES - 1))
+        return pa.RecordBatch.from_arrays([pa.array(ids[again]), pa.array(bit)], names=["id", "trees"])
+
+    rows = reps.select("id", "sig").mapInArrow(spread, "bucket long, id long")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(shared, "id long, trees long").groupBy("id").agg(F.bit_or("trees").alias("trees"))
+
+
 def _bucket_rows(reps: DataFrame, depth: int) -> DataFrame:
-    """One row per tree and set: bucket (the tree's prefix of ``depth`` labels), deeper (its other labels), id, n, sketch."""
+    """One row per set and tree in which it shares its bucket (the tree's prefix of ``depth`` labels): bucket, deeper (the
+    other labels), id, n, sketch. Sets that meet nobody, and their other trees, send none."""
     def spread(batches):
         for b in slices(batches, rows=2048):
-            ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint16).reshape(len(ids), TREES, LEVELS)
-            bucket = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), (len(ids), TREES)).copy()
-            for k in range(depth):
-                bucket = mix(bucket * np.uint64(65599) + sig[:, :, k])
-            deeper = np.zeros((len(ids), TREES), np.int64)
-            for k in range(depth, LEVELS):
-                deeper = deeper << 16 | sig[:, :, k]
+            ids, n, trees = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            sig = _signatures_of(b.column(2))
+            bucket, deeper = _buckets(sig, depth)
             nibble = (sig.reshape(len(ids), -1)[:, :SKETCH] & 15).astype(np.uint8)
             sketch = [s.tobytes() for s in nibble[:, ::2] << 4 | nibble[:, 1::2]]
+            row, tree = np.nonzero(trees[:, None] >> np.arange(TREES) & 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64).ravel()), pa.array(deeper.ravel()), pa.array(np.repeat(ids, TREES)),
-                 pa.array(np.repeat(n, TREES)), pa.array([s for s in sketch for _ in range(TREES)], pa.binary())],
-                names=["bucket", "deeper", "id", "n", "sketch"])
+                [pa.array(bucket.view(np.int64)[row, tree]), pa.array(deeper[row, tree]), pa.array(ids[row]), pa.array(n[row]),
+                 pa.array([sketch[k] for k in row.tolist()], pa.binary())], names=["bucket", "deeper", "id", "n", "sketch"])
 
-    return reps.select("id", "n", "sig").mapInArrow(spread, "bucket long, deeper long, id long, n long, sketch binary")
+    shared = written(_shared_trees(reps, depth), "shared-trees")
+    some = reps.select("id", "n", "sig").join(broadcast_if(shared, 40 * shared.count()), "id").select("id", "n", "sig", "trees")
+    return some.mapInArrow(spread, "bucket long, deeper long, id long, n long, sketch binary")
 
 
 def _joined(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -273,18 +322,20 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, target_recall: f
 
 def without_similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text",
                     target_recall: float = 0.9999) -> DataFrame:
-    """One row of each class, that of the smallest doc_id (of several, the one of the least hash of its text); all columns
-    stay. Rows without an id stay."""
-    found = written(_classified(docs, similarity, target_recall, doc_id, text).where("doc_id IS NOT NULL AND n_copies IS NOT NULL").select(
+    """One row of each class, that of the smallest doc_id (of several, the one of the least hash of its text; rows without an
+    id come after all others); all columns stay, whatever their names. Texts without words all stay."""
+    found = written(_classified(docs, similarity, target_recall, doc_id, text).where("n_copies IS NOT NULL").select(
         "key", (F.col("key") != F.col("_first.key")).alias("_goes")), "similar-rows")
     gone = written(found.where("_goes").select(F.col("key").alias("_gone")).distinct(), "similar-gone")
-    key = _row_key(doc_id, text)
-    kept = docs.join(broadcast_if(gone, 16 * gone.count()), key == F.col("_gone"), "left_anti")
+    given, place = numbered(docs)
+    key = _row_key(place[doc_id], place[text])
+    kept = given.join(broadcast_if(gone, 16 * gone.count()), key == F.col("_gone"), "left_anti")
     again = found.where("NOT _goes").groupBy(F.col("key").alias("_again")).count().where("count > 1").drop("count")
     again = written(again, "similar-again")
     if again.isEmpty():
-        return kept
+        return kept.toDF(*docs.columns)
     size = 16 * again.count()  # rows that repeat the one which stays, id and text
     once = kept.join(broadcast_if(again, size), key == F.col("_again")).withColumn("_nth", F.row_number().over(
-        W.partitionBy("_again").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))).where("_nth = 1")
-    return kept.join(broadcast_if(again, size), key == F.col("_again"), "left_anti").unionByName(once.drop("_again", "_nth"))
+        W.partitionBy("_again").orderBy(F.xxhash64(*given.columns)))).where("_nth = 1")
+    rest = kept.join(broadcast_if(again, size), key == F.col("_again"), "left_anti")
+    return rest.unionByName(once.drop("_again", "_nth")).toDF(*docs.columns)
