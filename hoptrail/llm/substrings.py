@@ -8,7 +8,8 @@ bytes that all windows which may lead to it have in common, and its span, the by
 
 - A core that occurs once: none of the windows is repeated.
 - A span that occurs again: all of them are.
-- Else the windows of the positions with this core are named one by one and sorted; equal neighbours are repeated.
+- Else the windows of the positions with this core are named one by one and sorted, equal neighbours are repeated; where a
+  core has many spans, their windows are halved until core and span settle each half.
 """
 
 from __future__ import annotations
@@ -148,21 +149,50 @@ def _settled_in_task(spans: DataFrame, length: int) -> DataFrame:
     return given.repartition("core").sortWithinPartitions("core").mapInArrow(settle, "t1 long, t2 long, begin long, end long")
 
 
-def _settled_by_shuffle(spans: DataFrame, length: int) -> DataFrame:
-    """As ``_settled_in_task`` for cores with many spans: windows are counted by name, with a partial count in each task."""
-    def windows(batches):
-        for b in slices(batches, 256 << 10):
-            core = b.column(0).to_numpy(zero_copy_only=False)
-            both = b.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
-            row, distance, h1, h2 = _window_names(b.column(5), core, both >> 8, both & 255, length)
-            at = b.column(3).to_numpy(zero_copy_only=False)[row]
-            r = pa.array(row)
-            yield pa.RecordBatch.from_arrays([b.column(1).take(r), b.column(2).take(r), pa.array(at - distance), pa.array(h1), pa.array(h2)],
-                                             names=["t1", "t2", "begin", "h1", "h2"])
+def _settled_by_halves(spans: DataFrame, length: int) -> DataFrame:
+    """As ``_settled_in_task`` for cores with many spans: the distances are halved until each half is settled.
 
-    named = spans.select("core", "t1", "t2", "at", "range", "span").mapInArrow(windows, "t1 long, t2 long, begin long, h1 long, h2 long")
-    again = written(named.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "window-names")
-    return named.join(again, ["h1", "h2"]).select("t1", "t2", "begin", (F.col("begin") + length).alias("end"))
+    A half of a span's windows has a core and a span of its own. In each round they are counted by name over all tasks: a
+    core that occurs once settles its half (no window is repeated), a span that occurs again settles it too (all are), and
+    one of the equal spans goes on for the sake of others. So a round has at most two rows per span that is still open.
+    """
+    def split(half):
+        def run(batches):
+            for b in slices(batches, 256 << 10):
+                core, at, top, low, high, block = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 3, 4, 5, 6, 7))
+                row, upper = np.divmod(np.arange(2 * len(core)), 2)
+                begin = block[row] + upper * half
+                some = np.flatnonzero((low[row] < begin + half) & (high[row] >= begin))
+                row, begin = row[some], begin[some]
+                least, most = np.maximum(low[row], begin), np.minimum(high[row], begin + half - 1)
+                span = b.column(8).take(pa.array(row))
+                data, bounds = buffers(span)
+                spot = bounds[:-1] + top[row]  # the sampled position
+                inner = mix(core[row].view(np.uint64)) + begin.astype(np.uint64)
+                outer = mix(inner) + (least << 8 | most).astype(np.uint64)
+                names = [_name(*prefix_hash(data, k), spot - begin, spot - begin - half + 1 + length, inner) for k in (0, 1)]
+                names += [_name(*prefix_hash(data, k), spot - most, spot - least + length, outer) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(k).take(pa.array(row)) for k in range(5)] + [pa.array(c) for c in (least, most, begin, *names)] + [span],
+                    names=["core", "t1", "t2", "at", "top", "low", "high", "block", "c1", "c2", "s1", "s2", "span"])
+        return run
+
+    high = F.col("range").bitwiseAND(255).cast("long")
+    open_ = spans.select("core", "t1", "t2", "at", high.alias("top"), F.shiftright("range", 8).cast("long").alias("low"),
+                         high.alias("high"), F.lit(0).cast("long").alias("block"), "span")
+    ddl = "core long, t1 long, t2 long, at long, top long, low long, high long, block long"
+    found, half = None, WINDOW
+    while half > 1:
+        half //= 2
+        halves = written(open_.mapInArrow(split(half), f"{ddl}, c1 long, c2 long, s1 long, s2 long, span binary"), "open-halves")
+        cores = halves.groupBy("c1", "c2").count().where("count > 1").select("c1", "c2")
+        halves = written(halves.join(cores, ["c1", "c2"], "left_semi"), "open-halves")
+        again = halves.groupBy("s1", "s2").count().where("count > 1").select("s1", "s2")
+        runs = halves.join(again, ["s1", "s2"], "left_semi").select(
+            "t1", "t2", (F.col("at") - F.col("high")).alias("begin"), (F.col("at") - F.col("low") + length).alias("end"))
+        found = runs if found is None else found.unionByName(runs)
+        open_ = halves.dropDuplicates(["s1", "s2"]).select(*[c.split()[0] for c in ddl.split(", ")], "span")
+    return found
 
 
 def _merged_runs(intervals: DataFrame) -> DataFrame:
@@ -207,8 +237,10 @@ def repeated_runs(keyed: DataFrame, length: int) -> DataFrame:
     spans = _spans_of(docs, broadcast_if(wanted, size), length).dropDuplicates(["core", "range", "span"])
     spans = written(spans.join(classes, "core"), "span-bytes")
     few = _settled_in_task(spans.where(F.col("spans") <= CLASS_ROWS), length)
-    many = _settled_by_shuffle(spans.where(F.col("spans") > CLASS_ROWS), length)
-    return _merged_runs(again.unionByName(few).unionByName(many))
+    settled = again.unionByName(few)
+    if not classes.where(F.col("spans") > CLASS_ROWS).isEmpty():
+        settled = settled.unionByName(_settled_by_halves(spans.where(F.col("spans") > CLASS_ROWS), length))
+    return _merged_runs(settled)
 
 
 def remove_repeated(docs: DataFrame, length: int = 200, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
