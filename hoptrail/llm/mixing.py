@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, written
+from .common import broadcast_if, numbered, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_SHARDS = 4096
+GROUPS = 4096        # shards of a source stand in at most so many groups
+SOURCE_BLOCKS = 256   # blocks of the smallest source at least, while blocks have words to give
 
 
 def shares(sources: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
@@ -66,9 +67,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     document counts as a whole (copies): by its middle word where a shard's run is less than half of it, else rounded.
 
     Sizes count words; a null or empty text has none. A source's documents are dealt to shards of about ``shard_words``
-    words by a seeded hash (at most ``MAX_SHARDS`` a source, so shards of a huge source grow) and stand in a seeded order
-    there. A shard is cut into equal blocks of about ``block_words`` words. All blocks the mix takes go to sources, then
-    each source's to its shards, by highest quotients; a shard with quota q and n blocks takes all blocks q div n times
+    words by seeded hashes and stand in a seeded order there; shards stand in groups, at most ``GROUPS`` a source. A shard is
+    cut into equal blocks of about ``block_words`` words, fewer if the smallest source has less than ``SOURCE_BLOCKS`` such
+    blocks, down to one word: so a small source comes within a word of its target. All blocks the mix takes go to sources,
+    each source's to its groups, and each group's to its shards, by highest quotients; a shard with quota q and n blocks takes all blocks q div n times
     and q mod n neighbouring blocks, from a seeded one on and around the end, once more. No block is taken more than
     ``most`` times. Equal inputs give equal results, however they are partitioned; rows that repeat a document stand side
     by side. A null source is a source of its own, and last. An empty table, or one without words, takes nothing.
@@ -79,17 +81,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), key.alias("_h"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     sources = shares(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, most)
-    total = F.sum("size").over(W.partitionBy(F.lit(0)))
-    sources = sources.withColumn("_house", F.round(total / block_words).cast("long")).withColumn("_one", F.lit(0))
+    every = W.partitionBy(F.lit(0))
+    total, smallest = F.sum("size").over(every), F.min(F.when(F.col("size") > 0, F.col("size"))).over(every)
+    block = F.greatest(F.lit(1), F.least(F.lit(block_words), F.floor(F.coalesce(smallest, F.lit(0)) / SOURCE_BLOCKS))).cast("long")
+    sources = sources.withColumn("_block", block).withColumn("_house", F.round(total / F.col("_block")).cast("long")).withColumn("_one", F.lit(0))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("size") / shard_words))
     sources = sainte_lague(sources, ["_one"], ["place"], "target", "_house", "_blocks").select(
-        F.col("source").alias("_source"), "place", F.col("size").alias("source_size"), "target", "_blocks",
-        F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("size") / shard_words))).alias("_shards"))
+        F.col("source").alias("_source"), "place", F.col("size").alias("source_size"), "target", "_blocks", "_block",
+        F.least(F.lit(GROUPS), shards).alias("_groups"), F.ceil(shards / F.least(F.lit(GROUPS), shards)).alias("_each"))
     sources = written(sources, "mix-sources")
     placed = sized.join(sources, sized["source"].eqNullSafe(sources["_source"])).withColumn(
-        "_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), "_shards"))
-    shards = placed.groupBy("place", "_shard", "_blocks").agg(F.sum("size").alias("_words"))
-    shards = sainte_lague(shards, ["place"], ["_shard"], "_words", "_blocks", "_quota")
-    n = F.greatest(F.lit(1), F.round(F.col("_words") / block_words).cast("long"))
+        "_group", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), "_groups")).withColumn(
+        "_shard", F.pmod(F.xxhash64(F.lit(seed + 4), "_h"), "_each") * F.col("_groups") + F.col("_group"))
+    shards = written(placed.groupBy("place", "_group", "_shard", "_blocks", "_block").agg(F.sum("size").alias("_words")), "mix-shard-sizes")
+    groups = shards.groupBy("place", "_group", "_blocks").agg(F.sum("_words").alias("_group_words"))
+    groups = sainte_lague(groups, ["place"], ["_group"], "_group_words", "_blocks", "_share").select("place", "_group", "_share")
+    shards = sainte_lague(shards.join(groups, ["place", "_group"]), ["place", "_group"], ["_shard"], "_words", "_share", "_quota")
+    n = F.greatest(F.lit(1), F.round(F.col("_words") / F.col("_block")).cast("long"))
     shards = shards.withColumn("_n", n).withColumn("_quota", F.least("_quota", most * F.col("_n")))
     shards = shards.withColumn("_all", F.floor(F.col("_quota") / F.col("_n"))).withColumn("_more", F.col("_quota") % F.col("_n"))
     first = F.pmod(F.xxhash64(F.lit(seed + 2), "place", "_shard"), F.col("_n"))
@@ -106,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     twice = F.col("_from") + F.col("_to")
     inside = lambda lo, hi: ((twice >= 2 * F.col(lo)) & (twice < 2 * F.col(hi))).cast("long")
     middle = F.col("_all") + inside("_lo1", "_hi1") + (twice < 2 * F.col("_hi2")).cast("long")
-    copies = F.when(F.col("_short"), middle).otherwise(F.round(taken / F.col("size"))).cast("long")
+    copies = F.when(F.col("_short"), middle).otherwise(F.round(taken / F.greatest(F.col("size"), F.lit(1)))).cast("long")
     return d.select("doc_id", F.col("_h").alias("key"), "size", "source", "source_size", "target", taken.alias("taken"), copies.alias("copies"))
 
 
@@ -122,14 +130,15 @@ def mixed_documents(docs: DataFrame, seed: int = 20, doc_id: str = "doc_id", tex
     m = mix(docs, seed=seed, doc_id=doc_id, text=text, **options).where("size > 0")
     copies = m.groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_n"), F.count(F.lit(1)).alias("_rows")).where("_n > 0")
     copies = written(copies.select("_key", F.expr("_n div _rows").alias("_each"), (F.col("_n") % F.col("_rows")).alias("_over")), "mix-copies")
-    keyed = docs.withColumn("_key", _key(seed, doc_id, text)).join(broadcast_if(copies, 32 * copies.count()), "_key")
+    given, place = numbered(docs)  # given columns may have any names
+    keyed = given.withColumn("_key", _key(seed, place[doc_id], place[text])).join(broadcast_if(copies, 32 * copies.count()), "_key")
     if not copies.where("_over > 0").isEmpty():  # at most the documents at the ends of runs
-        row = F.xxhash64(F.lit(seed + 3), *[F.col(f"`{c}`") for c in docs.columns])
+        row = F.xxhash64(F.lit(seed + 3), *given.columns)
         nth = F.row_number().over(W.partitionBy("_key").orderBy(row))
         odd = keyed.where("_over > 0").withColumn("_each", F.col("_each") + (nth <= F.col("_over")).cast("long"))
         keyed = keyed.where("_over = 0").unionByName(odd)
     return keyed.where("_each > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), "_each")).alias("_nth")).drop("_nth")
+        *given.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_each")).alias("_nth")).drop("_nth").toDF(*docs.columns)
 
 
 def _key(seed: int, doc_id: str, text: str) -> Column:

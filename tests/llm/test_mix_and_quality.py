@@ -58,6 +58,39 @@ def test_mix(many_sources):
         assert abs(taken[s] - t) <= 16 + 0.005 * t + 2 * 32, (s, taken[s], t)
 
 
+@pytest.mark.parametrize("sizes", [(40_000, 14, 5), (1, 2, 3, 100), (50, 60_000, 7, 1, 30_000)])
+def test_small_sources_meet_their_targets(spark, sizes):
+    rows = []
+    for s, total in enumerate(sizes):
+        while total:
+            n = min(total, 1 + (17 * len(rows)) % 90)
+            rows.append((len(rows), "w " * n, f"s{s}"))
+            total -= n
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    taken = mixing.mix(df, shard_words=2000).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()
+    assert len(taken) == len(sizes) and all(abs(r.t - r.target) <= 3 for r in taken), taken
+
+
+def test_many_shards_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    rows = [(k, "w " * (k % 50), "ab"[k % 5 == 0]) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(df, shard_words=500).collect()
+    assert len(got) == 800 and all(0 <= r.taken <= 3 * r.size for r in got)
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 0.01 * mine[0].target
+
+
+def test_clashing_columns_of_the_mix(many_sources):
+    _, df = many_sources
+    clash = df.select("doc_id", "text", "source", *[F.lit(k).alias(c) for k, c in enumerate(["_key", "_each", "_over", "_nth", "_n", "size"])])
+    count = lambda d: sorted((r.doc_id, r["count"]) for r in d.groupBy("doc_id").count().collect())
+    out = mixing.mixed_documents(clash)
+    assert out.columns == clash.columns and count(out) == count(mixing.mixed_documents(df))
+    assert out.where("_key != 0 OR _each != 1 OR _over != 2 OR _nth != 3 OR _n != 4 OR size != 5").isEmpty()
+
+
 def test_mix_reruns_agree(many_sources):
     _, df = many_sources
     rows = lambda d: sorted(map(tuple, mixing.mix(d).select("doc_id", "target", "taken").collect()))
