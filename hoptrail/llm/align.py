@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from .common import slices, written
 from .tokens import CACHE_BYTES, SAFE_SPACE, Encoder, Recent, ends_of, long_pieces
 
 SPACE = "▁"
-CACHE_ENTRIES = 60_000  # pieces of one generation, per Python worker: two generations take about 60 MB
+CACHE_ENTRIES = 200_000  # pieces of one generation, per Python worker: two generations take about 140 MB
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -25,18 +27,13 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def slices_of(ids_a: list[int], ids_b: list[int], sizes_a: list[int], sizes_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """Groups of ids between the byte offsets at which both encodings have a token end.
+def common_ends(sizes_a: Iterable[int], sizes_b: Iterable[int]) -> list[tuple[int, int]]:
+    """(tokens of A, tokens of B) before each byte offset at which both encodings have a token end, ascending.
 
-    Each encoding gives a dictionary from cumulative end to index; the common keys, sorted, slice both lists.
+    Each encoding gives a dictionary from cumulative end to index; the keys they share, sorted, are the offsets.
     """
     end_a, end_b = ends_of(sizes_a), ends_of(sizes_b)
-    out, i, j = [], 0, 0
-    for end in sorted(end_a.keys() & end_b.keys()):
-        to_a, to_b = end_a[end] + 1, end_b[end] + 1
-        out.append((ids_a[i:to_a], ids_b[j:to_b]))
-        i, j = to_a, to_b
-    return out
+    return [(end_a[end] + 1, end_b[end] + 1) for end in sorted(end_a.keys() & end_b.keys())]
 
 
 class Aligner:
@@ -65,6 +62,7 @@ class Aligner:
                 raise ValueError(f"piece {i} has a space inside")
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode())
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
+        self.name_a, self.name_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(self.bytes_b))))
         self.alone = [self.b.piece_to_id(SPACE)]
         self.width = len(self.bytes_b)
         if len(self.bytes_a) * self.width >= 1 << 32:
@@ -84,17 +82,21 @@ class Aligner:
     def _sliced(self, pieces: list[str]) -> list[tuple[str | None, bytes, int, int]]:
         """(groups in digits, links, tokens of A, tokens of B) of each piece with a space before it; no groups if bytes differ."""
         out = []
-        later = self.b.encode(pieces, num_threads=1)
-        for piece, ids_a, ids_b in zip(pieces, self._after_space(pieces), later):
+        bytes_a, bytes_b, size_a, size_b = (x.__getitem__ for x in (self.bytes_a, self.bytes_b, self.size_a, self.size_b))
+        name_a, name_b, width, join = self.name_a, self.name_b, self.width, ",".join
+        for piece, ids_a, ids_b in zip(pieces, self._after_space(pieces), self.b.encode(pieces, num_threads=1)):
             ids_b = ids_b if piece else self.alone
             whole = (" " + piece).encode()
-            if b"".join([self.bytes_a[i] for i in ids_a]) != whole or b"".join([self.bytes_b[i] for i in ids_b]) != whole:
+            if b"".join(map(bytes_a, ids_a)) != whole or b"".join(map(bytes_b, ids_b)) != whole:
                 out.append((None, b"", 0, 0))
                 continue
-            groups = slices_of(ids_a, ids_b, [self.size_a[i] for i in ids_a], [self.size_b[i] for i in ids_b])
-            links = np.array([x[-1] * self.width + y[-1] for x, y in groups], "<u4")
-            digits = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-            out.append((digits, links.tobytes(), len(ids_a), len(ids_b)))
+            i = j = 0
+            groups, links = [], array("I")
+            for to_a, to_b in common_ends(map(size_a, ids_a), map(size_b, ids_b)):
+                groups.append(f"{join([name_a[x] for x in ids_a[i:to_a]])}|{join([name_b[x] for x in ids_b[j:to_b]])}")
+                links.append(ids_a[to_a - 1] * width + ids_b[to_b - 1])
+                i, j = to_a, to_b
+            out.append((";".join(groups), links.tobytes(), len(ids_a), len(ids_b)))
         return out
 
     def parts(self, texts: list[str]):

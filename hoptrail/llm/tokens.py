@@ -11,8 +11,8 @@ from __future__ import annotations
 import functools
 import os
 import re
-from collections.abc import Callable
-from itertools import accumulate
+from collections.abc import Callable, Iterable
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
@@ -257,6 +257,6 @@ def long_pieces(text: str, most: int = 1 << 20):
     yield text[at:]
 
 
-def ends_of(sizes: list[int]) -> dict[int, int]:
+def ends_of(sizes: Iterable[int]) -> dict[int, int]:
     """Cumulative end of each token -> its index."""
-    return {end: i for i, end in enumerate(accumulate(sizes))}
+    return dict(zip(accumulate(sizes), count()))

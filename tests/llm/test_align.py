@@ -109,10 +109,10 @@ def test_groups_are_given_on_demand(spark, paths, tools):
     assert (rows[2].groups, rows[2].groups_sha256, rows[2].n_a) == ("", "", 0)
 
 
-def test_slices():
-    assert align.slices_of([1, 2, 3], [7, 8], [1, 2, 3], [3, 3]) == [([1, 2], [7]), ([3], [8])]
-    assert align.slices_of([1, 2], [7, 8, 9], [4, 2], [1, 3, 2]) == [([1], [7, 8]), ([2], [9])]
-    assert align.slices_of([], [], [], []) == []
+def test_common_ends():
+    assert align.common_ends([1, 2, 3], [3, 3]) == [(2, 1), (3, 2)]
+    assert align.common_ends([4, 2], [1, 3, 2]) == [(1, 2), (2, 3)]
+    assert align.common_ends([], []) == []
 
 
 def test_empty(none, paths):
