@@ -24,13 +24,16 @@ def _stream(spark, sf, name):
 
 
 def _in_batches(spark, sf, name, batches=4, files=4):
-    """A table's rows as a stream of several micro-batches in the order of event time, one quantile of ``ts`` each."""
+    """A table's rows as a stream of several micro-batches in the order of event time, one quantile of ``ts`` each, and a last
+    one that moves the watermark beyond all of them: a row of user -1 a month later."""
     d = T.table(spark, sf, name)
     cuts = d.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", [k / batches for k in range(1, batches)], 0.01)
     path = f"{scratch(spark)}/{name}"
     part = sum((F.when(F.unix_micros("ts") > c, 1).otherwise(0) for c in cuts), L(0))
     for k in range(batches):
         d.where(part == k).repartition(files).write.mode("append").parquet(path)
+    end = {"ts": F.max("ts") + F.expr("INTERVAL 30 DAYS"), "event_type": L("end")}
+    d.agg(*[end.get(f.name, L(0 if f.name == "value" else -1)).cast(f.dataType).alias(f.name) for f in d.schema]).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(d.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -47,16 +50,16 @@ def _(spark, sf):
 
 @query("stream_rtt_ewma", _E.format(w="", first="false") + " SELECT * FROM l")
 def _(spark, sf):
-    e = _stream(spark, sf, "events").select(F.col("user_id").alias("conn"), "ts", F.col("event_id").alias("seq"), F.floor(F.col("value") * 1000).cast("bigint").alias("rtt"))
-    out = _run(spark, V.stream_rtt_ewma(e))
+    e = _in_batches(spark, sf, "events").select(F.col("user_id").alias("conn"), "ts", F.col("event_id").alias("seq"), F.floor(F.col("value") * 1000).cast("bigint").alias("rtt"))
+    out = _run(spark, V.stream_rtt_ewma(e)).where("conn >= 0")
     return out.groupBy("conn").agg(F.max_by("srtt", "n").alias("srtt"), F.max_by("mdev", "n").alias("mdev"), F.max("n").alias("n"))
 
 
 @query("stream_hop_queueing", "WITH " + SQL["stamps"] + """, dl AS (SELECT conn, probe, s, CAST(i - 1 AS INTEGER) AS hop, v - coalesce(lag(v) OVER (PARTITION BY probe ORDER BY i), sms) AS delay FROM stamp UNION ALL SELECT conn, probe, s, CAST(n AS INTEGER), rms - v FROM stamp WHERE i = n)
   SELECT conn, hop, probe, delay, delay - least_ AS queueing FROM (SELECT *, min(delay) OVER (PARTITION BY conn, hop ORDER BY s, probe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least_ FROM dl) WHERE least_ IS NOT NULL""")
 def _(spark, sf):
-    stamps = T.stamps_of(_stream(spark, sf, "events"))
-    return _run(spark, V.stream_hop_queueing(V.stream_hop_delays(stamps)))
+    stamps = T.stamps_of(_in_batches(spark, sf, "events"))
+    return _run(spark, V.stream_hop_queueing(V.stream_hop_delays(stamps))).where("conn >= 0")
 
 
 def _echo(e):
@@ -80,9 +83,8 @@ def _(spark, sf):
 
 @query("stream_match_echo", _ECHO)
 def _(spark, sf):
-    s, e = _echo(_stream(spark, sf, "events"))
-    ev = s.withColumn("kind", L("sent")).unionByName(e.withColumn("kind", L("echo")))
-    return _run(spark, V.stream_match_echo(ev))
+    s, e = _echo(_in_batches(spark, sf, "events"))
+    return _run(spark, V.stream_match_echo(s, e, 6 * 3_600_000_000, "6 hours")).where("conn >= 0")
 
 
 _LIMIT = 60_000_000
@@ -116,13 +118,11 @@ def _(spark, sf):
     return V.probe_timeouts(*_answers(T.table(spark, sf, "events")), _LIMIT).withColumn("due", F.unix_micros("due"))
 
 
-@query("stream_classify_responses", _ANS + """, h AS (SELECT epoch_ms(max(ts)) AS m FROM (SELECT ts FROM r UNION ALL SELECT sent_ts FROM p))
-  SELECT * FROM c UNION ALL SELECT t.conn, t.probe, NULL, 'TIMEOUT' FROM t JOIN p USING (conn, probe), h
-   WHERE (t.conn, t.probe) IN (SELECT (conn, probe) FROM r) OR epoch_ms(sent_ts) + 60001 <= m - 300000""")
+@query("stream_classify_responses", _ANS + " SELECT * FROM c UNION ALL SELECT conn, probe, NULL, 'TIMEOUT' FROM t")
 def _(spark, sf):
     p, r = _answers(_in_batches(spark, sf, "events"))
     ev = p.select("conn", "probe", L("probe").alias("kind"), L(None).cast("bigint").alias("id"), "ts").unionByName(r.select("conn", "probe", L("response").alias("kind"), F.col("resp_id").alias("id"), "ts"))
-    return _run(spark, V.stream_classify_responses(ev, _LIMIT, "5 minutes"))
+    return _run(spark, V.stream_classify_responses(ev, _LIMIT, "5 minutes")).where("conn >= 0")
 
 
 @query("idle_sessions", """WITH g AS (SELECT user_id AS conn, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts >= lag(ts) OVER w + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -150,8 +150,24 @@ def _(spark, sf):
     return V.peer_registry(seen, e.agg(F.max("ts")).scalar()).withColumn("last_seen", F.unix_micros("last_seen"))
 
 
-@query("stream_peer_registry", """SELECT user_id AS ip, arg_max(event_id % 65536, (ts, event_id % 65536)) AS port, epoch_us(max(ts)) AS last_seen FROM events GROUP BY user_id""")
+_STAYS = """WITH g AS (SELECT user_id AS ip, event_id % 65536 AS port, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id % 65536)),
+  h AS (SELECT *, sum(b) OVER (PARTITION BY ip ORDER BY ts, port) AS s FROM g), x AS (SELECT ip, arg_max(port, (ts, port)) AS port, epoch_us(max(ts)) AS last_seen FROM h GROUP BY ip, s)"""
+
+
+def _seen(e):
+    return e.select(F.col("user_id").alias("ip"), (F.col("event_id") % 65536).alias("port"), "ts")
+
+
+@query("peer_stays", _STAYS + " SELECT * FROM x")
+def _(spark, sf):
+    return V.peer_stays(_seen(T.table(spark, sf, "events")), 3_600_000_000).withColumn("last_seen", F.unix_micros("last_seen"))
+
+
+@query("stream_peer_registry", _STAYS + """ SELECT ip, port, last_seen, false AS alive FROM x
+  UNION ALL SELECT user_id, arg_max(event_id % 65536, (ts, event_id % 65536)), epoch_us(max(ts)), true FROM events GROUP BY user_id""")
 def _(spark, sf):
-    seen = _stream(spark, sf, "events").select(F.col("user_id").alias("ip"), (F.col("event_id") % 65536).alias("port"), "ts")
-    out = _run(spark, V.stream_peer_registry(seen)).where("alive")
-    return out.groupBy("ip").agg(F.max_by("port", "last_seen").alias("port"), F.max("last_seen").alias("last_seen"))
+    events = _in_batches(spark, sf, "events")
+    gone = _run(spark, V.stream_peer_expiry(_seen(events))).withColumn("last_seen", F.unix_micros("last_seen"))
+    out = _run(spark, V.stream_peer_registry(_seen(events))).where("alive")
+    out = out.groupBy("ip").agg(F.max_by("port", "last_seen").alias("port"), F.max("last_seen").alias("last_seen"))
+    return gone.withColumn("alive", L(False)).unionByName(out.withColumn("alive", L(True))).where("ip >= 0")

@@ -1,13 +1,16 @@
 """Live state over streams: matching, classification, smoothing, sessions, registries.
 
-Each operator with order-dependent state has a batch twin that gives the same rows over a finished table. State is
-kept per connection (or probe, hop, address) and leaves with event time.
+Each operator with order-dependent state has a batch twin that gives the same rows over a finished table. Matching runs
+in stream-stream joins on event time; what depends on the order of rows waits until the watermark has passed it, so the
+order of files does not matter. All state leaves with event time. Rows behind the watermark are dropped by Spark: the
+watermark has to cover the disorder of the input.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,41 +47,92 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     return spark.read.parquet(f"{out}/*")
 
 
-def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch, in event order; the trigger bounds their number."""
-    return pd.concat(list(chunks)).sort_values(by)
+# -- order of event time ---------------------------------------------------------------------------------------------
 
+Fold = Callable[[list[int] | None, np.ndarray, np.ndarray], tuple[list[int], dict[str, list]]]
 
-# -- smoothing -------------------------------------------------------------------------------------------------------
 
-def stream_rtt_ewma(samples: DataFrame, start: str = "zero") -> DataFrame:
-    """`samples(conn bigint, ts, seq, rtt)` -> after every micro-batch the estimate of each connection it touched."""
+def in_event_order(rows: DataFrame, keys: dict[str, str], out: dict[str, str], fold: Fold, watermark: str | None,
+                   idle_ms: int) -> DataFrame:
+    """Folds the rows of each key in the order of (ts, tie): `rows(*keys, ts, tie bigint, amount bigint)`.
+
+    Rows wait in the key's state until the watermark has passed them, so they may arrive in any order within it. ``fold``
+    takes the carried numbers (null at first), the ties and amounts of the rows that are due, and gives the numbers to
+    carry on and the columns ``out``. A key without a row for ``idle_ms`` of event time leaves the state and starts anew
+    after that. Without ``watermark`` the one that ``ts`` has holds.
+    """
     def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rtt, mdev, n = state.get if state.exists else (0, 0, 0)
-        for x in _sorted(chunks, ["ts", "seq"])["rtt"]:
-            rtt, mdev = smooth(rtt, mdev, int(x), start)
-            n += 1
-        state.update((rtt, mdev, n))
-        yield pd.DataFrame({"conn": [key[0]], "srtt": [rtt], "mdev": [mdev], "n": [n]})
+        at, tie, amount, carry, last = state.get if state.exists else ([], [], [], None, 0)
+        parts = [[np.array(x, np.int64)] for x in (at, tie, amount)]
+        if not state.hasTimedOut:
+            for pdf in chunks:
+                for part, name in zip(parts, ("at", "tie", "amount")):
+                    part.append(pdf[name].to_numpy(np.int64))
+        at, tie, amount = (np.concatenate(p) for p in parts)
+        order = np.lexsort((tie, at))
+        at, tie, amount = at[order], tie[order], amount[order]
+        now = state.getCurrentWatermarkMs()
+        due = int(np.searchsorted(at, now * 1000))
+        frame = None
+        if due:
+            last = int(at[due - 1]) // 1000
+            # an idle gap among the rows that are due starts the key anew
+            gaps = np.flatnonzero(np.diff(np.r_[at[:1] if carry is None else [state.get[4] * 1000], at[:due]]) > idle_ms * 1000)
+            for lo, hi in zip([0, *gaps], [*gaps, due]):
+                if hi > lo:
+                    carry, columns = fold(None if lo in gaps else carry, tie[lo:hi], amount[lo:hi])
+                    part = pd.DataFrame({**{k: [v] * len(next(iter(columns.values()))) for k, v in zip(keys, key)}, **columns})
+                    frame = part if frame is None else pd.concat([frame, part])
+        if due == len(at) and now > last + idle_ms:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((at[due:].tolist(), tie[due:].tolist(), amount[due:].tolist(), carry, last))
+            wake = int(at[due]) // 1000 if due < len(at) else last + idle_ms
+            state.setTimeoutTimestamp(max(wake, now) + 1)
+        if frame is not None and len(frame):
+            yield frame[[*keys, *out]]
+
+    ddl = ", ".join(f"{k} {t}" for k, t in {**keys, **out}.items())
+    given = (rows.withWatermark("ts", watermark) if watermark else rows).select(*keys, "ts", F.unix_micros("ts").alias("at"), "tie", "amount")
+    return given.groupBy(*keys).applyInPandasWithState(
+        step, ddl, "at array<bigint>, tie array<bigint>, amount array<bigint>, carry array<bigint>, last bigint", "append",
+        GroupStateTimeout.EventTimeTimeout)
+
 
-    return samples.groupBy("conn").applyInPandasWithState(
-        step, "conn bigint, srtt bigint, mdev bigint, n bigint", "rtt bigint, mdev bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+# -- smoothing -------------------------------------------------------------------------------------------------------
+
+DAY_MS = 86_400_000
+
+
+def stream_rtt_ewma(samples: DataFrame, start: str = "zero", watermark: str = "1 minute", idle_ms: int = 365 * DAY_MS) -> DataFrame:
+    """`samples(conn bigint, ts, seq bigint, rtt bigint)` -> the estimate of a connection and its number of samples, whenever
+    the watermark has passed samples of it."""
+    def fold(carry, tie, amount):
+        rtt, mdev, n = carry or (0, 0, 0)
+        for x in amount.tolist():
+            rtt, mdev = smooth(rtt, mdev, x, start)
+        n += len(amount)
+        return [rtt, mdev, n], {"srtt": [rtt], "mdev": [mdev], "n": [n]}
 
+    rows = samples.select("conn", "ts", F.col("seq").alias("tie"), F.col("rtt").alias("amount"))
+    return in_event_order(rows, {"conn": "bigint"}, {"srtt": "bigint", "mdev": "bigint", "n": "bigint"}, fold, watermark, idle_ms)
 
-def stream_hop_queueing(delays: DataFrame) -> DataFrame:
+
+def stream_hop_queueing(delays: DataFrame, watermark: str = "1 minute", idle_ms: int = 365 * DAY_MS) -> DataFrame:
     """`delays(conn bigint, probe, t, hop, delay)` -> delay minus the hop's smallest delay before it."""
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        least = state.get[0] if state.exists else None
-        out = []
-        for probe, delay in _sorted(chunks, ["t", "probe"])[["probe", "delay"]].itertuples(index=False):
-            if least is not None:
-                out.append((key[0], key[1], probe, delay, delay - least))
-            least = delay if least is None else min(least, delay)
-        state.update((int(least),))
-        yield pd.DataFrame(out, columns=["conn", "hop", "probe", "delay", "queueing"])
+    def fold(carry, tie, amount):
+        least = np.minimum.accumulate(amount)
+        if carry:
+            least = np.minimum(least, carry[0])
+            before, at = np.r_[carry[0], least[:-1]], 0
+        else:
+            before, at = np.r_[0, least[:-1]], 1
+        return [int(least[-1])], {"probe": tie[at:].tolist(), "delay": amount[at:].tolist(), "queueing": (amount - before)[at:].tolist()}
 
-    return delays.groupBy("conn", "hop").applyInPandasWithState(
-        step, "conn bigint, hop int, probe bigint, delay bigint, queueing bigint", "least bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = delays.select("conn", "hop", F.col("t").alias("ts"), F.col("probe").alias("tie"), F.col("delay").alias("amount"))
+    return in_event_order(rows, {"conn": "bigint", "hop": "int"}, {"probe": "bigint", "delay": "bigint", "queueing": "bigint"}, fold,
+                          watermark, idle_ms)
 
 
 def stream_hop_delays(stamps: DataFrame) -> DataFrame:
@@ -102,27 +156,32 @@ def match_echo(sent: DataFrame, echoes: DataFrame) -> DataFrame:
     return d.select("conn", "value", "sent_ts", "ts", (F.unix_micros("ts") - F.unix_micros("sent_ts")).alias("rtt"))
 
 
-def stream_match_echo(events: DataFrame) -> DataFrame:
-    """`events(conn bigint, kind sent|echo, value bigint, ts timestamp)` in one stream; open sends are kept per
-    connection until a newer value is matched."""
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest, values, times = state.get if state.exists else (None, [], [])
-        waiting = dict(zip(values, times))
-        pdf = _sorted([c.assign(order=(c["kind"] == "echo").astype(int)) for c in chunks], ["ts", "order", "value"])
-        out = []
-        for kind, value, ts in pdf[["kind", "value", "ts"]].itertuples(index=False):
-            micros = int(ts.value // 1000)
-            if kind == "sent":
-                waiting.setdefault(int(value), micros)
-            elif value in waiting and (newest is None or value > newest):
-                newest = int(value)
-                out.append((key[0], newest, micros - waiting[newest]))
-                waiting = {v: t for v, t in waiting.items() if v > newest}
-        state.update((newest, list(waiting), list(waiting.values())))
-        yield pd.DataFrame(out, columns=["conn", "value", "rtt"])
-
-    return events.groupBy("conn").applyInPandasWithState(
-        step, "conn bigint, value bigint, rtt bigint", "newest bigint, vals array<bigint>, times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+def _seconds(micros: int):
+    return F.expr(f"INTERVAL '{micros // 1_000_000}.{micros % 1_000_000:06d}' SECOND")
+
+
+def stream_match_echo(sent: DataFrame, echoes: DataFrame, within_us: int, watermark: str = "1 minute", idle_ms: int = 365 * DAY_MS) -> DataFrame:
+    """`sent(conn bigint, value bigint, ts)`, `echoes(conn bigint, value bigint, ts)` -> (conn, value, rtt) as ``match_echo``.
+
+    An echo meets its send in an interval join: sends wait ``within_us`` of event time for their echo. Of repeated sends
+    or echoes of a value the first that arrives counts, for as long as the watermark reaches back. Matched values then
+    pass the connection's newest one in the order of their echoes.
+    """
+    k = ["conn", "value"]
+    s = sent.select(F.col("conn").alias("_conn"), F.col("value").alias("_value"), F.col("ts").alias("sent_ts")).withWatermark(
+        "sent_ts", watermark).dropDuplicatesWithinWatermark(["_conn", "_value"])
+    e = echoes.select(*k, "ts").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(k)
+    met = e.join(s, (F.col("conn") == F.col("_conn")) & (F.col("value") == F.col("_value")) & (F.col("ts") >= F.col("sent_ts"))
+                 & (F.col("ts") <= F.col("sent_ts") + _seconds(within_us)))
+
+    def fold(carry, tie, amount):
+        newest = np.maximum.accumulate(np.r_[carry or [np.iinfo(np.int64).min], tie])
+        new = tie > newest[:-1]
+        return [int(newest[-1])], {"value": tie[new].tolist(), "rtt": amount[new].tolist()}
+
+    rtt = F.unix_micros("ts") - F.unix_micros("sent_ts")
+    rows = met.select("conn", "ts", F.col("value").alias("tie"), rtt.alias("amount"))
+    return in_event_order(rows, {"conn": "bigint"}, {"value": "bigint", "rtt": "bigint"}, fold, None, idle_ms)
 
 
 # -- probes and responses --------------------------------------------------------------------------------------------
@@ -151,49 +210,30 @@ def probe_timeouts(probes: DataFrame, responses: DataFrame, timeout_us: int) ->
 
 
 def stream_classify_responses(events: DataFrame, timeout_us: int, watermark: str = "1 minute", keep_us: int = 600_000_000) -> DataFrame:
-    """`events(conn bigint, probe bigint, kind probe|response, id bigint, ts timestamp)` -> a status per response, and a
-    TIMEOUT row for a probe whose time ran out by event time.
+    """`events(conn bigint, probe bigint, kind probe|response, id bigint, ts timestamp)` -> a status per response (conn, probe,
+    resp_id, status) as ``classify_responses``, and a TIMEOUT row for a probe whose time ran out.
 
-    A probe stays known for ``keep_us`` after its timeout, so that late answers are OLD and further ones DUPLICATE; an
-    answer after that is UNSENT. A key with answers only keeps no state. Rows behind the watermark are dropped by Spark,
-    so the watermark has to cover the disorder of the input.
+    Probes and responses meet in outer interval joins: a probe waits for ``timeout_us`` and ``keep_us`` after it, so that late
+    answers are OLD; an answer without a probe in that time before it is UNSENT. The answers to one probe are gathered in a
+    second state and leave it, in their order of time, when no further one can come: at the end of the probe's wait. Of
+    repeated probes the first that arrives counts, for as long as the watermark reaches back. Nothing here runs in Python.
     """
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sent, answered, expired = state.get if state.exists else (None, False, False)
-        out = []
-        if state.hasTimedOut:
-            due = sent + timeout_us
-            if not answered and not expired:
-                out.append((key[0], key[1], None, "TIMEOUT"))
-            if state.getCurrentWatermarkMs() > (due + keep_us) // 1000:
-                state.remove()
-            else:
-                state.update((sent, answered, True))
-                state.setTimeoutTimestamp(max((due + keep_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        else:
-            pdf = _sorted([c.assign(order=(c["kind"] == "response").astype(int)) for c in chunks], ["ts", "order", "id"])
-            for kind, rid, ts in pdf[["kind", "id", "ts"]].itertuples(index=False):
-                micros = int(ts.value // 1000)
-                if kind == "probe":
-                    sent = micros if sent is None else sent
-                elif sent is None:
-                    out.append((key[0], key[1], rid, "UNSENT"))
-                else:
-                    out.append((key[0], key[1], rid, "DUPLICATE" if answered else "OLD" if micros - sent > timeout_us else "RECV"))
-                    if not answered and not expired and micros - sent > timeout_us:
-                        expired = True
-                        out.append((key[0], key[1], None, "TIMEOUT"))
-                    answered = True
-            if sent is not None:
-                state.update((sent, answered, expired))
-                wait = timeout_us + (keep_us if expired else 0)
-                state.setTimeoutTimestamp(max((sent + wait) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        d = pd.DataFrame(out, columns=["conn", "probe", "resp_id", "status"])
-        yield d.astype({"resp_id": "Int64"})
-
-    return events.withWatermark("ts", watermark).groupBy("conn", "probe").applyInPandasWithState(
-        step, "conn bigint, probe bigint, resp_id bigint, status string", "sent bigint, answered boolean, expired boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    p = events.where("kind = 'probe'").select(
+        F.col("conn").alias("_conn"), F.col("probe").alias("_probe"), F.col("ts").alias("sent_ts")).withWatermark("sent_ts", watermark)
+    r = events.where("kind = 'response'").select("conn", "probe", F.col("id").alias("resp_id"), "ts").withWatermark("ts", watermark)
+    meets = ((F.col("conn") == F.col("_conn")) & (F.col("probe") == F.col("_probe")) & (F.col("ts") >= F.col("sent_ts"))
+             & (F.col("ts") <= F.col("sent_ts") + _seconds(timeout_us + keep_us)))
+    unsent = r.join(p, meets, "leftOuter").where("sent_ts IS NULL").select("conn", "probe", "resp_id", F.lit("UNSENT").alias("status"))
+    answer = F.when(F.col("ts").isNotNull(), F.struct("ts", "resp_id"))
+    known = p.dropDuplicatesWithinWatermark(["_conn", "_probe"]).join(r, meets, "leftOuter").groupBy(F.col("_conn").alias("conn"), F.col("_probe").alias("probe"), "sent_ts").agg(
+        F.array_sort(F.collect_list(answer)).alias("answers"))
+    late = lambda a: F.unix_micros(a["ts"]) - F.unix_micros("sent_ts") > timeout_us
+    status = lambda a, i: F.struct(a["resp_id"].alias("resp_id"), F.when(i > 0, "DUPLICATE").when(late(a), "OLD").otherwise("RECV").alias("status"))
+    expired = (F.size("answers") == 0) | late(F.get("answers", F.lit(0)))
+    none = F.array().cast("array<struct<resp_id:bigint,status:string>>")
+    rows = F.concat(F.transform("answers", status), F.when(expired, F.array(F.struct(
+        F.lit(None).cast("bigint").alias("resp_id"), F.lit("TIMEOUT").alias("status")))).otherwise(none))
+    return known.select("conn", "probe", F.inline(rows)).unionByName(unsent)
 
 
 # -- sessions and peers ----------------------------------------------------------------------------------------------
@@ -224,6 +264,23 @@ def peer_registry(seen: DataFrame, now, stale: str = "60 minutes") -> DataFrame:
         F.col("last_seen") > now - F.expr(f"INTERVAL {stale}"))
 
 
+def peer_stays(seen: DataFrame, stale_us: int) -> DataFrame:
+    """Stays of peers over a finished table: ip, port and last_seen of the last sight before each gap of ``stale_us``."""
+    runs = S.in_runs(seen.select("ip", "port", "ts"), ["ip"], ["ts", "port"])
+    d = S.lag_over(runs, ["ip"], ["ts", "port"], {"ts": "before"})
+    opens = F.col("before").isNull() | (F.unix_micros("ts") - F.unix_micros("before") >= stale_us)
+    d = S.running_sum(d.withColumn("opens", opens.cast("bigint")), ["ip"], ["ts", "port"], "opens", "stay")
+    g = d.groupBy("ip", "stay").agg(F.max(F.struct("ts", "port")).alias("m"))
+    return g.select("ip", F.col("m.port").alias("port"), F.col("m.ts").alias("last_seen"))
+
+
+def stream_peer_expiry(seen: DataFrame, stale: str = "60 minutes", watermark: str = "1 minute") -> DataFrame:
+    """The same over a stream: a peer's row (ip, port, last_seen) comes out when the watermark passes ``stale`` after its last
+    sight, and its state leaves with it."""
+    g = seen.withWatermark("ts", watermark).groupBy("ip", F.session_window("ts", stale).alias("w"))
+    return g.agg(F.max(F.struct("ts", "port")).alias("m")).select("ip", F.col("m.port").alias("port"), F.col("m.ts").alias("last_seen"))
+
+
 def stream_peer_registry(seen: DataFrame, stale_ms: int = 3_600_000, watermark: str = "1 minute") -> DataFrame:
     """Upserts (ip, port, last_seen, alive) of peers a micro-batch touched; a peer not seen for ``stale_ms`` of event
     time gets a row with alive false and leaves the state."""
