@@ -79,17 +79,42 @@ def best_model(costs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return g.select(*(by or []), "b.model", "b.l10", "b.l7", "b.l5")
 
 
+def lower_front(candidates: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
+    """The candidates (test, golden, a count n_... per rule; all rows distinct) that may be cheapest for some weights.
+
+    The two upper levels are compared first and their counts do not depend on the swept weights, so only the least pair of
+    a test and label stays. Of those, a candidate goes if one of a few others, each cheapest at a corner of the weights'
+    box, costs no more anywhere in the box: the largest difference over the box is a sum of one term per rule.
+    """
+    by = ["test", "golden"]
+    least = candidates.groupBy(*by).agg(F.min(F.struct("n_alias_link", "n_type_c")).alias("_m"))
+    c = candidates.join(least, by).where("n_alias_link = _m.n_alias_link AND n_type_c = _m.n_type_c").drop("_m")
+    box = {r: ranges.get(r, (1, 1)) for r in SWEPT}
+    low, high = {r: lo for r, (lo, _) in box.items()}, {r: hi for r, (_, hi) in box.items()}
+    corners = [low, high] + [{**low, r: hi} for r, (lo, hi) in box.items() if hi > lo] + [{**high, r: lo} for r, (lo, hi) in box.items() if hi > lo]
+    counts = [F.col(f"n_{r}") for r in SWEPT]
+    cost = lambda w: reduce(lambda x, y: x + y, [n * w[r] for n, r in zip(counts, SWEPT)])
+    best = c.groupBy(*by).agg(*[F.min(F.struct(cost(w).alias("cost"), *counts))[f"n_{r}"].alias(f"_{k}_{r}") for k, w in enumerate(corners) for r in SWEPT])
+    dominated = F.lit(False)
+    for k in range(len(corners)):
+        more = [F.col(f"_{k}_{r}") - F.col(f"n_{r}") for r in SWEPT]
+        worst = reduce(lambda x, y: x + y, [F.greatest(d * box[r][0], d * box[r][1]) for d, r in zip(more, SWEPT)])
+        dominated = dominated | ((worst <= 0) & ~reduce(lambda x, y: x & y, [d == 0 for d in more]))
+    return c.join(best, by).where(~dominated).select(*candidates.columns)
+
+
 def weight_sweep(found: DataFrame, candidates: DataFrame, ranges: dict[str, tuple[int, int]]) -> DataFrame:
     """For every combination of the swept weights: do all tests choose their golden model?
 
     `candidates(test, model, golden)` with `found` violations of the models. Counts per rule are brought into one row
-    per candidate first, so a combination costs arithmetic only. A tie with a model that is not golden fails.
+    per candidate first, and of these only the ``lower_front`` meets the combinations: it depends on how the counts trade
+    off and hardly on the number of models. A tie with a model that is not golden fails. Weights are not negative.
     """
     rules = ["alias_link", "type_c", *SWEPT]
     cnt = found.groupBy("model").agg(*[F.sum(F.when(F.col("rule") == r, F.col("n")).otherwise(0)).alias(f"n_{r}") for r in rules])
     c = candidates.join(cnt, "model", "left").na.fill(0)
     # candidates of a test with equal counts and label are alike
-    c = c.groupBy("test", "golden", *[f"n_{r}" for r in rules]).agg(F.count(F.lit(1)).alias("models"))
+    c = lower_front(c.select("test", "golden", *[f"n_{r}" for r in rules]).distinct(), ranges)
     for r in SWEPT:
         lo, hi = ranges.get(r, (1, 1))
         c = c.withColumn(f"w_{r}", F.explode(F.sequence(F.lit(lo), F.lit(hi))))

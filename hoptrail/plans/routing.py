@@ -30,12 +30,13 @@ def _(spark, sf):
     return R.ip_to_asn(_ips(spark, sf), _prefixes(spark, sf))
 
 
-_BL = "WITH " + _PFX + ", bits AS (SELECT ip, CAST(bit_or([7, 1, 2, 4][1 + CAST(asn AS INTEGER) % 4]) AS INTEGER) AS bits FROM pip JOIN pf ON ip >> (32 - len) = net >> (32 - len) WHERE len > 27 GROUP BY ip)"
+_BL = "WITH " + _PFX + ", bits AS (SELECT ip, CAST(bit_or(CASE WHEN len > 26 THEN [7, 1, 2, 4][1 + CAST(asn AS INTEGER) % 4] ELSE 1 END) AS INTEGER) AS bits FROM pip JOIN pf ON ip >> (32 - len) = net >> (32 - len) GROUP BY ip)"
 
 
 def _black(spark, sf):
-    bits = F.element_at(F.array(*[F.lit(b) for b in (7, 1, 2, 4)]), F.col("asn").cast("int") % 4 + 1)
-    return _prefixes(spark, sf).where("len > 27").select("net", "len", bits.alias("bits"))
+    """Codes of all prefixes: wide ones have a bit that ``filter_blacklist`` does not ask for."""
+    bits = F.when(F.col("len") > 26, F.element_at(F.array(*[F.lit(b) for b in (7, 1, 2, 4)]), F.col("asn").cast("int") % 4 + 1)).otherwise(1)
+    return _prefixes(spark, sf).select("net", "len", bits.alias("bits"))
 
 
 @query("filter_codes", _BL + " SELECT * FROM bits")

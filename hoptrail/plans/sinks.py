@@ -28,6 +28,13 @@ def _fresh(spark, write):
     return spark.read.parquet(out)
 
 
+def _lines(spark, write):
+    """What a writer of text left, line by line."""
+    out = scratch(spark)
+    write(out)
+    return spark.read.text(out)
+
+
 @query("write_traces", "WITH " + SQL["rr"] + " SELECT 'd' || ttl % 3 AS dataset, count(*) AS n, CAST(sum(len(rr)) AS BIGINT) AS entries, CAST(sum(resp) AS BIGINT) AS s FROM rrp GROUP BY 1")
 def _(spark, sf):
     p = T.rr_probes(spark, sf).select("src", "dst", "ttl", "resp", "rr").withColumn("dataset", F.concat(L("d"), (F.col("ttl") % 3).cast("string")))
@@ -48,12 +55,12 @@ def _graph(spark, sf):
 @query("write_adjacency", _EN + f""" SELECT 'Router ' || router || ' nAlly=' || count(*) || ' ' || string_agg(CAST(ip AS VARCHAR), ' ' ORDER BY CAST(ip AS VARCHAR) DESC) AS value FROM observed GROUP BY router
   UNION ALL SELECT 'Link  ' || r1 || ':' || ip1 || ' -- ' || r2 || ':' || ip2 || ' : ' || {_NM} FROM bst""")
 def _(spark, sf):
-    return S.adjacency_lines(*_graph(spark, sf))
+    return _lines(spark, lambda out: S.write_adjacency(*_graph(spark, sf), out))
 
 
 @query("write_facts", "SELECT 'tr(' || l_orderkey || ',' || l_linenumber || ',' || l_suppkey || ').' AS value FROM lineitem")
 def _(spark, sf):
-    return S.fact_lines(T.table(spark, sf, "lineitem"), "tr", ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return _lines(spark, lambda out: S.write_facts(T.table(spark, sf, "lineitem"), "tr", ["l_orderkey", "l_linenumber", "l_suppkey"], out))
 
 
 @query("write_trace_facts", """WITH o AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS rr, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY o_orderkey) AS BIGINT) AS id FROM orders)
@@ -67,7 +74,9 @@ def _(spark, sf):
         L("10.0.0.1:35343-10.9."), s(F.col("o_custkey") % 250), L(".7:80 -\tSending train=0 type=DATA safettl=11 RR="), s(F.when(k % 2 == 0, 1).otherwise(0)), L(" rto=1")).alias("value"))
     rec = T.table(spark, sf, "lineitem").select(file, F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").cast("bigint").alias("b"), F.monotonically_increasing_id().alias("c")).alias("pos"), F.concat(
         L("- RECV TTL "), s(F.col("l_linenumber")), L(" it=0 from 10.1.1."), s(F.col("l_suppkey") % 250), L(" (255)\tROUTER\t rtt=0.1 s t=1.5 RR, hop 1 10.2.1."), s(n % 250), L(" , hop 2 10.2.2."), s(n % 250), L(" ,  Macro")).alias("value"))
-    return S.trace_facts(head.unionByName(rec)).withColumn("args", F.array_join("args", ","))
+    d = _lines(spark, lambda out: S.write_trace_facts(head.unionByName(rec), out))
+    part = lambda i: F.regexp_extract("value", r"^(\w+)\((\d+),(.*)\)\.$", i)
+    return d.select(part(1).alias("pred"), part(2).cast("bigint").alias("id"), part(3).alias("args"))
 
 
 @query("load_alias_tables", "SELECT verdict, count(*) AS n, count(DISTINCT ip1) AS ips FROM (" + Q._VERDICTS + ") WHERE verdict <> 'UNKNOWN' GROUP BY verdict")
@@ -84,27 +93,35 @@ def _(spark, sf):
     return _fresh(spark, twice).groupBy("vantage").agg(F.count(L(1)).alias("n"))
 
 
+def _drawing(spark, routers, links, **options):
+    """The drawing as written; a line's part follows from how it starts."""
+    v = F.col("value")
+    node = v.contains("[fillcolor=") | v.startswith("subgraph ")
+    part = F.when(v.contains("graph Internet {"), 0).when(v == "}", 3).when(node, 1).otherwise(2)
+    return _lines(spark, lambda out: S.export_dot(routers, links, out, **options)).select(part.alias("part"), "value")
+
+
 _CLR = "['blue', 'purple', 'black', 'orange', 'red'][link_type]"
 
 
 @query("export_dot", _EN + f""" SELECT 0 AS part, 'graph Internet {{ rankdir=LR' AS value UNION ALL SELECT 3, '}}' UNION ALL SELECT 2, '"' || r1 || '":"' || ip1 || '" -- "' || r2 || '":"' || ip2 || '" [color=' || {_CLR} || ']' FROM ends WHERE link_type <> 4
   UNION ALL SELECT 1, '"' || router || '" [fillcolor=white,label = "' || router || ' ' || string_agg(' | <' || ip || '> ' || ip, '' ORDER BY CAST(ip AS VARCHAR)) || '"]' FROM observed GROUP BY router""")
 def _(spark, sf):
-    return S.dot_lines(*_graph(spark, sf), skip_unknown=True)
+    return _drawing(spark, *_graph(spark, sf), skip_unknown=True)
 
 
 @query("export_dot_neato", _EN + f""", c AS (SELECT ip, sum(k) AS k FROM (SELECT ip1 AS ip, 1 AS k FROM ends UNION ALL SELECT ip2, -1 FROM ends) GROUP BY ip) SELECT 0 AS part, 'graph Internet {{ overlap=scale' AS value UNION ALL SELECT 3, '}}'
   UNION ALL SELECT 2, '"' || r1 || '":"' || ip1 || '" -- "' || r2 || '":"' || ip2 || '" [color=' || {_CLR} || ',dir=forward]' FROM ends
   UNION ALL SELECT 1, '"' || router || '" [fillcolor=white,label = "' || router || ' ' || string_agg(' | <' || o.ip || '> ' || o.ip, '' ORDER BY coalesce(k, 0), CAST(o.ip AS VARCHAR)) || '"]' FROM observed o LEFT JOIN c ON c.ip = o.ip GROUP BY router""")
 def _(spark, sf):
-    return S.dot_lines(*_graph(spark, sf), style="neato")
+    return _drawing(spark, *_graph(spark, sf), style="neato")
 
 
 @query("export_dot_cluster", _EN + f""", lb AS (SELECT s_suppkey + {ROUTER_BASE} AS ip, 'N' || s_nationkey AS label FROM supplier WHERE s_suppkey % 2 = 0) SELECT 0 AS part, 'digraph Internet {{' AS value UNION ALL SELECT 3, '}}' UNION ALL SELECT 2, '"' || ip1 || '" -> "' || ip2 || '" [color=' || {_CLR} || ',dir=forward];' FROM ends
   UNION ALL SELECT 1, 'subgraph "cluster' || router || '" {{ ' || string_agg('"' || o.ip || '";', ' ' ORDER BY CAST(o.ip AS VARCHAR)) || ' label="' || coalesce(string_agg(DISTINCT label, ',' ORDER BY label), router) || '"; }}' FROM observed o LEFT JOIN lb ON lb.ip = o.ip GROUP BY router""")
 def _(spark, sf):
     lb = T.table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select((F.col("s_suppkey") + ROUTER_BASE).alias("ip"), F.concat(L("N"), F.col("s_nationkey").cast("string")).alias("label"))
-    return S.dot_lines(*_graph(spark, sf), style="cluster", labels=lb)
+    return _drawing(spark, *_graph(spark, sf), style="cluster", labels=lb)
 
 
 from .union import _C as _UNION  # noqa: E402
