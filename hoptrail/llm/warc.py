@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import file_system, shared_folder, slices, written
 
 FILE_BYTES = 64 << 20
+RUN_BYTES = 16 << 20   # bytes of a package whose records one task reads
 READ_BYTES = 4 << 20
 LEAST_REVISIT = 100
 ARCHIVE, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
@@ -196,7 +197,8 @@ def parse_record(record: bytes) -> tuple:
 
 
 def locate_records(packages: DataFrame) -> DataFrame:
-    """One row per record of the packages: file, offset and length (in the package file)."""
+    """One row per record of the packages: file, offset and length (in the package file). Packages are dealt to as many tasks
+    as the session shuffles to, and so are their records, in runs of neighbours."""
     def locate(batches):
         for b in batches:
             for name in b.column(0).to_pylist():
@@ -214,7 +216,10 @@ def locate_records(packages: DataFrame) -> DataFrame:
                         [pa.array([name] * len(part)), pa.array([p[0] for p in part]), pa.array([p[1] for p in part])],
                         names=["file", "offset", "length"])
 
-    return packages.select("file").repartition("file").mapInArrow(locate, "file string, offset long, length long")
+    tasks = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = packages.select("file").repartition(tasks, "file").mapInArrow(locate, "file string, offset long, length long")
+    run = F.floor(F.col("offset") / RUN_BYTES)
+    return found.repartition(tasks, "file", run).sortWithinPartitions("file", "offset")
 
 
 def read_archives(spots: DataFrame) -> DataFrame:
