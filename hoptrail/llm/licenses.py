@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASE_GRAM, PASSAGE_GRAM = 2, 4
@@ -138,7 +140,7 @@ def scan(docs: DataFrame, phrases=None, passages=None, share: float = SHARE, doc
     row's id or repeated ones all get their own text's result; an empty table gives no rows. The words of one text stand in
     one array (some 40 bytes a word), which is the limit to a text's length.
     """
-    found = spans(votes(docs, phrases, passages, doc_id, text), share)
+    found = spans(written(votes(docs, phrases, passages, doc_id, text), "license-votes"), share)
     base = F.col("base")
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     hits = found.groupBy(F.col("doc_id").alias("_id"), F.col("name").alias("_name")).agg(
