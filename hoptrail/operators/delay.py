@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.probe import router_clock_ms
@@ -19,62 +19,107 @@ def smooth(rtt: int, mdev: int, x: int, start: str) -> tuple[int, int]:
     return rtt, mdev + ((abs(err) - mdev) >> 2)
 
 
-def _fold_runs(runs: DataFrame, order: list[str], start: str) -> DataFrame:
-    """Folds each (conn, run) from every state between `low` and `high` at once; (0, 0) where they are null.
+SEGMENT = 384   # samples in a row that bring any two 64-bit estimates to within a few units of each other
 
-    A step never changes the order of two estimates, so if the lowest and the highest start meet, all do; from there on
-    the same holds for the deviation, which lies in [0, high - low]. The end is null where they do not meet. A run is
-    one partition of the sort, so its array is bounded whatever the connection's length.
+
+def _move(r, x, start: str):
+    moved = r + F.shiftright(x - r, 3)
+    return F.when(r == 0, x).otherwise(moved) if start == "first" else moved
+
+
+def _turn(m, r, x):
+    return m + F.shiftright(F.abs(x - r) - m, 2)
+
+
+def _possible_rtt(low, high, start: str):
+    """Estimates a segment can end with from any start in [low, high]: a range, and those that restarted on their own.
+
+    A step keeps the order of two estimates, so the two ends of a range bound it. Only an estimate of 0 under `first`
+    leaves the order: it takes the sample, and is followed as a value of its own until it is back in the range.
     """
-    g = runs.groupBy("conn", "_run").agg(
-        F.array_sort(F.collect_list(F.struct(*order, "rtt"))).alias("v"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
-        F.first("m_lo").alias("m_lo"), F.first("m_hi").alias("m_hi"))
+    none = F.array().cast("array<bigint>")
 
     def step(acc, e):
-        x = e["rtt"]
-        move = lambda r: F.when(r == 0, x).otherwise(r + F.shiftright(x - r, 3)) if start == "first" else r + F.shiftright(x - r, 3)
-        turn = lambda m: F.when(acc["a"] == acc["b"], m + F.shiftright(F.abs(x - acc["a"]) - m, 2)).otherwise(m)
-        return F.struct(move(acc["a"]).alias("a"), move(acc["b"]).alias("b"), turn(acc["p"]).alias("p"), turn(acc["q"]).alias("q"))
+        x, p, q = e["rtt"], acc["p"], acc["q"]
+        moved = lambda r: r + F.shiftright(x - r, 3)
+        if start != "first":
+            return F.struct(moved(p).alias("p"), moved(q).alias("q"), acc["own"].alias("own"))
+        holds_zero, only_zero = (p <= 0) & (q >= 0), (p == 0) & (q == 0)
+        p2 = F.when(only_zero, x).otherwise(moved(F.when(p == 0, 1).otherwise(p)))
+        q2 = F.when(only_zero, x).otherwise(moved(F.when(q == 0, -1).otherwise(q)))
+        own = F.transform(acc["own"], lambda r: _move(r, x, start))
+        own = F.when(holds_zero & ~only_zero, F.array_append(own, x)).otherwise(own)
+        return F.struct(p2.alias("p"), q2.alias("q"), F.filter(F.array_distinct(own), lambda r: (r < p2) | (r > q2)).alias("own"))
+
+    s = F.aggregate("v", F.struct(low.alias("p"), high.alias("q"), none.alias("own")), step)
+    return F.transform(F.array(s), lambda a: F.concat(F.sequence(a["p"], a["q"]), a["own"]))[0]
 
-    init = F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("m_lo").alias("p"), F.col("m_hi").alias("q"))
-    met = lambda s: (s["a"] == s["b"]) & (s["p"] == s["q"])
-    d = g.select("conn", "_run", F.size("v").cast("bigint").alias("n"), F.aggregate("v", init, step).alias("s"))
-    return d.select("conn", "_run", "n", F.when(met(F.col("s")), F.col("s.a")).alias("end_rtt"), F.when(met(F.col("s")), F.col("s.p")).alias("end_mdev"))
 
+def _fold(r0, m0, start: str):
+    """State (a, p) after a segment that starts with the estimate r0 and the deviation m0."""
+    step = lambda acc, e: F.struct(_move(acc["a"], e["rtt"], start).alias("a"), _turn(acc["p"], acc["a"], e["rtt"]).alias("p"))
+    return F.aggregate("v", F.struct(r0.alias("a"), m0.alias("p")), step)
 
-def rtt_states(samples: DataFrame, order: list[str], start: str = "zero"):
-    """Sorted runs of `samples(conn, rtt, ...)` and the state each run ends with, exact for any length of a connection.
 
-    Runs that start a connection begin at (0, 0). For a run in the middle of a long connection the fold is tried from
-    all possible states at once; where they do not meet, it is repeated once the run before it is known.
+def _possible_mdev(r0, low, high, start: str):
+    """Deviations a segment can end with from any start in [low, high], its estimates being known."""
+    def step(acc, e):
+        x, a = e["rtt"], acc["a"]
+        return F.struct(_move(a, x, start).alias("a"), _turn(acc["p"], a, x).alias("p"), _turn(acc["q"], a, x).alias("q"))
+
+    s = F.aggregate("v", F.struct(r0.alias("a"), low.alias("p"), high.alias("q")), step)
+    return F.transform(F.array(s), lambda a: F.sequence(a["p"], a["q"]))[0]
+
+
+def _settled(steps: DataFrame) -> DataFrame:
+    """(conn, seg, at): the start each segment really has, of `steps(conn, seg, at, to)` from its possible ones.
+
+    A segment with one possible start is settled. The others follow by doubled jumps along `to`, so a chain of N open
+    segments takes log N rounds.
+    """
+    key = ["conn", "seg"]
+    sizes = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    known = cut_lineage(steps.join(sizes.where("n = 1"), key).select(*key, "at"))
+    left = cut_lineage(sizes.where("n > 1").select(*key))
+    jump = steps.select(*key, "at", (F.col("seg") + 1).alias("seg2"), F.col("to").alias("at2"))
+    while not left.isEmpty():
+        found = known.join(jump, [*key, "at"]).select("conn", F.col("seg2").alias("seg"), F.col("at2").alias("at")).join(left, key)
+        found = cut_lineage(found)
+        known, left = known.unionByName(found), cut_lineage(left.join(found.select(*key), key, "left_anti"))
+        onward = jump.select("conn", F.col("seg").alias("seg2"), F.col("at").alias("at2"), F.col("seg2").alias("seg4"), F.col("at2").alias("at4"))
+        jump = cut_lineage(jump.join(onward, ["conn", "seg2", "at2"]).select(*key, "at", F.col("seg4").alias("seg2"), F.col("at4").alias("at2")))
+    return known
+
+
+def rtt_states(samples: DataFrame, order: list[str], start: str = "zero", least: bool = False) -> DataFrame:
+    """(conn, seg, v, rtt0, mdev0): each connection's samples in order, cut after every SEGMENT of them, and the state
+    before each segment; exact for any length of a connection and any samples.
+
+    A segment's possible ends are few whatever its start, so it is folded from all of them at once. First the estimates
+    are settled along the segments, then the deviations, which need the estimates. ``least`` adds the smallest round
+    trip up to each sample.
     """
-    runs = S.in_runs(samples, ["conn"], order)
+    runs = S.numbered(S.in_runs(samples, ["conn"], order), ["conn"], "_pos")
+    if least:
+        runs = S.running_min(runs, ["conn"], ["_pos"], "rtt", "base")
+    item = F.struct("_pos", F.col("rtt").cast("bigint").alias("rtt"), *order, *(["base"] if least else []))
+    segs = cut_lineage(runs.groupBy("conn", F.floor(F.col("_pos") / SEGMENT).alias("seg")).agg(
+        F.array_sort(F.collect_list(item)).alias("v")))
     zero = F.lit(0).cast("bigint")
-    span = runs.groupBy("conn").agg(F.min("_run").alias("first_run"), F.min("rtt").alias("least"), F.greatest(F.max("rtt"), zero).alias("most"))
-    head = F.col("_run") == F.col("first_run")
-    if start == "first":
-        # a sample of 0 restarts the estimate, which breaks the order of starts: then no end is claimed here
-        low, high = F.when(F.col("least") > 0, F.col("least")), F.when(F.col("least") > 0, F.col("most"))
-    else:
-        low, high = F.least("least", zero), F.col("most")
-    r = runs.join(span, "conn").select(
-        "conn", "_run", "rtt", *order, F.when(head, zero).otherwise(low).alias("lo"), F.when(head, zero).otherwise(high).alias("hi"),
-        zero.alias("m_lo"), F.when(head, zero).otherwise(high - low).alias("m_hi"))
-    ends = cut_lineage(_fold_runs(r, order, start))
-    while not ends.where("end_rtt IS NULL").isEmpty():
-        ready = _with_start(ends).where("end_rtt IS NULL AND rtt0 IS NOT NULL").select(
-            "conn", "_run", F.col("rtt0").alias("lo"), F.col("rtt0").alias("hi"), F.col("mdev0").alias("m_lo"), F.col("mdev0").alias("m_hi"))
-        done = _fold_runs(runs.select("conn", "_run", "rtt", *order).join(ready, ["conn", "_run"]), order, start)
-        rest = ends.join(ready.select("conn", "_run"), ["conn", "_run"], "left_anti")
-        ends = cut_lineage(rest.unionByName(done))
-    return runs, ends
-
-
-def _with_start(ends: DataFrame) -> DataFrame:
-    w = W.partitionBy("conn").orderBy("_run")
-    first = F.row_number().over(w) == 1
-    return ends.select("*", F.when(first, 0).otherwise(F.lag("end_rtt").over(w)).alias("rtt0"),
-                       F.when(first, 0).otherwise(F.lag("end_mdev").over(w)).alias("mdev0"))
+    if segs.where("seg > 0").isEmpty():
+        return segs.select("*", zero.alias("rtt0"), zero.alias("mdev0"))
+    ends = segs.agg(F.min(F.array_min(F.col("v.rtt"))), F.max(F.array_max(F.col("v.rtt")))).first()
+    low, high = min(0, ends[0]), max(0, ends[1])
+    first, full = F.col("seg") == 0, F.size("v") == SEGMENT
+    bound = lambda x: F.when(first, 0).otherwise(F.lit(x)).cast("bigint")
+    heads = segs.where(first).select("conn", "seg", zero.alias("at"))
+    after = lambda d, possible: heads.unionByName(d.where(full).select("conn", (F.col("seg") + 1).alias("seg"), F.explode(possible).alias("at")))
+    at = after(segs, _possible_rtt(bound(low), bound(high), start))
+    steps = cut_lineage(segs.join(at, ["conn", "seg"]).select("conn", "seg", "at", _fold(F.col("at"), zero, start)["a"].alias("to")))
+    segs = cut_lineage(segs.join(_settled(steps).withColumnRenamed("at", "rtt0"), ["conn", "seg"]))
+    at = after(segs, _possible_mdev(F.col("rtt0"), zero, bound(high - low), start))
+    steps = cut_lineage(segs.join(at, ["conn", "seg"]).select("conn", "seg", "at", _fold(F.col("rtt0"), F.col("at"), start)["p"].alias("to")))
+    return segs.join(_settled(steps).withColumnRenamed("at", "mdev0"), ["conn", "seg"])
 
 
 def rtt_ewma(samples: DataFrame, order: list[str], start: str = "zero") -> DataFrame:
@@ -82,36 +127,45 @@ def rtt_ewma(samples: DataFrame, order: list[str], start: str = "zero") -> DataF
 
     ``start`` is `zero` (from 0) or `first` (the first sample is taken as it is).
     """
-    _, ends = rtt_states(samples.select("conn", "rtt", *order), order, start)
-    return ends.groupBy("conn").agg(
-        F.max_by("end_rtt", "_run").alias("srtt"), F.max_by("end_mdev", "_run").alias("mdev"), F.sum("n").alias("n"))
-
-
-def rtt_trace(samples: DataFrame, order: list[str], start: str = "first") -> DataFrame:
-    """Every sample with the smoothed values after it."""
-    runs, ends = rtt_states(samples.select("conn", "rtt", *order), order, start)
-    rows = runs.select("conn", "_run", "rtt", *order).join(_with_start(ends).select("conn", "_run", "rtt0", "mdev0"), ["conn", "_run"])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("conn", "rtt", *order).schema.fields)
-    order_cols = list(order)
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_cols)
-        a, m, out = int(pdf.iloc[0]["rtt0"]), int(pdf.iloc[0]["mdev0"]), []
-        for x in pdf["rtt"]:
-            a, m = smooth(a, m, int(x), start)
-            out.append((a, m))
-        pdf = pdf[["conn", "rtt", *order_cols]].copy()
-        pdf["srtt"], pdf["mdev"] = [o[0] for o in out], [o[1] for o in out]
-        return pdf
-
-    return rows.groupBy("conn", "_run").applyInPandas(emit, schema + ", srtt bigint, mdev bigint")
+    d = rtt_states(samples.select("conn", "rtt", *order), order, start)
+    d = d.select("conn", "seg", F.size("v").cast("bigint").alias("n"), _fold(F.col("rtt0"), F.col("mdev0"), start).alias("s"))
+    return d.groupBy("conn").agg(F.max_by("s.a", "seg").alias("srtt"), F.max_by("s.p", "seg").alias("mdev"), F.sum("n").alias("n"))
+
+
+def _walk(batches, start: str):
+    """Adds the states after every sample; all segments of a batch take their next sample together."""
+    for b in batches:
+        x = b.column("x")
+        at, value = x.offsets.to_numpy().astype(np.int64), x.values.to_numpy()
+        by_length = np.argsort(at[:-1] - at[1:], kind="stable")
+        place, length = at[:-1][by_length], np.diff(at)[by_length]
+        r, m = (b.column(c).to_numpy().astype(np.int64)[by_length] for c in ("rtt0", "mdev0"))
+        srtt, mdev = np.empty(len(value), np.int64), np.empty(len(value), np.int64)
+        for i in range(int(length.max(initial=0))):
+            n = int(np.searchsorted(-length, -i))      # segments with more than i samples
+            now, a = place[:n] + i, r[:n]
+            err = value[now] - a
+            m[:n] += (np.abs(err) - m[:n]) >> 2
+            r[:n] = np.where(a == 0, value[now], a + (err >> 3)) if start == "first" else a + (err >> 3)
+            srtt[now], mdev[now] = r[:n], m[:n]
+        lists = [pa.ListArray.from_arrays(x.offsets, pa.array(c)) for c in (srtt, mdev)]
+        yield pa.RecordBatch.from_arrays([b.column("conn"), b.column("v"), *lists], names=["conn", "v", "srtt", "mdev"])
+
+
+def rtt_trace(samples: DataFrame, order: list[str], start: str = "first", least: bool = False) -> DataFrame:
+    """Every sample with the smoothed values after it (``least``: and the smallest round trip so far, as `base`)."""
+    d = rtt_states(samples.select("conn", "rtt", *order), order, start, least)
+    d = d.select("conn", "v", F.col("v.rtt").alias("x"), "rtt0", "mdev0")
+    types = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in ("conn", "v"))
+    d = d.mapInArrow(lambda batches: _walk(batches, start), types + ", srtt array<bigint>, mdev array<bigint>")
+    d = d.select("conn", F.explode(F.arrays_zip("v", "srtt", "mdev")).alias("e"))
+    return d.select("conn", "e.v.rtt", *[f"e.v.{c}" for c in order], *(["e.v.base"] if least else []), "e.srtt", "e.mdev")
 
 
 def congestion_delay(samples: DataFrame, order: list[str]) -> DataFrame:
     """Smoothed round trip minus the smallest seen so far, per sample."""
-    t = S.in_runs(rtt_trace(samples, order, "first"), ["conn"], order)
-    b = S.running_min(t, ["conn"], order, "rtt", "base")
-    return b.select("conn", *order, "rtt", "srtt", "base", (F.col("srtt") - F.col("base")).alias("congestion"))
+    d = rtt_trace(samples, order, "first", least=True)
+    return d.select("conn", *order, "rtt", "srtt", "base", (F.col("srtt") - F.col("base")).alias("congestion"))
 
 
 def rtt_summary(probes: DataFrame, order: list[str]) -> DataFrame:

@@ -25,6 +25,15 @@ def _carried(runs: DataFrame, keys: list[str], summary, carry) -> DataFrame:
     return s.select(*keys, "_run", carry(F.col("_s"), w).alias("_carry")).where("_carry IS NOT NULL")
 
 
+def numbered(runs: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Adds a row's place along its series, from 0; only rows straight from `in_runs` have their places."""
+    d = runs.withColumn("_i", F.monotonically_increasing_id())
+    before = W.partitionBy(*keys).orderBy("_run").rowsBetween(W.unboundedPreceding, -1)
+    s = d.groupBy(*keys, "_run").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    s = s.select(*keys, "_run", (F.col("_first") - F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_zero"))
+    return d.join(s, [*keys, "_run"]).withColumn(out, F.col("_i") - F.col("_zero")).drop("_i", "_zero")
+
+
 def lag_over(runs: DataFrame, keys: list[str], order: list[str], cols: dict[str, str]) -> DataFrame:
     """Adds the previous row's values: ``cols`` maps column -> new name."""
     w = W.partitionBy(*keys, "_run").orderBy(*order)

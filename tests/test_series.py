@@ -55,14 +55,24 @@ def test_ewma_of_a_long_connection(spark, many_runs, start, low):
     assert {(r.conn, r.seq): (r.srtt, r.mdev) for r in D.rtt_trace(df, ["seq"], start).collect()} == trace
 
 
-def test_ewma_falls_back_where_starts_do_not_meet(spark, many_runs):
-    """Constant samples leave different starts apart for ever, so runs wait for the run before them."""
-    rows = [(0, i, 1000) for i in range(200)]
+@pytest.mark.parametrize("start", ["zero", "first"])
+def test_ewma_where_starts_stay_apart(spark, many_runs, monkeypatch, start):
+    """Constant samples leave different starts apart for ever, zeros bring estimates to a restart: short segments make
+    many possible starts, which are settled along the connection."""
+    monkeypatch.setattr(D, "SEGMENT", 16)
+    rnd = random.Random(5)
+    kinds = [lambda i: 1000, lambda i: rnd.choice([0, 0, 0, 5]), lambda i: 1000 if i % 90 < 45 else 995, lambda i: 0 if i % 70 < 62 else 800]
+    rows = [(k, i, one(i)) for k, one in enumerate(kinds) for i in range(300 if k else 600)] + [(7, 0, 9), (8, 0, 0)]
     df = spark.createDataFrame(rows, "conn bigint, seq bigint, rtt bigint").repartition(4)
-    r = m = 0
-    for _, _, x in rows:
-        r, m = D.smooth(r, m, x, "zero")
-    assert [(x.srtt, x.mdev, x.n) for x in D.rtt_ewma(df, ["seq"]).collect()] == [(r, m, 200)]
+    now, trace = {}, {}
+    for conn, seq, x in rows:
+        now[conn] = trace[(conn, seq)] = D.smooth(*now.get(conn, (0, 0)), x, start)
+    assert {(x.conn, x.seq): (x.srtt, x.mdev) for x in D.rtt_trace(df, ["seq"], start).collect()} == trace
+
+
+def test_ewma_of_nothing(spark):
+    df = spark.createDataFrame([], "conn bigint, seq bigint, rtt bigint")
+    assert D.rtt_ewma(df, ["seq"]).collect() == [] and D.congestion_delay(df, ["seq"]).collect() == []
 
 
 def test_rank_and_cdf(spark, many_runs):
