@@ -223,7 +223,7 @@ def _(spark, sf):
 
 @query("read_iplane_destinations", _BIN + f" SELECT 'f' || f AS file, rec, {sql_ip(f'k + {T.DEST_BASE}')} AS dest FROM r WHERE NOT (f % 10 = 9 AND back = 1)")
 def _(spark, sf):
-    return B.read_iplane_destinations(B.decode_hop_files(hop_files(spark, sf)))
+    return B.decode_destinations(hop_files(spark, sf))
 
 
 @query("read_ipid_samples", f"SELECT {sql_ip(f'user_id + {ROUTER_BASE}')} AS ip, {sql_ip(f'user_id + {ROUTER_BASE}')} AS resp, CAST(event_id + 0.5 AS DOUBLE) AS t, CAST(event_id % 65536 AS INTEGER) AS id, 'Tcp' AS kind FROM events WHERE event_type <> 'error'")

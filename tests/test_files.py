@@ -1,6 +1,7 @@
 """Readers and writers over real files, and streams that follow them."""
 
 import os
+import random
 import struct
 
 import pytest
@@ -84,6 +85,54 @@ def test_binary_hop_lists(spark, tmp_path):
     assert [os.path.basename(r.file) for r in d if r.corrupt] == ["bad"]
 
 
+def _hop_file(n_blocks, rnd):
+    """Blocks of records, and the rows they hold."""
+    data, rows, rec = b"", [], 0
+    for _ in range(n_blocks):
+        records = [[(rnd.randrange(2 ** 32), rnd.randrange(64) / 4, rnd.randrange(256)) for _ in range(rnd.randrange(6))] for _ in range(rnd.randrange(7))]
+        data += struct.pack("<4I", 7, 9, len(records), 0)
+        for hops in records:
+            dest = rnd.randrange(2 ** 32)
+            data += struct.pack(">I", dest) + struct.pack("<I", len(hops))
+            data += b"".join(struct.pack(">I", a) + struct.pack("<fI", r, t) for a, r, t in hops)
+            rows += [(rec, dest, len(hops), i, *h) for i, h in enumerate(hops)] or [(rec, dest, 0, -1, None, None, None)]
+            rec += 1
+    return data, rows
+
+
+@pytest.mark.parametrize("window", [96, 1000, 4 << 20])
+def test_walk_of_hop_lists_in_windows(window):
+    """Every window size gives the same rows; a cut anywhere keeps the whole records before it."""
+    rnd = random.Random(window)
+    data, rows = _hop_file(40, rnd)
+    value = lambda b: [tuple(-1 if k == "idx" and v is None else v for k, v in r.items() if k not in ("file", "corrupt"))
+                       for r in b.to_pylist() if not r["corrupt"]]
+    read = lambda d: [w for w in B._windows(lambda at, n: d[at:at + n], len(d), window)]
+    order = lambda t: (t[0], t[3])
+    found = read(data)
+    assert not any(w.corrupt for w in found) and (len(found) > 1) == (window < len(data))
+    assert sorted((r for w in found for r in value(B._columns("f", w))), key=order) == rows
+    for cut in rnd.sample(range(1, len(data)), 60):
+        part = read(data[:cut])
+        got = sorted((r for w in part for r in value(B._columns("f", w))), key=order)
+        assert got == rows[:len(got)] and len({r[0] for r in got}) == sum(len(w.heads) for w in part)
+    assert read(b"") == [] and read(b"abc")[0].corrupt
+
+
+def test_large_hop_file_is_read_by_several_tasks(spark, tmp_path):
+    data, rows = _hop_file(600, random.Random(3))
+    (tmp_path / "large").write_bytes(data)
+    (tmp_path / "cut").write_bytes(data[:-2])
+    d = B.read_iplane_binary(spark, str(tmp_path), 8192)
+    assert d.where("file LIKE '%large'").select(F.spark_partition_id()).distinct().count() > 2
+    get = lambda name: d.where(F.col("file").endswith(name) & ~F.col("corrupt"))
+    seen = sorted(((r.rec, r.dest, r.n_hops, -1 if r.idx is None else r.idx, r.ip, r.rtt, r.ttl) for r in get("large").collect()), key=lambda t: (t[0], t[3]))
+    assert seen == rows
+    assert [os.path.basename(r.file) for r in d.where("corrupt").collect()] == ["cut"]
+    names = B.read_iplane_destinations(spark, str(tmp_path)).where("file LIKE '%large'")
+    assert names.count() == rows[-1][0] + 1
+
+
 def test_interfaces_xml(spark, tmp_path):
     one = lambda n, st, ip: f"<physical-interface><name>{n}</name><oper-status>{st}</oper-status><logical-interface><name>{n}.0</name><address-family><interface-address><ifa-destination>10.1.2/30</ifa-destination><ifa-local>{ip}</ifa-local></interface-address></address-family></logical-interface></physical-interface>"
     f = tmp_path / "x.xml"
