@@ -4,7 +4,7 @@ import importlib
 
 MODULES = [
     "scalars", "hops", "repair", "infer", "graph", "diff", "union", "velocity", "delay", "validate", "routing", "sources",
-    "sinks", "stream",
+    "sinks", "stream", "chains",
 ]
 
 
