@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probe as pf
 from ..session import cut_lineage
 from . import graph as G
+from . import hops as H
+from . import repair as R
 from . import union as U
 
 
@@ -51,3 +55,39 @@ def merge_and_settle(facts: DataFrame, min_quality: int = pf.STR) -> tuple[DataF
         F.min(F.col("a3").cast("int")).alias("link_type"),
         F.count_distinct(F.least("a1", "a2"), F.greatest("a1", "a2")).alias("n_links"), F.count_distinct("model").alias("n_models"))
     return votes, routers, merged
+
+
+class Repaired(NamedTuple):
+    probes: DataFrame
+    tags: DataFrame
+    pairs: DataFrame
+    full: DataFrame
+    gaps: DataFrame
+
+
+def repair_chain(rr: DataFrame, tr: DataFrame) -> Repaired:
+    """Record-route and plain probes of traces -> what a solver is told about them.
+
+    Repairs run in the order spoof, flaky, lazy, each on what the one before left. Pairs of consecutive probes, pairs
+    with full lists and gaps come from the repaired probes; in traces behind a layer-2 switch or with a lazy router a
+    pair has to occur among the plain probes too. ``tags`` is (ip, tags) of all passes.
+    """
+    probes, china = R.fix_dst_spoof(rr, tr)
+    probes, flaky = R.flaky_routers(cut_lineage(probes))
+    probes, lazy, fixed, moved = R.lazy_routers(probes, tr)
+    probes = cut_lineage(probes)
+    switch = R.layer2_switch(probes)
+    pairs = R.paranoid_pairs(R.rr_probe_pairs(probes, tr), tr, 1, switch.select("src", "dst").unionByName(moved))
+    layer2 = switch.select(F.explode(F.array("edge", "ip")).alias("ip")).withColumn("tag", F.lit("layer2"))
+    tags = R.ip_tags(R.end_tags(tr), china, flaky, lazy, layer2, H.tr_self_links(tr))
+    return Repaired(probes, tags, pairs, R.rr_full_pairs(probes, tr), R.gap_links(probes, tr, fixed))
+
+
+def trace_facts(chain: Repaired) -> DataFrame:
+    """(pred, src, dst, ttl, resp1, resp2, length, delta, n): the pairs and gaps of a chain as one table of facts."""
+    key, none = ["src", "dst", "ttl", "resp1", "resp2"], F.lit(None).cast("int")
+    row = lambda d, pred, length, delta, n: d.select(
+        F.lit(pred).alias("pred"), *key, length.cast("int").alias("length"), delta.cast("int").alias("delta"), n.cast("int").alias("n"))
+    c = F.col
+    return row(chain.pairs, "probePair", none, c("delta"), c("n")).unionByName(
+        row(chain.full, "trPair", none, none, none)).unionByName(row(chain.gaps, "gap", c("length"), c("delta"), c("n")))

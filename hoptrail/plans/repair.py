@@ -56,7 +56,7 @@ def _(spark, sf):
     AND (src, dst, ttl, resp, rr) NOT IN (SELECT (src, dst, ttl, resp1, rr1) FROM pairs WHERE NOT full_)),
   c AS (SELECT o.src, o.dst, o.ttl, o.resp AS resp1, o.rr, b.ttl AS ttl2, b.resp AS resp2, b.rr AS rr2,
      row_number() OVER (PARTITION BY o.src, o.dst, o.ttl, o.resp, o.rr ORDER BY b.ttl, b.resp, b.rr) AS i
-   FROM o JOIN u b ON o.src = b.src AND o.dst = b.dst AND b.ttl BETWEEN o.ttl + 2 AND 30
+   FROM o JOIN u b ON o.src = b.src AND o.dst = b.dst AND b.ttl >= o.ttl + 2
    WHERE CASE WHEN len(o.rr) = 0 OR len(b.rr) = 0 THEN true
      WHEN o.rr[-1] = o.resp THEN (least(len(o.rr), len(b.rr)) = 1 OR o.rr[1:least(len(o.rr), len(b.rr)) - 1] = b.rr[1:least(len(o.rr), len(b.rr)) - 1])
      ELSE o.rr[1:least(len(o.rr), len(b.rr))] = b.rr[1:least(len(o.rr), len(b.rr))] END)
@@ -119,7 +119,21 @@ def _(spark, sf):
     return R.flaky_routers(_flaky_input(spark, sf))[1]
 
 
-@query("lazy_routers")
+def lazy_rounds(probes: str) -> str:
+    """Recursion over the rounds of `lazy_routers`: a trace's probes and plain hops as lists, `f` its first lazy probe."""
+    return """st0 AS (SELECT src, dst, list(DISTINCT {'ttl': ttl, 'resp': resp, 'rr': rr}) AS s FROM %s GROUP BY src, dst),
+  plain AS (SELECT src, dst, list(DISTINCT {'ttl': ttl, 'resp': resp}) AS p FROM trp GROUP BY src, dst),
+  st AS (SELECT 0 AS i, src, dst, p, s FROM st0 LEFT JOIN plain USING (src, dst) UNION ALL
+    SELECT i + 1, src, dst, p, list_distinct([CASE WHEN list_contains(x.rr, f.rr[-1]) THEN {'ttl': x.ttl + 1, 'resp': x.resp, 'rr': x.rr} ELSE x END FOR x IN s]) FROM (%s) WHERE f IS NOT NULL),
+  fnd AS (SELECT * FROM (%s))""" % (probes, _FIRST_LAZY, _FIRST_LAZY)
+
+
+_FIRST_LAZY = """SELECT *, list_sort([x FOR x IN s IF len(x.rr) > 0 AND list_contains(p, {'ttl': x.ttl + 1, 'resp': x.resp}) AND NOT list_contains(p, {'ttl': x.ttl, 'resp': x.resp})
+    AND NOT list_contains(k, {'ttl': x.ttl + 1, 'resp': x.resp})])[1] AS f FROM (SELECT *, [{'ttl': y.ttl, 'resp': y.resp} FOR y IN s] AS k FROM st)"""
+_MOVED = "lz AS (SELECT src, dst, x.ttl AS ttl, x.resp AS resp, x.rr AS rr FROM fnd, unnest(s) u(x) WHERE f IS NULL)"
+
+
+@query("lazy_routers", RR + ", " + lazy_rounds("rrp") + ", " + _MOVED + " SELECT src, dst, ttl, resp, array_to_string(rr, ' ') AS rr FROM lz")
 def _(spark, sf):
     return R.lazy_routers(*_data(spark, sf))[0].select("src", "dst", "ttl", "resp", _t("rr"))
 

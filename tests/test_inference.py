@@ -25,7 +25,7 @@ def test_lazy_probes_move(spark, sf):
     moved = 0
     for key, probes in traces.items():
         p = plain[key]
-        for _ in range(30):
+        while True:
             lazy = sorted(x for x in probes if x[2] and (x[0] + 1, x[1]) in p and (x[0], x[1]) not in p
                           and not any(y[0] == x[0] + 1 and y[1] == x[1] for y in probes))
             if not lazy:
