@@ -7,6 +7,9 @@ Rows are sorted by (keys, order) with a range-partitioned sort, which splits a l
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -90,3 +93,44 @@ def next_known(runs: DataFrame, keys: list[str], order: list[str], col: str, out
     )
     d = runs.withColumn("_in", F.first(col, ignorenulls=True).over(w)).join(carried, [*keys, "_run"], "left")
     return d.withColumn(out, F.coalesce("_in", F.col("_carry")["v"])).drop("_in", "_carry")
+
+
+def _fill(batches, col: str, out: str):
+    """Fills `col` forward along rows of one (file, split) as they come from the scan; null before its first value."""
+    held, before, last = None, (None, None), -1
+    for b in batches:
+        if not b.num_rows:
+            continue
+        file, split, row, value = (b.column(c) for c in ("file", "_split", "_row", col))
+        same = np.r_[(file[0].as_py(), split[0].as_py()) == before,
+                     pc.and_(pc.equal(file[1:], file[:-1]), pc.equal(split[1:], split[:-1])).to_numpy(zero_copy_only=False)].astype(bool)
+        place = row.to_numpy()
+        if (np.diff(place, prepend=last) < 0)[same].any():
+            raise ValueError("lines have to come straight from the scan, in their order")
+        at = np.arange(len(place))
+        newest = np.maximum.accumulate(np.where(value.is_valid().to_numpy(zero_copy_only=False), at, -1))
+        began = np.maximum.accumulate(np.where(same, -1, at))      # -1: the row still belongs to the batch before
+        take = np.where(newest >= np.maximum(began, 0), newest, np.where(began < 0, len(at), -1))
+        pool = pa.concat_arrays([value, pa.array([held], value.type)])
+        filled = pool.take(pa.array(take, mask=take < 0))
+        held, before, last = filled[-1].as_py(), (file[-1].as_py(), split[-1].as_py()), int(place[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, filled], names=[*b.schema.names, out])
+
+
+def last_known_of_lines(df: DataFrame, col: str, out: str, split, row) -> DataFrame:
+    """`last_known` along `file` for lines straight from a file scan: no sort, no checkpoint.
+
+    ``split`` is the offset of a line's split in its file and ``row`` grows along the split, in the order in which the
+    rows come. Each split is filled as it streams by; only lines before the first value of their split take it from the
+    splits before, of which one row each is kept. The scan is read again for these lines and for that summary.
+    """
+    d = df.withColumn("_split", split.cast("bigint")).withColumn("_row", row.cast("bigint"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema.fields)
+    filled = d.mapInArrow(lambda batches: _fill(batches, col, out), f"{ddl}, `{out}` {d.schema[col].dataType.simpleString()}")
+    known = F.col(col).isNotNull()
+    tails = d.groupBy("file", "_split").agg(F.max_by(F.when(known, F.col(col)), F.when(known, F.col("_row"))).alias("_tail"))
+    before = W.partitionBy("file").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
+    carry = tails.select("file", "_split", F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    late = filled.where(F.col(out).isNull()).join(carry, ["file", "_split"]).withColumn(out, F.col("_carry"))
+    cols = [*df.columns, out]
+    return filled.where(F.col(out).isNotNull()).select(cols).unionByName(late.select(cols))

@@ -133,6 +133,54 @@ def test_large_hop_file_is_read_by_several_tasks(spark, tmp_path):
     assert names.count() == rows[-1][0] + 1
 
 
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_headings_hold_over_splits(spark, tmp_path, small_splits):
+    """Files of many splits; some splits have no heading at all."""
+    rnd, want = random.Random(4), set()
+    for name in ("a", "b"):
+        rows = ["0: 9.9.9.9 1.0 1"]                                    # no heading yet
+        for k in range(12):
+            dest, n = f"10.0.{k}.1", rnd.choice([0, 1, 3, 150])
+            rows.append(f"destination: {dest} hops: {n}")
+            for i in range(n):
+                rows.append(f"{i}: 10.1.{k}.{i} {i / 4} {i}")
+                want.add((name, dest, n, i, f"10.1.{k}.{i}"))
+        (tmp_path / name).write_text("\n".join(rows) + "\n")
+    lns = X.lines(spark, str(tmp_path))
+    d = X.read_iplane_text(lns)
+    assert lns.select("file", "pos._b").distinct().count() > 10
+    got = d.collect()
+    assert {(os.path.basename(r.file), r.dest, r.n_hops, r.idx, r.ip) for r in got} == want and len(got) == len(want)
+    with pytest.raises(Exception, match="straight from the scan"):
+        X.read_iplane_text(lns.coalesce(1).sort(F.col("pos._i").desc())).collect()
+
+
+def test_routes_and_interfaces_over_splits(spark, tmp_path, small_splits):
+    head = "   Network          Next Hop            Metric LocPrf Weight Path"
+    line = lambda net, path: "*> " + net.ljust(17) + "4.0.4.90".ljust(20) + "0".ljust(21) + path
+    rows, routes = [head], []
+    for k in range(40):
+        for i in range(1 + k % 5 * 4):
+            rows.append(line(f"10.{k}.0.0/16" if i == 0 else "", f"3356 {k * 100 + i} i"))
+            routes.append(((10 << 24) + (k << 16), 16, str(k * 100 + i)))
+    (tmp_path / "rv").write_text("\n".join(rows) + "\n")
+    assert sorted(map(tuple, X.read_bgp_table(X.lines(spark, str(tmp_path / "rv"))).collect())) == sorted(routes)
+    text = "".join(f"so-{k} is up, line protocol is up\n" + "  MTU 4470 bytes\n" * (k % 7 * 9) + f"<br>&nbsp; Internet address is 10.2.{k}.1/30\n" for k in range(30))
+    (tmp_path / "Out=r1").write_text(text)
+    got = X.read_show_interfaces(X.lines(spark, str(tmp_path / "Out=r1"))).collect()
+    assert sorted((r.router, r.iface, r.ip, r.len) for r in got) == sorted(("r1", f"so-{k}", f"10.2.{k}.1", 30) for k in range(30))
+
+
 def test_interfaces_xml(spark, tmp_path):
     one = lambda n, st, ip: f"<physical-interface><name>{n}</name><oper-status>{st}</oper-status><logical-interface><name>{n}.0</name><address-family><interface-address><ifa-destination>10.1.2/30</ifa-destination><ifa-local>{ip}</ifa-local></interface-address></address-family></logical-interface></physical-interface>"
     f = tmp_path / "x.xml"
