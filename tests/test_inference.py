@@ -16,6 +16,30 @@ def _by_trace(rows):
     return out
 
 
+def _moved(probes, p):
+    """Probes of a trace with plain hops `p` once no lazy probe is left, and the number of rounds."""
+    rounds = 0
+    while True:
+        lazy = sorted(x for x in probes if x[2] and (x[0] + 1, x[1]) in p and (x[0], x[1]) not in p
+                      and not any(y[0] == x[0] + 1 and y[1] == x[1] for y in probes))
+        if not lazy:
+            return probes, rounds
+        demark, rounds = lazy[0][2][-1], rounds + 1
+        probes = {(t + 1, a, l) if demark in l else (t, a, l) for t, a, l in probes}
+
+
+def test_lazy_rounds_in_one_trace(spark):
+    """Six lazy routers behind one another, two of which share a demark; another trace has none."""
+    probes = {(2 * k + 1, k, (100 + min(k, 4),)) for k in range(6)} | {(3, 50, (100, 102)), (20, 51, ())}
+    p = {(2 * k + 2, k) for k in range(6)}
+    want, rounds = _moved(probes, p)
+    assert rounds > 3
+    rr = spark.createDataFrame([(1, 2, *x) for x in probes] + [(1, 3, *x) for x in probes], "src bigint, dst bigint, ttl int, resp bigint, rr array<bigint>")
+    tr = spark.createDataFrame([(1, 2, *x) for x in p], "src bigint, dst bigint, ttl int, resp bigint")
+    got = _by_trace(R.lazy_routers(rr, tr)[0].collect())
+    assert got == {(1, 2): want, (1, 3): probes}
+
+
 def test_lazy_probes_move(spark, sf):
     rr, tr = T.rr_probes(spark, sf), T.tr_probes(spark, sf)
     plain = defaultdict(set)
@@ -24,15 +48,8 @@ def test_lazy_probes_move(spark, sf):
     traces = _by_trace(R.rr_set(rr).collect())
     moved = 0
     for key, probes in traces.items():
-        p = plain[key]
-        while True:
-            lazy = sorted(x for x in probes if x[2] and (x[0] + 1, x[1]) in p and (x[0], x[1]) not in p
-                          and not any(y[0] == x[0] + 1 and y[1] == x[1] for y in probes))
-            if not lazy:
-                break
-            demark, moved = lazy[0][2][-1], moved + 1
-            probes = {(t + 1, a, l) if demark in l else (t, a, l) for t, a, l in probes}
-        traces[key] = probes
+        traces[key], n = _moved(probes, plain[key])
+        moved += n
     got, tags, fixed, level2 = R.lazy_routers(rr, tr)
     assert moved > 0 and level2.count() > 0 and fixed.count() > 0 and tags.count() > 0
     assert _by_trace(got.collect()) == traces
