@@ -106,6 +106,73 @@ def bfs(adj: DataFrame, sources: DataFrame, max_depth: int | None = None) -> Dat
     return seen
 
 
+def _chain_ends(both: DataFrame, inner: DataFrame) -> DataFrame:
+    """(a, b, tip, far): a walk that enters the inner router `b` from `a` first meets an anchor at `tip`, `far` links on.
+
+    Inner routers have two neighbours, so a walk has one way on. Walks double their length each round: one that stands
+    at an inner router goes on by the walk from there. Rings of inner routers alone have no anchor and no row.
+    """
+    step = both.join(inner, both.b == inner.router).select(
+        "a", "b", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("tip"))
+    marked = step.join(inner.select(F.col("router").alias("tip"), F.lit(False).alias("done")), "tip", "left")
+    walks = cut_lineage(marked.select("a", "b", F.col("b").alias("last"), "tip", F.lit(1).cast("bigint").alias("far"),
+                                      F.coalesce("done", F.lit(True)).alias("done")))
+    longest, length = walks.count(), 1
+    while length <= longest and not walks.where("NOT done").isEmpty():
+        on = walks.select(F.col("a").alias("last"), F.col("b").alias("tip"), F.col("last").alias("last2"), F.col("tip").alias("tip2"),
+                          F.col("far").alias("far2"), F.col("done").alias("done2"))
+        going = walks.where("NOT done").join(on, ["last", "tip"]).select(
+            "a", "b", F.col("last2").alias("last"), F.col("tip2").alias("tip"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"))
+        walks = cut_lineage(walks.where("done").unionByName(going))
+        length *= 2
+    return walks.where("done").select("a", "b", "tip", "far")
+
+
+SHALLOW = 16  # hops that a plain search goes before chains are worth finding; the result is the same either way
+
+
+def distances(adj: DataFrame, sources: DataFrame) -> DataFrame:
+    """Hop distance (router, dist) like `bfs`, also for graphs with long chains.
+
+    A plain search comes first and is all that graphs of fewer than `SHALLOW` hops need. In deeper ones, routers with two
+    neighbours that are no sources stand on chains. Chains become single links with a length, found by doubling; a
+    search over the other routers relaxes only those whose distance fell, and routers on chains take the nearer of both
+    ends. Rounds grow with the logarithm of the longest chain and the number of junctions on a path.
+    """
+    adj = cut_lineage(adj.select("a", "b").distinct())
+    reached = bfs(adj, sources, SHALLOW)
+    if reached.where(F.col("dist") == SHALLOW).isEmpty():
+        return reached
+    pairs = adj.unionByName(adj.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    both = cut_lineage(pairs.distinct())
+    start = cut_lineage(sources.select("router").distinct())
+    near = both.groupBy(F.col("a").alias("router")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
+    inner = cut_lineage(near.where("n = 2").drop("n").join(start, "router", "left_anti"))
+    ends = _chain_ends(both, inner)
+    anchors = both.join(inner.select(F.col("router").alias("a")), "a", "left_anti")
+    plain = anchors.join(inner.select(F.col("router").alias("b")), "b", "left_anti").select("a", "b", F.lit(1).cast("bigint").alias("far"))
+    chained = ends.join(inner.select(F.col("router").alias("a")), "a", "left_anti").select("a", F.col("tip").alias("b"), (F.col("far") + 1).alias("far"))
+    links = cut_lineage(plain.unionByName(chained).groupBy("a", "b").agg(F.min("far").alias("far")))
+    known = changed = start.withColumn("dist", F.lit(0).cast("bigint"))
+    nearest = lambda d: d.groupBy("router").agg(F.min("dist").alias("dist"))
+    rounds = 0
+    while True:
+        rounds += 1
+        met = changed.join(links, changed.router == links.a).groupBy("b").agg(F.min(F.col("dist") + F.col("far")).alias("new"))
+        old = nearest(known).withColumnRenamed("router", "b")
+        changed = cut_lineage(met.join(old, "b", "left").where("dist IS NULL OR new < dist").select(F.col("b").alias("router"), F.col("new").alias("dist")))
+        if changed.isEmpty():
+            break
+        known = known.unionByName(changed)
+        if rounds % 8 == 0:
+            known = cut_lineage(nearest(known))
+    known = nearest(known)
+    # an inner router is entered from both its neighbours, so it has a walk to either end of its chain
+    to_tip = ends.select(F.col("b").alias("router"), "tip", "far")
+    on_chains = to_tip.join(known.withColumnRenamed("router", "tip"), "tip").groupBy("router").agg(F.min(F.col("dist") + F.col("far")).alias("dist"))
+    return known.unionByName(on_chains).select("router", F.col("dist").cast("int").alias("dist"))
+
+
 def degrees(ends: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Link ends per router over `(r1, r2, link_type)` without UNKNOWN links; sources are not counted."""
     d = ends.where(F.col("link_type") != pf.UNKNOWN).select(F.explode(F.array("r1", "r2")).alias("router")).groupBy(
@@ -123,7 +190,7 @@ def degree_distribution(ends: DataFrame, sources: DataFrame | None = None, compl
 def degree_bias(ends: DataFrame, sources: DataFrame) -> DataFrame:
     """Degree CCDF of all, near (distance under the median) and far routers; sources and unreached ones left out."""
     adj = ends.where(F.col("link_type") != pf.UNKNOWN).select(F.col("r1").alias("a"), F.col("r2").alias("b")).distinct()
-    dist = bfs(adj, sources)
+    dist = distances(adj, sources)
     both = adj.unionByName(adj.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     deg = both.groupBy(F.col("a").alias("router")).agg(F.count(F.lit(1)).alias("degree"))
     far_away = 1 << 30

@@ -95,6 +95,31 @@ def next_known(runs: DataFrame, keys: list[str], order: list[str], col: str, out
     return d.withColumn(out, F.coalesce("_in", F.col("_carry")["v"])).drop("_in", "_carry")
 
 
+def nearest_known(runs: DataFrame, keys: list[str], order: list[str], cols: dict[str, tuple[str, str]]) -> DataFrame:
+    """As-of merge: adds for each column its latest value up to a row and its earliest from there on, all in one pass.
+
+    ``cols`` maps column -> (name of the latest, name of the earliest). Both windows share one sort, and what crosses
+    the borders of runs is one row per (series, run) for all columns together.
+    """
+    inside = W.partitionBy(*keys, "_run").orderBy(*order)
+    back, ahead = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(0, W.unboundedFollowing)
+    across = W.partitionBy(*keys).orderBy("_run")
+    ends, carried, d = [], [], runs
+    for k, (c, (before, after)) in enumerate(cols.items()):
+        known, at = F.col(c).isNotNull(), F.struct(*order)
+        ends += [F.max_by(F.when(known, F.col(c)), F.when(known, at)).alias(f"_l{k}"),
+                 F.min_by(F.when(known, F.col(c)), F.when(known, at)).alias(f"_f{k}")]
+        carried += [F.last(f"_l{k}", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)).alias(f"_b{k}"),
+                    F.first(f"_f{k}", ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)).alias(f"_a{k}")]
+    for c, (before, after) in cols.items():
+        d = d.withColumn(before, F.last(c, ignorenulls=True).over(back)).withColumn(after, F.first(c, ignorenulls=True).over(ahead))
+    borders = runs.groupBy(*keys, "_run").agg(*ends).select(*keys, "_run", *carried)
+    d = d.join(borders, [*keys, "_run"])
+    for k, (before, after) in enumerate(cols.values()):
+        d = d.withColumn(before, F.coalesce(before, f"_b{k}")).withColumn(after, F.coalesce(after, f"_a{k}"))
+    return d.drop(*[f"_{x}{k}" for k in range(len(cols)) for x in "ba"])
+
+
 def _fill(batches, col: str, out: str):
     """Fills `col` forward along rows of one (file, split) as they come from the scan; null before its first value."""
     held, before, last = None, (None, None), -1

@@ -42,13 +42,15 @@ def ipid_rate(points: DataFrame) -> DataFrame:
         "usable", F.coalesce((F.col("n_rising") > 0) & (F.col("longest") <= F.col("wrap_time")), F.lit(False)))
 
 
-def ipid_line_fit(samples: DataFrame) -> DataFrame:
+def ipid_line_fit(samples: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """(ip, offset, slope, offset_err, slope_err, n, ok): least squares over the unwrapped counter.
 
+    ``points`` are the `unwrapped` samples, if they are at hand.
+
     The errors come from residuals of the wrapped ids without wrapping the residual; that is part of the definition.
     ``ok`` is false for too few points, an unusable rate, or errors above a fifth of slope or offset.
     """
-    p = unwrapped(samples)
+    p = unwrapped(samples) if points is None else points
     fit = p.groupBy("ip").agg(
         F.regr_slope("ts", "t").alias("slope"), F.regr_intercept("ts", "t").alias("offset"),
         F.regr_sxx("ts", "t").alias("sxx"), F.sum(F.col("t") * F.col("t")).alias("st2"), F.count(F.lit(1)).alias("n"))
@@ -124,11 +126,7 @@ def _pair_series(pairs: DataFrame, points: DataFrame, value: str) -> DataFrame:
     k = ["ip1", "ip2"]
     rows = d.groupBy(*k, "t").agg(*[
         F.max(F.when(F.col("side") == i, F.struct("t", "id", "v"))).alias(f"p{i}") for i in (1, 2)])
-    rows = S.in_runs(rows, k, ["t"])
-    for i in (1, 2):
-        rows = S.last_known(rows, k, ["t"], f"p{i}", f"b{i}")
-        rows = S.next_known(rows, k, ["t"], f"p{i}", f"a{i}")
-    return rows
+    return S.nearest_known(S.in_runs(rows, k, ["t"]), k, ["t"], {f"p{i}": (f"b{i}", f"a{i}") for i in (1, 2)})
 
 
 def _interpolated(i: int):
@@ -177,6 +175,6 @@ def resolve_velocity_aliases(pairs: DataFrame, samples: DataFrame, threshold: fl
     if "kind" in samples.columns:
         samples = samples.where(F.col("kind").rlike("Icmp_t=3_c=3|Tcp"))
     pts = unwrapped(samples)
-    fits = ipid_line_fit(samples).where("ok")
+    fits = ipid_line_fit(samples, pts).where("ok")
     d = velocity_distance(pairs, pts, fits)
     return d.withColumn("verdict", F.when(F.col("d") < threshold, "ALIAS!").otherwise("NOT_ALIAS."))

@@ -65,7 +65,7 @@ def _(spark, sf):
 
 
 _BFS = _ENDS + f""", u AS (SELECT DISTINCT r1 AS a, r2 AS b FROM ends WHERE link_type <> 4 AND r1 <> r2 UNION SELECT DISTINCT r2, r1 FROM ends WHERE link_type <> 4 AND r1 <> r2),
- w AS (SELECT router, 0 AS dist FROM (SELECT DISTINCT router FROM observed WHERE {_SRC}) UNION SELECT u.b, dist + 1 FROM w JOIN u ON u.a = w.router WHERE dist < 45),
+ w AS (SELECT router, 0 AS dist FROM (SELECT DISTINCT router FROM observed WHERE {_SRC}) UNION SELECT u.b, dist + 1 FROM w JOIN u ON u.a = w.router WHERE dist < (SELECT count(DISTINCT a) FROM u)),
  dd AS (SELECT router, min(dist) AS dist FROM w GROUP BY router)"""
 
 
@@ -84,7 +84,7 @@ def _(spark, sf):
     return G.bfs(e, _sources(spark, sf))
 
 
-@query("rr_coverage", R_ + _BFS.replace("dist < 45", "dist < 9") + """, k AS (SELECT r1 AS r FROM ends WHERE link_type <= 2 UNION SELECT r2 FROM ends WHERE link_type <= 2)
+@query("rr_coverage", R_ + _BFS.replace("dist < (SELECT count(DISTINCT a) FROM u)", "dist < 9") + """, k AS (SELECT r1 AS r FROM ends WHERE link_type <= 2 UNION SELECT r2 FROM ends WHERE link_type <= 2)
   SELECT t AS total, f AS n_flood, 100.0 * f / t AS pct_flood, c AS n_close, 100.0 * c / t AS pct_close FROM (SELECT (SELECT count(DISTINCT router) FROM observed) AS t, (SELECT count(*) FROM dd) AS f, (SELECT count(*) FROM k) AS c)""")
 def _(spark, sf):
     v = T.routers_observed(spark, sf).where((F.col("ip") - ROUTER_BASE) % 37 == 0).select("ip")

@@ -85,13 +85,15 @@ def _vd(v, extra=""):
 @query("velocity_distance", _vd("ts") + " SELECT ip1, ip2, round(d, 2) AS d, n FROM r")
 def _(spark, sf):
     s = T.ipid_samples(spark, sf)
-    return _r(V.velocity_distance(_pairs(spark, sf), V.unwrapped(s), V.ipid_line_fit(s)), "d", d=2)
+    pts = V.unwrapped(s)
+    return _r(V.velocity_distance(_pairs(spark, sf), pts, V.ipid_line_fit(s, pts)), "d", d=2)
 
 
 @query("velocity_distance_overlap", _vd("id") + " SELECT ip1, ip2, round(d, 2) AS d, n FROM r")
 def _(spark, sf):
     s = T.ipid_samples(spark, sf)
-    return _r(V.velocity_distance_overlap(_pairs(spark, sf), V.unwrapped(s), V.ipid_line_fit(s)), "d", d=2)
+    pts = V.unwrapped(s)
+    return _r(V.velocity_distance_overlap(_pairs(spark, sf), pts, V.ipid_line_fit(s, pts)), "d", d=2)
 
 
 _STEADY = "(100 + CAST(floor(2000 + (epoch_us(ts) - 1704067200000000) / 1e6 * (0.01 + 0.01 * ((user_id % 9) // 2))) AS BIGINT)) % 65536 AS id"

@@ -26,7 +26,16 @@ def test_windows_cross_runs(spark, many_runs):
     d = S.running_min(d, ["k"], ["t"], "v", "low", inclusive=False)
     d = S.last_known(d, ["k"], ["t"], "m", "last")
     d = S.next_known(d, ["k"], ["t"], "m", "next")
-    got = {(r.k, r.t): (r.pv, r.cum, r.low, r["last"], r["next"]) for r in d.collect()}
+    odd = F.when(F.col("v") % 2 == 1, F.col("t"))
+    d = S.nearest_known(d.withColumn("odd", odd), ["k"], ["t"], {"m": ("last2", "next2"), "odd": ("odd_b", "odd_a")})
+    rs = d.collect()
+    assert all((r["last"], r["next"]) == (r.last2, r.next2) for r in rs)
+    for k in range(5):
+        own = sorted((r.t, r.odd, r.odd_b, r.odd_a) for r in rs if r.k == k)
+        odds = [o for _, o, _, _ in own if o is not None]
+        assert [(x[2], x[3]) for x in own] == [
+            (max((o for o in odds if o <= x[0]), default=None), min((o for o in odds if o >= x[0]), default=None)) for x in own]
+    got = {(r.k, r.t): (r.pv, r.cum, r.low, r["last"], r["next"]) for r in rs}
     for k in range(5):
         own = sorted(r for r in rows if r[0] == k)
         cum, low, last = 0, None, None
