@@ -50,54 +50,71 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
 # -- order of event time ---------------------------------------------------------------------------------------------
 
 Fold = Callable[[list[int] | None, np.ndarray, np.ndarray], tuple[list[int], dict[str, list]]]
+SHARDS = 1024   # keys share a state row: the handling of a state row costs milliseconds, the fold of a key microseconds
 
 
 def in_event_order(rows: DataFrame, keys: dict[str, str], out: dict[str, str], fold: Fold, watermark: str | None,
                    idle_ms: int) -> DataFrame:
-    """Folds the rows of each key in the order of (ts, tie): `rows(*keys, ts, tie bigint, amount bigint)`.
+    """Folds the rows of each key in the order of (ts, tie): `rows(*keys, ts, tie bigint, amount bigint)`, integer keys.
 
-    Rows wait in the key's state until the watermark has passed them, so they may arrive in any order within it. ``fold``
-    takes the carried numbers (null at first), the ties and amounts of the rows that are due, and gives the numbers to
-    carry on and the columns ``out``. A key without a row for ``idle_ms`` of event time leaves the state and starts anew
-    after that. Without ``watermark`` the one that ``ts`` has holds.
+    Rows wait in state until the watermark has passed them, so they may arrive in any order within it. ``fold`` takes the
+    carried numbers (null at first, equally many for all keys), the ties and amounts of the rows that are due, and gives
+    the numbers to carry on and the columns ``out``. A key without a row for ``idle_ms`` of event time leaves the state and
+    starts anew after that. Without ``watermark`` the one that ``ts`` has holds. Keys are hashed to ``SHARDS`` state rows,
+    each with the rows that wait and one line (null bits, keys, last, carried numbers) per key.
     """
-    def step(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, tie, amount, carry, last = state.get if state.exists else ([], [], [], None, 0)
-        parts = [[np.array(x, np.int64)] for x in (at, tie, amount)]
+    names = ["_null", *keys]
+    w = len(names)
+
+    def step(_, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, lines, waiting = state.get if state.exists else (0, b"", b"")
+        known = {tuple(x[:w]): x[w:] for x in np.frombuffer(lines, np.int64).reshape(n, -1).tolist()} if n else {}
+        parts = [np.frombuffer(waiting, np.int64).reshape(-1, w + 3)]
         if not state.hasTimedOut:
-            for pdf in chunks:
-                for part, name in zip(parts, ("at", "tie", "amount")):
-                    part.append(pdf[name].to_numpy(np.int64))
-        at, tie, amount = (np.concatenate(p) for p in parts)
-        order = np.lexsort((tie, at))
-        at, tie, amount = at[order], tie[order], amount[order]
+            parts += [np.column_stack([pdf[c].to_numpy(np.int64) for c in (*names, "at", "tie", "amount")]) for pdf in chunks]
+        d = np.concatenate(parts)
         now = state.getCurrentWatermarkMs()
-        due = int(np.searchsorted(at, now * 1000))
-        frame = None
-        if due:
-            last = int(at[due - 1]) // 1000
+        is_due = d[:, w] < now * 1000
+        later, d = d[~is_due], d[is_due]
+        d = d[np.lexsort((d[:, w + 1], d[:, w], *d[:, :w].T))]
+        starts = np.flatnonzero(np.r_[True, (d[1:, :w] != d[:-1, :w]).any(axis=1)]) if len(d) else []
+        folded, times, columns = [], [], {c: [] for c in out}
+        for a, b in zip(starts, [*starts[1:], len(d)]):
+            key = tuple(d[a, :w].tolist())
+            last, *carry = known.get(key, (None,))
+            at, tie, amount = d[a:b, w:].T
             # an idle gap among the rows that are due starts the key anew
-            gaps = np.flatnonzero(np.diff(np.r_[at[:1] if carry is None else [state.get[4] * 1000], at[:due]]) > idle_ms * 1000)
-            for lo, hi in zip([0, *gaps], [*gaps, due]):
+            gaps = np.flatnonzero(np.diff(at, prepend=at[0] if last is None else last * 1000) > idle_ms * 1000).tolist()
+            for lo, hi in zip([0, *gaps], [*gaps, b - a]):
                 if hi > lo:
-                    carry, columns = fold(None if lo in gaps else carry, tie[lo:hi], amount[lo:hi])
-                    part = pd.DataFrame({**{k: [v] * len(next(iter(columns.values()))) for k, v in zip(keys, key)}, **columns})
-                    frame = part if frame is None else pd.concat([frame, part])
-        if due == len(at) and now > last + idle_ms:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((at[due:].tolist(), tie[due:].tolist(), amount[due:].tolist(), carry, last))
-            wake = int(at[due]) // 1000 if due < len(at) else last + idle_ms
-            state.setTimeoutTimestamp(max(wake, now) + 1)
-        if frame is not None and len(frame):
-            yield frame[[*keys, *out]]
+                    carry, new = fold(None if last is None or lo in gaps else carry, tie[lo:hi], amount[lo:hi])
+                    last = int(at[hi - 1]) // 1000
+                    folded.append(key)
+                    times.append(len(next(iter(new.values()))))
+                    for c in out:
+                        columns[c] += new[c]
+            known[key] = [last, *carry]
+        still = set(map(tuple, later[:, :w].tolist()))
+        known = {k: x for k, x in known.items() if now <= x[0] + idle_ms or k in still}
+        if known or len(later):
+            lines = np.array([[*k, *x] for k, x in known.items()], np.int64).tobytes()
+            state.update((len(known), lines, later.tobytes()))
+            wake = [x[0] + idle_ms for k, x in known.items() if k not in still] + [int(t) // 1000 for t in later[:, w].min(keepdims=True, initial=2**62)]
+            state.setTimeoutTimestamp(max(min(wake), now) + 1)
+        elif state.exists:
+            state.remove()
+        if sum(times):
+            of = np.repeat(np.array(folded, np.int64), times, axis=0)
+            key_columns = {k: pd.arrays.IntegerArray(of[:, i + 1].copy(), (of[:, 0] >> i & 1).astype(bool)) for i, k in enumerate(keys)}
+            yield pd.DataFrame({**key_columns, **columns})
 
     ddl = ", ".join(f"{k} {t}" for k, t in {**keys, **out}.items())
-    given = (rows.withWatermark("ts", watermark) if watermark else rows).select(*keys, "ts", F.unix_micros("ts").alias("at"), "tie", "amount")
-    return given.groupBy(*keys).applyInPandasWithState(
-        step, ddl, "at array<bigint>, tie array<bigint>, amount array<bigint>, carry array<bigint>, last bigint", "append",
-        GroupStateTimeout.EventTimeTimeout)
+    nulls = sum((F.col(k).isNull().cast("bigint") * (1 << i) for i, k in enumerate(keys)), F.lit(0).cast("bigint"))
+    given = (rows.withWatermark("ts", watermark) if watermark else rows).select(
+        F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).alias("_shard"), nulls.alias("_null"), *[F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in keys],
+        "ts", F.unix_micros("ts").alias("at"), "tie", "amount")
+    return given.groupBy("_shard").applyInPandasWithState(
+        step, ddl, "n bigint, lines binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- smoothing -------------------------------------------------------------------------------------------------------

@@ -144,3 +144,16 @@ def test_peers_expire(spark, tmp_path, many_runs):
     out = V.run_to_table(V.stream_peer_expiry(in_files(spark, f"{tmp_path}/in", rows, ddl, 50, 40), "60 minutes"), f"{tmp_path}/out", f"{tmp_path}/state")
     want = sorted(map(tuple, V.peer_stays(table(spark, rows, ddl), 3_600_000_000).collect()))
     assert sorted(map(tuple, out.where("ip >= 0").collect())) == want and len(want) > 6
+
+
+def test_many_keys_share_few_state_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "SHARDS", 8)
+    ddl = "conn bigint, seq bigint, rtt bigint, ts timestamp"
+    rows = [(None if k % 300 == 7 else k % 300, k, 1000 + k, k) for k in range(900)]
+    stream = in_files(spark, f"{tmp_path}/in", rows, ddl, 20, 300)
+    out = V.run_to_table(V.stream_rtt_ewma(stream, "zero", "60 seconds"), f"{tmp_path}/out", f"{tmp_path}/state")
+    last = {r.conn: (r.srtt, r.n) for r in out.groupBy("conn").agg(F.max_by("srtt", "n").alias("srtt"), F.max("n").alias("n")).collect()}
+    batch = D.rtt_ewma(table(spark, [r for r in rows if r[0] is not None], ddl), ["ts", "seq"], "zero").collect()
+    assert {k: v for k, v in last.items() if k is not None and k >= 0} == {r.conn: (r.srtt, r.n) for r in batch} and len(batch) == 299
+    assert last[None] == (438, 3)  # samples without a connection are a key of their own, as before
+    assert spark.read.format("statestore").load(f"{tmp_path}/state").count() <= 8
