@@ -35,15 +35,15 @@ def _seen(df: DataFrame, ips: DataFrame, name: str) -> DataFrame:
 def diff_aliases(left: DataFrame, right: DataFrame, intersect_only: bool = True) -> DataFrame:
     """`(ip1, ip2, side)`, side left/right/both. With ``intersect_only`` a one-sided pair is listed only if both its
     addresses occur on the other side; for the addresses that do not see `skipped_ips`."""
-    l, r = _canon(left), _canon(right)
-    bits = l.withColumn("bit", F.lit(1)).unionByName(r.withColumn("bit", F.lit(2))).groupBy(*PAIR).agg(F.bit_or("bit").alias("bits"))
-    side = F.when(F.col("bits") == 3, "both").when(F.col("bits") == 1, "left").otherwise("right")
-    d = bits.withColumn("side", side)
+    pair = lambda d, bit: d.select(F.least(*PAIR).alias("ip1"), F.greatest(*PAIR).alias("ip2"), F.lit(bit).alias("bit"))
+    tagged = pair(left, 1).unionByName(pair(right, 2))
+    d = tagged.groupBy(*PAIR).agg(F.bit_or("bit").alias("bits"))
     if intersect_only:
-        d = _seen(_seen(d, _ips(l), "l"), _ips(r), "r")
-        both = lambda n: F.coalesce(F.col(f"{n}_ip1"), F.lit(False)) & F.coalesce(F.col(f"{n}_ip2"), F.lit(False))
-        d = d.where((F.col("side") == "both") | ((F.col("side") == "left") & both("r")) | ((F.col("side") == "right") & both("l")))
-    return d.select(*PAIR, "side")
+        known = _ip_masks(tagged).where("mask = 3").select("ip", F.lit(True).alias("known"))
+        for c in PAIR:
+            d = d.join(known.withColumnsRenamed({"ip": c, "known": f"known_{c}"}), c, "left")
+        d = d.where("bits = 3 OR known_ip1 AND known_ip2")
+    return d.select(*PAIR, F.when(F.col("bits") == 3, "both").when(F.col("bits") == 1, "left").otherwise("right").alias("side"))
 
 
 def skipped_ips(left: DataFrame, right: DataFrame) -> DataFrame:

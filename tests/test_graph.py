@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from hoptrail.operators import graph as G
 
@@ -60,3 +61,15 @@ def test_empty_graph_and_no_sources(spark):
     none = spark.createDataFrame([], "router bigint")
     assert G.distances(adj, none).collect() == []
     assert G.distances(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"), none).collect() == []
+
+
+def test_alias_difference_groups_each_side_once(spark):
+    """Null addresses, repeated and reversed pairs; two joins tell which addresses both sides know."""
+    from hoptrail.operators import diff as D
+
+    left = [(1, 2), (2, 1), (1, 2), (3, 4), (5, 6), (6, 7), (1, None)]
+    right = [(2, 1), (4, 5), (3, 5), (6, 9), (8, 1), (7, 1)]
+    l, r = (spark.createDataFrame(x, "ip1 bigint, ip2 bigint") for x in (left, right))
+    d = D.diff_aliases(l, r)
+    assert sorted(tuple(x) for x in d.collect()) == [(1, 1, "left"), (1, 2, "both"), (1, 7, "right"), (3, 4, "left"), (3, 5, "right"), (4, 5, "right"), (5, 6, "left"), (6, 7, "left")]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
