@@ -15,7 +15,7 @@ from ..functions import ip as ipf
 from ..functions import probe as pf
 from ..session import cut_lineage
 from . import series as S
-from .hops import TRACE, hop_set
+from .hops import TRACE, moved, placed
 
 A, B, N = 1, 2, 4
 ANY, A_OR_N, B_OR_N = 7, 5, 6
@@ -45,9 +45,9 @@ def path_pairs(rr: DataFrame) -> DataFrame:
 
 def _neighbours(rr: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct probes twice: as the earlier of a pair, and as the later one under the earlier TTL."""
-    d = rr.select(*TRACE, "ttl", "resp", "rr").distinct()
+    d = placed(rr).select(*TRACE, "ttl", "resp", "rr").distinct()
     one = d.select(*TRACE, "ttl", F.col("resp").alias("resp1"), F.col("rr").alias("rr1"))
-    return one, d.select(*TRACE, (F.col("ttl") - 1).alias("ttl"), F.col("resp").alias("resp2"), F.col("rr").alias("rr2"))
+    return one, d.select(*TRACE, moved("ttl", -1), F.col("resp").alias("resp2"), F.col("rr").alias("rr2"))
 
 
 def _described(pairs: DataFrame) -> DataFrame:

@@ -73,3 +73,28 @@ def test_alias_difference_groups_each_side_once(spark):
     d = D.diff_aliases(l, r)
     assert sorted(tuple(x) for x in d.collect()) == [(1, 1, "left"), (1, 2, "both"), (1, 7, "right"), (3, 4, "left"), (3, 5, "right"), (4, 5, "right"), (5, 6, "left"), (6, 7, "left")]
     assert d._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
+def reused(df):
+    """Shuffles that a plan reads again, without adaptive execution."""
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString().count("ReusedExchange")
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_neighbours_of_a_trace_share_one_shuffle(spark):
+    from hoptrail.operators import hops as H
+    from hoptrail.operators import infer as I
+
+    probes = spark.range(1000).selectExpr("id % 7 AS src", "id % 5 AS dst", "cast(if(id % 11 = 0, null, id % 9) AS int) AS ttl", "id % 13 AS resp", "array(id % 3) AS rr")
+    assert reused(H.tr_hop_pairs(probes)) == 1 and reused(I.path_pairs(probes)) == 1
+    rows = [(1, 9, 1, 0), (1, 9, 2, 5), (1, 9, 3, 6), (1, 9, 3, 7), (1, 9, 5, 8), (1, 9, None, 4), (2, 9, 4, 3), (2, 9, 5, None), (None, 9, 1, 2), (3, 0, 1, 2), (4, 9, 1, 0)]
+    hops = spark.createDataFrame(rows, "trace int, src bigint, idx int, ip bigint")
+    assert {(x.ip1, x.ip2) for x in H.hop_chain_links(hops).collect()} == {(5, 6), (5, 7), (3, 9)}
+    # as a query does: the hops come from a shuffle
+    grouped = hops.repartition(4, "ip").groupBy("trace", "src", "idx").agg(F.min("ip").alias("ip"))
+    assert reused(H.hop_chain_links(grouped)) >= 2
