@@ -45,7 +45,7 @@ def _run(spark, stream, mode="append"):
 @query("stream_trace_log", Q._LOG)
 def _(spark, sf):
     lns = Q.trace_lines(_stream(spark, sf, "lineitem"))
-    return Q._flat(_run(spark, read_trace_log(lns)))
+    return _run(spark, Q._flat(read_trace_log(lns)))
 
 
 @query("stream_rtt_ewma", _E.format(w="", first="false") + " SELECT * FROM l")
