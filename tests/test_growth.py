@@ -18,3 +18,18 @@ def test_computed_log_lines_are_made_and_split_once(spark):
     assert (got[0].status, got[0].ttl, got[0].resp, got[0].rttl, got[0]["class"], got[0].rr) == (w[1], int(w[3]), w[6], 201, w[8], ["1.1.1.1"])
     plan = read_trace_log(lns)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat(- RECV") == 1
+
+
+def test_partitions_follow_the_data_unless_the_caller_says(spark):
+    from hoptrail.session import configure
+
+    first, size = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    other = spark.newSession()
+    configure(other)
+    plan = other.range(100).groupBy((F.col("id") % 7).alias("k")).count()._jdf.queryExecution().executedPlan().toString()
+    assert "512)" in plan[plan.index("hashpartitioning"):].split("\n")[0].replace(", ENSURE", ")")
+    set_by_caller = spark.newSession()
+    set_by_caller.conf.set(first, "20")
+    set_by_caller.conf.set(size, "3m")
+    configure(set_by_caller)
+    assert set_by_caller.conf.get(first) == "20" and set_by_caller.conf.get(size) == "3m"
