@@ -1,5 +1,6 @@
 """What keeps time, memory and shuffles in proportion to the input."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -33,3 +34,46 @@ def test_partitions_follow_the_data_unless_the_caller_says(spark):
     set_by_caller.conf.set(size, "3m")
     configure(set_by_caller)
     assert set_by_caller.conf.get(first) == "20" and set_by_caller.conf.get(size) == "3m"
+
+
+def _probes(spark, n, traces, seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(traces), 9, rnd.randrange(1, 7), rnd.randrange(1, 6), [rnd.randrange(1, 4) for _ in range(rnd.randrange(4))]) for _ in range(n)]
+    return rows, spark.createDataFrame(rows, "src bigint, dst bigint, ttl int, resp bigint, rr array<bigint>")
+
+
+def _without_aqe(df):
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "false")
+    try:
+        return df.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, "true")
+
+
+def test_gaps_against_plain_search_and_probes_made_once(spark, monkeypatch):
+    from hoptrail.operators import repair as R
+
+    rows, rr = _probes(spark, 60, 6, 1)
+    tr = spark.createDataFrame([(s, 9, t, r) for s, _, t, r, _ in rows[::3]], "src bigint, dst bigint, ttl int, resp bigint")
+    fixed = spark.createDataFrame([(5,)], "ip bigint")
+    paired = {(r.src, r.dst, r.ttl, r.resp1, tuple(r.rr1)) for r in R.rr_probe_pairs(rr, tr).collect()}
+    probes = {(*r[:4], tuple(r[4])) for r in rows}
+
+    def fits(o, b):
+        n = min(len(o[4]), len(b[4]))
+        m = n - 1 if o[4] and o[4][-1] == o[3] else n
+        return n == 0 or o[4][:m] == b[4][:m]
+
+    want = {}
+    for o in probes:
+        if len(set(o[4])) == len(o[4]) and o not in paired:
+            later = [b[2:] for b in probes if b[:2] == o[:2] and b[2] >= o[2] + 2 and b[3] != 5 and fits(o, b)]
+            if later:
+                want[o] = min(later)
+    made, whole = [], R.known_probes
+    monkeypatch.setattr(R, "known_probes", lambda *a: made.append(1) or whole(*a))
+    got = {(g.src, g.dst, g.ttl, g.resp1, tuple(g.rr)): (g.ttl2, g.resp2, g.n) for g in R.gap_links(rr, tr, fixed).collect()}
+    assert got == {o: (t, r, len(l)) for o, (t, r, l) in want.items()} and got
+    assert len(made) == 1
+    assert "ReusedExchange" in _without_aqe(R.consecutive_probes(rr, tr))
