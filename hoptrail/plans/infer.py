@@ -30,10 +30,14 @@ _RR = "WITH RECURSIVE " + SQL["rr"] + """, d AS (SELECT DISTINCT src, dst, ttl,
 _M = ["src", "dst", "resp", "mask"]
 
 
-def _state(spark, sf):
+def _kept(spark, sf):
     rr = cut_lineage(_rr(spark, sf))     # probes and pairs are read several times each
     p = cut_lineage(I.path_pairs(rr))
-    return p, I.start_state(rr, p)
+    return rr, p, I.start_state(rr, p)
+
+
+def _state(spark, sf):
+    return _kept(spark, sf)[1:]
 
 
 @query("same_path", "WITH " + SQL["rr"] + f""", d AS (SELECT DISTINCT src, dst // 50 AS dst, ttl, resp, rr FROM rrp),
@@ -106,8 +110,7 @@ def _(spark, sf):
   SELECT steps[i] AS a, body[i] AS b, 5 AS link_type FROM w, range(1, 10) r(i) WHERE i <= len(body) AND body[i] NOT IN (SELECT resp FROM d)
   UNION SELECT steps[-1], CASE WHEN mask = 2 THEN coalesce(rr[-1], resp) ELSE resp END, 1 FROM w""")
 def _(spark, sf):
-    p, s = _state(spark, sf)
-    return I.hidden_chain(_rr(spark, sf), p, s)
+    return I.hidden_chain(*_kept(spark, sf))
 
 
 _IT = "WITH " + SQL["rr"] + ", a AS (SELECT src, dst, ttl, resp, qty % 4 AS it, false AS plain FROM rrp UNION ALL SELECT src, dst, ttl, resp, qty % 4, true FROM trp)"
