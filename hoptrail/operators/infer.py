@@ -60,13 +60,22 @@ def _described(pairs: DataFrame) -> DataFrame:
     )
 
 
+CROWD = 64   # probes of a trace at one TTL: beyond it they meet by prefix
+
+
 def settled_pairs(rr: DataFrame) -> DataFrame:
-    """Those of ``path_pairs`` whose lists agree or whose responder is the same, without pairing all probes of a TTL.
+    """Those of ``path_pairs`` whose lists agree or whose responder is the same, without pairing all probes of a crowded TTL.
 
-    Lists agree when the shorter is a prefix of the longer, so the shorter meets the prefixes of the longer (ten at most)
-    by equality; probes of one responder meet by responder.
+    Where neither TTL has more than ``CROWD`` probes they simply meet. Elsewhere: lists agree when the shorter is a prefix
+    of the longer, so the shorter meets the prefixes of the longer (ten at most) by equality; probes of one responder meet
+    by responder.
     """
     one, two = _neighbours(rr)
+    place = [*TRACE, "ttl"]
+    crowd = one.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*place)
+    crowd = cut_lineage(crowd.unionByName(crowd.select(*TRACE, moved("ttl", -1))).distinct())
+    few = one.join(crowd, place, "left_anti").join(two, place).where(pf.same_path("rr2", "rr1") | (F.col("resp1") == F.col("resp2")))
+    one, two = one.join(crowd, place, "left_semi"), two.join(crowd, place, "left_semi")
     prefixes = lambda d, c, less: d.withColumn("key", F.explode(F.transform(
         F.sequence(F.lit(0), F.size(c) - less), lambda k: F.slice(c, F.lit(1), k))))
     key = [*TRACE, "ttl", "key"]
@@ -74,7 +83,8 @@ def settled_pairs(rr: DataFrame) -> DataFrame:
     shorter = two.withColumn("key", F.col("rr2")).join(prefixes(one.where(F.size("rr1") > 0), "rr1", 1), key)
     pair = [*TRACE, "ttl", "resp1", "rr1", "resp2", "rr2"]
     unmoved = one.join(two, [*TRACE, "ttl"]).where("resp1 = resp2").where(~pf.same_path("rr2", "rr1"))
-    return _described(later.select(*pair).unionByName(shorter.select(*pair)).unionByName(unmoved.select(*pair)))
+    parts = [d.select(*pair) for d in (few, later, shorter, unmoved)]
+    return _described(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
 
 
 def same_path(rr: DataFrame) -> DataFrame:

@@ -77,3 +77,13 @@ def test_gaps_against_plain_search_and_probes_made_once(spark, monkeypatch):
     assert got == {o: (t, r, len(l)) for o, (t, r, l) in want.items()} and got
     assert len(made) == 1
     assert "ReusedExchange" in _without_aqe(R.consecutive_probes(rr, tr))
+
+
+def test_settled_pairs_meet_plainly_where_no_ttl_is_crowded(spark, monkeypatch):
+    from hoptrail.operators import infer as I
+
+    _, rr = _probes(spark, 300, 3, 2)
+    every = sorted(tuple(map(str, p)) for p in I.path_pairs(rr).where("same OR resp1 = resp2").collect())
+    for crowd in (0, 10, 64):
+        monkeypatch.setattr(I, "CROWD", crowd)
+        assert sorted(tuple(map(str, p)) for p in I.settled_pairs(rr).collect()) == every
