@@ -74,7 +74,10 @@ def settled_pairs(rr: DataFrame) -> DataFrame:
     place = [*TRACE, "ttl"]
     crowd = one.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select(*place)
     crowd = cut_lineage(crowd.unionByName(crowd.select(*TRACE, moved("ttl", -1))).distinct())
-    few = one.join(crowd, place, "left_anti").join(two, place).where(pf.same_path("rr2", "rr1") | (F.col("resp1") == F.col("resp2")))
+    settled = pf.same_path("rr2", "rr1") | (F.col("resp1") == F.col("resp2"))
+    if crowd.isEmpty():
+        return _described(one.join(two, place).where(settled))
+    few = one.join(crowd, place, "left_anti").join(two, place).where(settled)
     one, two = one.join(crowd, place, "left_semi"), two.join(crowd, place, "left_semi")
     prefixes = lambda d, c, less: d.withColumn("key", F.explode(F.transform(
         F.sequence(F.lit(0), F.size(c) - less), lambda k: F.slice(c, F.lit(1), k))))
