@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +63,19 @@ def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), {c: n for c, n in zip(df.columns, names)}
 
 
+@functools.cache
+def _trim() -> Callable[[int], object]:
+    """The C library's call that gives free memory back to the system; nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, TypeError, AttributeError):
+        return lambda _: None
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that a slice holds few rows and about ``most`` bytes (one row at least).
 
-    At the end a task's worker gives back what Arrow keeps for reuse, as workers outlive tasks.
+    At the end a task's worker gives back what Arrow and the C library keep for reuse, as workers outlive tasks.
     """
     for batch in batches:
         at = 0
@@ -76,7 +87,9 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES, rows: int
                 size = part.nbytes
             yield part
             at += part.num_rows
+    batch = part = None
     pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:

@@ -16,17 +16,21 @@ _HASHES = ["h1", "h2", "text_sha256"]
 _SCHEMA = "doc_id long, h1 long, h2 long, text_sha256 string"
 
 
-def _hashed(batches, with_text: bool):
-    """Adds h1, h2 and text_sha256 (and the normal text) to batches whose last column is the text, which goes."""
+def _hashed(batches, with_text: bool, at: int | None = None):
+    """Adds h1, h2 and text_sha256 (and the normal text) to batches.
+
+    The text is column ``at``, which stays; without it the last one, which goes.
+    """
     for b in slices(batches):
-        low = pc.ascii_lower(pc.fill_null(b.column(b.num_columns - 1), ""))
+        low = pc.ascii_lower(pc.fill_null(b.column(b.num_columns - 1 if at is None else at), ""))
+        given = b.num_columns - (at is None)
         raw = [t.encode() for t in low.to_pylist()]
         h = [xxhash.xxh3_128_digest(t) for t in raw]
         yield pa.RecordBatch.from_arrays([
-            *b.columns[:-1], pa.array([int.from_bytes(x[:8], "big", signed=True) for x in h], pa.int64()),
+            *b.columns[:given], pa.array([int.from_bytes(x[:8], "big", signed=True) for x in h], pa.int64()),
             pa.array([int.from_bytes(x[8:], "big", signed=True) for x in h], pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()), *[low] * with_text,
-        ], names=[*b.schema.names[:-1], *_HASHES, *["normal"] * with_text])
+        ], names=[*b.schema.names[:given], *_HASHES, *["normal"] * with_text])
 
 
 def _copies(given: DataFrame) -> DataFrame:
@@ -66,9 +70,9 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     names = [f"_c{k}" for k in range(len(docs.columns))]  # given columns may have any names
     numbered = docs.toDF(*names)
     place = {c: names[k] for k, c in enumerate(docs.columns)}
-    given = numbered.select(*names, F.col(place[text]).alias("_text"))
-    out = type(given.schema)(given.schema.fields[:-1]).add("h1", "long").add("h2", "long").add("text_sha256", "string")
-    hashed = given.mapInArrow(lambda it: _hashed(it, False), out)
+    at = docs.columns.index(text)
+    out = type(numbered.schema)(list(numbered.schema.fields)).add("h1", "long").add("h2", "long").add("text_sha256", "string")
+    hashed = numbered.mapInArrow(lambda it: _hashed(it, False, at), out)
     j = hashed.join(broadcast_if(copies, 128 * copies.count()), _HASHES, "left")
     alone = j.where("group_size IS NULL").select(*names)
     kept = j.where(F.col("group_size").isNotNull() & F.col(place[doc_id]).cast("long").eqNullSafe(F.col("keep_id")))
