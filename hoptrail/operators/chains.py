@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import probe as pf
-from ..session import cut_lineage, keep_table
+from ..session import cut_lineage, dealt
 from . import graph as G
 from . import hops as H
 from . import repair as R
@@ -68,24 +68,27 @@ class Repaired(NamedTuple):
 def repair_chain(rr: DataFrame, tr: DataFrame) -> Repaired:
     """Record-route and plain probes of traces -> what a solver is told about them.
 
-    Both kinds are read by every step, so they are kept once.
+    Every step looks at one trace at a time, so both kinds are dealt out by trace once and stay so.
 
     Repairs run in the order spoof, flaky, lazy, each on what the one before left. Pairs of consecutive probes, pairs
     with full lists and gaps come from the repaired probes; in traces behind a layer-2 switch or with a lazy router a
     pair has to occur among the plain probes too. ``tags`` is (ip, tags) of all passes.
     """
-    rr, tr = keep_table(R.rr_set(rr)), keep_table(tr.select("src", "dst", "ttl", "resp"))
-    probes, china = R.fix_dst_spoof(rr, tr)
-    probes, flaky = R.flaky_routers(cut_lineage(probes))
-    probes, lazy, fixed, moved = R.lazy_routers(probes, tr)
-    known = keep_table(R.known_probes(probes, tr))
-    probes = known.drop("in_tr")
-    switch = R.layer2_switch(probes)
-    consecutive = keep_table(R.pairs_of_known(known))
-    pairs = R.paranoid_pairs(R.not_full(consecutive), tr, 1, switch.select("src", "dst").unionByName(moved))
+    with dealt(H.TRACE, rr.select(*R.RR_COLS), tr.select(*H.TRACE, "ttl", "resp"), distinct=True) as (keep, rr, tr):
+        probes, china = R.fix_dst_spoof(rr, tr)
+        probes, flaky = R.flaky_routers(keep(probes))
+        probes, lazy, fixed, moved = R.lazy_routers(probes, tr, keep)
+        known = keep(R.known_probes(probes, tr, keep))
+        probes = known.drop("in_tr")
+        switch = keep(R.layer2_switch(probes))
+        consecutive = keep(R.pairs_of_known(known))
+        checked = keep.deal(switch.select("src", "dst").unionByName(moved).distinct())
+        pairs = keep(R.paranoid_pairs(R.not_full(consecutive), tr, 1, checked))
+        full = keep(R.full_of(consecutive))
+        gaps = keep(R.gaps_of_known(known, consecutive, fixed, keep=keep))
     layer2 = switch.select(F.explode(F.array("edge", "ip")).alias("ip")).withColumn("tag", F.lit("layer2"))
     tags = R.ip_tags(R.end_tags(tr), china, flaky, lazy, layer2, H.tr_self_links(tr))
-    return Repaired(probes, tags, pairs, R.full_of(consecutive), R.gaps_of_known(known, consecutive, fixed))
+    return Repaired(probes, tags, pairs, full, gaps)
 
 
 def trace_facts(chain: Repaired) -> DataFrame:
