@@ -9,11 +9,12 @@ an A responder behind a router that did not answer.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ip as ipf
 from ..functions import probe as pf
-from ..session import cut_lineage
+from ..session import cut_lineage, dealt
 from . import series as S
 from .hops import TRACE, moved, placed
 
@@ -212,28 +213,34 @@ def rejected_traces(rr: DataFrame, tr: DataFrame, pairs: DataFrame, flaps: DataF
 def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = None):
     """(src, dst, resp, mask, hidden) of accepted traces, by repeating the rules until nothing changes.
 
-    A round handles only traces the round before changed. Masks only lose bits and ``hidden`` only turns true, so the
-    rounds end by themselves.
+    Every rule looks at one trace at a time, so the probes are dealt out by trace once and all that follows stays so. A round
+    handles only traces the round before changed. Masks only lose bits and ``hidden`` only turns true, so the rounds end by
+    themselves.
     """
-    rr = cut_lineage(rr.select(*TRACE, "ttl", "resp", "rr"))
-    pairs = cut_lineage(settled_pairs(rr))
-    bad = cut_lineage(rejected_traces(rr, tr, pairs, flaps))
+    with dealt(TRACE, rr.select(*TRACE, "ttl", "resp", "rr"), tr.select(*TRACE, "ttl", "resp")) as (keep, rr, tr):
+        return keep(_classified(rr, tr, flaps, keep))
+
+
+def _classified(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None, keep) -> DataFrame:
+    pairs = keep(settled_pairs(rr))
+    bad = keep.deal(rejected_traces(rr, tr, pairs, flaps))
     rr = rr.join(bad, TRACE, "left_anti")
-    pairs = cut_lineage(pairs.where("same").join(bad, TRACE, "left_anti"))
+    pairs = pairs.where("same").join(bad, TRACE, "left_anti")
     state = start_state(rr, pairs).select(*CONSTRAINT).unionByName(rule_double_zero(pairs))
-    state = cut_lineage(rule_intersection(state))
+    state = keep(rule_intersection(state))
+    # the rules of the rounds are on +1 steps and read no lists
+    pairs = keep(pairs.where("delta = 1").select(*TRACE, "resp1", "resp2", "delta", "same", "plus_b").distinct())
     settled = []
     while True:
         cons = _constrain(_with_state(pairs, state), *_plus_one_specs(), _forward_spec())
         new = rule_intersection(state.select(*CONSTRAINT).unionByName(cons))
         old = state.select(*TRACE, "resp", F.col("mask").alias("om"), F.col("hidden").alias("oh"))
-        both = cut_lineage(new.join(old, [*TRACE, "resp"]))
-        moved = both.where("mask <> om OR hidden <> oh").select(*TRACE).distinct()
-        state = both.select(*CONSTRAINT)
-        if moved.isEmpty():
+        moved = F.max(F.expr("mask <> om OR hidden <> oh")).over(W.partitionBy(*TRACE))
+        both = keep(new.join(old, [*TRACE, "resp"]).select(*CONSTRAINT, moved.alias("moved")))
+        settled.append(both.where("NOT moved").select(*CONSTRAINT))
+        state = both.where("moved").select(*CONSTRAINT)
+        if state.isEmpty():
             break
-        settled.append(state.join(moved, TRACE, "left_anti"))
-        state = cut_lineage(state.join(moved, TRACE, "left_semi"))
     for s in settled:
         state = state.unionByName(s)
     broken = state.where("mask = 0").select(*TRACE).distinct()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoptrail import session
-from hoptrail.operators import chains
+from hoptrail.operators import chains, infer
 from hoptrail.operators import repair as R
 
 
@@ -73,6 +73,11 @@ def test_chain_of_repairs_stays_with_its_traces(spark, shuffles):
     assert shuffles[:2] == [1, 1] and sum(n > 0 for n in shuffles) <= 5 and len(shuffles) > 10
 
 
+def test_router_classes_stay_with_their_traces(spark, shuffles):
+    infer.classify_routers(*traces(spark))
+    assert shuffles[:2] == [1, 1] and not any(shuffles[2:]) and len(shuffles) > 5
+
+
 def test_known_probes_of_dealt_tables(spark):
     rr, tr = traces(spark)
     rr = rr.where("src IS NOT NULL AND dst IS NOT NULL AND ttl IS NOT NULL AND resp IS NOT NULL")
