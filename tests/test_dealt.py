@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoptrail import session
-from hoptrail.operators import chains, infer
+from hoptrail.operators import chains, constraints, infer
 from hoptrail.operators import repair as R
 
 
@@ -67,6 +67,11 @@ def test_dealt_tables_need_no_shuffle_and_settings_come_back(spark):
     assert {(r.a, r.b, r.c) for r in got.collect()} == {(r.a, r.b, r.c) for r in d.distinct().collect()} - near
 
 
+def test_violations_are_counted_where_facts_lie(spark, shuffles):
+    constraints.violations(facts(spark))
+    assert shuffles == [1, 0, 0]    # the facts, their tally, the result
+
+
 def test_chain_of_repairs_stays_with_its_traces(spark, shuffles):
     chains.repair_chain(*traces(spark))
     # only the two inputs, responders of other traces, what goes on to be checked and those fixed are dealt out
