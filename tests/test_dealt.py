@@ -67,6 +67,20 @@ def test_dealt_tables_need_no_shuffle_and_settings_come_back(spark):
     assert {(r.a, r.b, r.c) for r in got.collect()} == {(r.a, r.b, r.c) for r in d.distinct().collect()} - near
 
 
+def test_a_key_with_many_rows_is_not_dealt(spark, sf, monkeypatch):
+    import __spark_entry__ as e
+
+    rr, tr = traces(spark)
+    found = lambda: [rows_of(chains.trace_facts(chains.repair_chain(rr, tr))), rows_of(constraints.violations(facts(spark))),
+                     *(rows_of(e.queries()[q](spark, sf)) for q in ("classify_routers", "paranoid_pairs"))]
+    want = found()
+    assert all(want)
+    monkeypatch.setattr(session, "MOST", 1)
+    with session.dealt(["src"], rr, tr) as (keep, *_):
+        assert not keep.parts and all(spark.conf.get(k) == "true" for k in session.DEALT_CONF)
+    assert found() == want
+
+
 def test_violations_are_counted_where_facts_lie(spark, shuffles):
     constraints.violations(facts(spark))
     assert shuffles == [1, 0, 0]    # the facts, their tally, the result
@@ -83,6 +97,13 @@ def test_router_classes_stay_with_their_traces(spark, shuffles):
     assert shuffles[:2] == [1, 1] and not any(shuffles[2:]) and len(shuffles) > 5
 
 
+def test_checked_pairs_stay_with_their_traces(spark, sf, shuffles):
+    import __spark_entry__ as e
+
+    e.queries()["paranoid_pairs"](spark, sf)
+    assert shuffles[:2] == [1, 1] and sum(n > 0 for n in shuffles[2:]) == 1    # responders of other traces
+
+
 def test_known_probes_of_dealt_tables(spark):
     rr, tr = traces(spark)
     rr = rr.where("src IS NOT NULL AND dst IS NOT NULL AND ttl IS NOT NULL AND resp IS NOT NULL")
