@@ -74,18 +74,18 @@ def repair_chain(rr: DataFrame, tr: DataFrame) -> Repaired:
     with full lists and gaps come from the repaired probes; in traces behind a layer-2 switch or with a lazy router a
     pair has to occur among the plain probes too. ``tags`` is (ip, tags) of all passes.
     """
-    with dealt(H.TRACE, rr.select(*R.RR_COLS), tr.select(*H.TRACE, "ttl", "resp"), distinct=True) as (keep, rr, tr):
-        probes, china = R.fix_dst_spoof(rr, tr)
-        probes, flaky = R.flaky_routers(keep(probes))
-        probes, lazy, fixed, moved = R.lazy_routers(probes, tr, keep)
-        known = keep(R.known_probes(probes, tr, keep))
-        probes = known.drop("in_tr")
-        switch = keep(R.layer2_switch(probes))
-        consecutive = keep(R.pairs_of_known(known))
-        checked = keep.deal(switch.select("src", "dst").unionByName(moved).distinct())
-        pairs = keep(R.paranoid_pairs(R.not_full(consecutive), tr, 1, checked))
-        full = keep(R.full_of(consecutive))
-        gaps = keep(R.gaps_of_known(known, consecutive, fixed, keep=keep))
+    keep, rr, tr = dealt(H.TRACE, rr.select(*R.RR_COLS), tr.select(*H.TRACE, "ttl", "resp"), distinct=True)
+    probes, china = R.fix_dst_spoof(rr, tr)
+    probes, flaky = R.flaky_routers(keep(probes))
+    probes, lazy, fixed, moved = R.lazy_routers(probes, tr, keep)
+    known = keep(R.known_probes(probes, tr, keep))
+    probes = known.drop("in_tr")
+    switch = keep(R.layer2_switch(probes))
+    consecutive = keep(R.pairs_of_known(known))
+    checked = keep.deal(switch.select("src", "dst").unionByName(moved).distinct())
+    pairs = keep.result(R.paranoid_pairs(R.not_full(consecutive), tr, 1, checked))
+    full = keep.result(R.full_of(consecutive))
+    gaps = keep.result(R.gaps_of_known(known, consecutive, fixed, keep=keep))
     layer2 = switch.select(F.explode(F.array("edge", "ip")).alias("ip")).withColumn("tag", F.lit("layer2"))
     tags = R.ip_tags(R.end_tags(tr), china, flaky, lazy, layer2, H.tr_self_links(tr))
     return Repaired(probes, tags, pairs, full, gaps)

@@ -217,8 +217,8 @@ def classify_routers(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None = Non
     handles only traces the round before changed. Masks only lose bits and ``hidden`` only turns true, so the rounds end by
     themselves.
     """
-    with dealt(TRACE, rr.select(*TRACE, "ttl", "resp", "rr"), tr.select(*TRACE, "ttl", "resp")) as (keep, rr, tr):
-        return keep(_classified(rr, tr, flaps, keep))
+    keep, rr, tr = dealt(TRACE, rr.select(*TRACE, "ttl", "resp", "rr"), tr.select(*TRACE, "ttl", "resp"))
+    return keep.result(_classified(rr, tr, flaps, keep))
 
 
 def _classified(rr: DataFrame, tr: DataFrame, flaps: DataFrame | None, keep) -> DataFrame:
